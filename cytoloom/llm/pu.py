@@ -41,18 +41,18 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(xp: np.ndarray, xu: np.ndarray, prior: float, *, steps: int = 300, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
     """Weights of a linear scorer, bias last, by Adam on the non-negative risk with the logistic loss."""
     xp, xu = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (xp, xu))
-    w = np.zeros(xp.shape[1])
+    w = np.zeros(xp.shape[1], xp.dtype)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         zp, zu = xp @ w, xu @ w
-        positive = -prior * (xp * (1 - sigmoid(zp))[:, None]).mean(axis=0)
+        positive = -prior / len(xp) * (xp.T @ (1 - sigmoid(zp)))
         negative_loss = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        negative = (xu * sigmoid(zu)[:, None]).mean(axis=0) - prior * (xp * sigmoid(zp)[:, None]).mean(axis=0)
+        negative = xu.T @ sigmoid(zu) / len(xu) - prior / len(xp) * (xp.T @ sigmoid(zp))
         grad = positive + negative if negative_loss >= 0 else -negative
-        grad = grad + l2 * np.append(w[:-1], 0)
+        grad = grad + l2 * np.append(w[:-1], np.float32(0))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(xp.dtype)
+    return w.astype(float)
 
 
 def estimate_prior(zp: np.ndarray, zu: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:

@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .pu import fit_with_prior, held_out, sigmoid, training_rows
 
-MAX_POSITIVE, MAX_UNLABELLED, BINS, THRESHOLD = 6000, 12000, 12, 0.3
+MAX_POSITIVE, MAX_UNLABELLED, THRESHOLD = 6000, 12000, 0.3
+#: Where measures are cut: fine in the tails, where poor texts lie.
+QUANTILES = (0.005, 0.01, 0.02, 0.035, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.965, 0.98, 0.99, 0.995)
+BINS = len(QUANTILES) + 1
 
 
 def _classes() -> np.ndarray:
@@ -78,13 +81,13 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     x = np.stack(seen["x"]) if len(seen) else np.zeros((0, MEASURES))
     if positive.all() or not positive.any():
         return Model(np.zeros((MEASURES, 1)), np.zeros((MEASURES, 2)), 0.0, 1.0)
-    model = Model(np.quantile(x[~positive], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T, np.zeros((MEASURES, BINS)), 0.0, 0.5)
+    model = Model(np.quantile(x[~positive], QUANTILES, axis=0).T, np.zeros((MEASURES, BINS)), 0.0, 0.5)
     hot = np.zeros((len(x), MEASURES, BINS), np.float32)
     at = model.bins(x)
     for i in range(MEASURES):
         hot[np.arange(len(x)), i, at[:, i]] = 1
     hot = hot.reshape(len(x), -1)
-    w, prior = fit_with_prior(hot[positive], hot[~positive], first=0.8, l2=1e-3)
+    w, prior = fit_with_prior(hot[positive], hot[~positive], first=0.8, l2=1e-4, steps=1000)
     return Model(model.cuts, w[:-1].reshape(MEASURES, BINS), float(w[-1]), prior)
 
 

@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic examples and unlabelled text train a numpy logistic scorer under the non-negative risk (see pu.py).
-Features are the presence of words and of word beginnings (4 to 6 letters), lower-cased; the ones kept are those whose
-document frequencies in the two samples differ most. The class prior is estimated, not given.
+Features are the presence, once and twice, of words and of word beginnings (4 to 6 letters), lower-cased; the ones kept are those most
+clearly commoner in the confirmed examples, MIN_LIFT times at least. The class prior is estimated, not given.
 
 Parameters: the fit sees at most about MAX_POSITIVE confirmed and MAX_UNLABELLED unlabelled texts, chosen by hash, and
 keeps MAX_FEATURES features, which bounds the model that goes to the workers. Every text is scored, whole.
@@ -24,15 +24,23 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .pu import fit_with_prior, held_out, sigmoid, training_rows
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 400
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES, MIN_LIFT = 4000, 8000, 400, 3.0
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
 
-def features(text: str) -> set[str]:
-    """Distinct words of a text, and their beginnings marked with a trailing hyphen."""
-    words = set(WORD.findall(text.lower()))
-    return words.union(*({f"{w[:n]}-" for w in words if len(w) > n} for n in BEGINNINGS))
+def features(words: dict[str, int]) -> set[str]:
+    """The words, their beginnings (marked with a trailing hyphen), and with a plus those found twice or more."""
+    found = dict(words)
+    for w, k in words.items():
+        for n in BEGINNINGS:
+            if len(w) > n:
+                found[name] = found.get(name := f"{w[:n]}-", 0) + k
+    return {*found, *(f"{x}+" for x, k in found.items() if k > 1)}
+
+
+def occurrences(text: str) -> dict[str, int]:
+    return Counter(WORD.findall(text.lower()))
 
 
 @dataclass
@@ -45,17 +53,11 @@ class Model:
     def scorer(self):
         """text -> logit. Only words that start like some feature are looked at further."""
         by_name = dict(zip(self.names, self.weights.tolist(), strict=True))
-        starts = {n.rstrip("-")[:4] for n in self.names}
+        starts = {n.rstrip("-+")[:4] for n in self.names}
 
         def logit(text: str) -> float:
-            total, seen = self.bias, set()
-            for w in set(WORD.findall(text.lower())):
-                if w[:4] in starts:
-                    seen.add(w)
-                    seen.update(f"{w[:n]}-" for n in BEGINNINGS if len(w) > n)
-            for name in sorted(seen & by_name.keys()):
-                total += by_name[name]
-            return total
+            near = {w: k for w, k in occurrences(text).items() if w[:4] in starts}
+            return self.bias + sum(by_name[name] for name in sorted(features(near) & by_name.keys())) if near else self.bias
 
         return logit
 
@@ -64,9 +66,11 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     p, u = Counter(), Counter()
     for batch in batches:
         for text, positive in zip(batch["text"], batch["positive"], strict=True):
-            (p if positive else u).update(features(text))
+            (p if positive else u).update(features(occurrences(text)))
     names = list(p.keys() | u.keys())
-    yield pd.DataFrame({"name": names, "p": [p[x] for x in names], "u": [u[x] for x in names]})
+    for at in range(0, len(names), 50_000):
+        part = names[at : at + 50_000]
+        yield pd.DataFrame({"name": part, "p": [p[x] for x in part], "u": [u[x] for x in part]})
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, label: str = "toxic") -> Model:
@@ -81,20 +85,20 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     a, b = F.col("p") / float(n_p), F.col("u") / float(n_u)
     pooled = (F.col("p") + F.col("u")) / float(n_p + n_u)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-9)
-    best = counts.filter((F.col("p") + F.col("u") >= 4) & (F.abs(z) >= 4)).orderBy(F.desc(F.abs(z)), "name").limit(max_features)
+    best = counts.filter((F.col("p") >= 4) & (z >= 4) & (a >= MIN_LIFT * b)).orderBy(F.desc(z), "name").limit(max_features)
     names = [r["name"] for r in best.select("name").collect()]
     at = {x: i for i, x in enumerate(names)}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"positive": batch["positive"], "on": [sorted(at[x] for x in features(t) if x in at) for t in batch["text"]]})
+            yield pd.DataFrame({"positive": batch["positive"], "on": [sorted(at[x] for x in features(occurrences(t)) if x in at) for t in batch["text"]]})
 
     seen = rows.select("doc_id", "text", "positive").orderBy("doc_id").select("text", "positive").mapInPandas(vectors, "positive boolean, on array<int>").toPandas()
     x = np.zeros((len(seen), len(names)), np.float32)
     for i, on in enumerate(seen["on"]):
         x[i, np.asarray(on, int)] = 1
     positive = seen["positive"].to_numpy(bool)
-    w, prior = fit_with_prior(x[positive], x[~positive], first=0.2)
+    w, prior = fit_with_prior(x[positive], x[~positive], first=0.2, l2=1e-4, steps=600)
     return Model(names, w[:-1], float(w[-1]), prior)
 
 
