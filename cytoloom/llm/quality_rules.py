@@ -29,6 +29,8 @@ FLOORS = (0.08, 0.12, 0.12, 0.15)
 HALF = 0.75
 CUT = 0.9999
 MIN_ROWS = 40
+#: Estimates are broadcast up to this many rows (of about 200 bytes); more of them are joined by a shuffle.
+MAX_BROADCAST = 20_000
 BINS_PER_OCTAVE, LOW_BIN, HIGH_BIN = 16, -160, 480
 
 
@@ -120,13 +122,19 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(STATS))), F.lit(0.0)))
 
 
+def _meet(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the written estimates of their group: no shuffle of rows unless there are very many estimates."""
+    few = estimates.count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(estimates) if few else estimates, "gid", how)
+
+
 def _bin(d2: Column) -> Column:
     return F.greatest(F.lit(LOW_BIN), F.least(F.lit(HIGH_BIN), F.floor(F.log2(d2 + 1e-9) * BINS_PER_OCTAVE))).cast("int")
 
 
 def _concentrate(fit: DataFrame, now: DataFrame) -> DataFrame:
     """One concentration step for every group and start."""
-    binned = _distance(fit.join(now, "gid")).withColumn("bin", _bin(F.col("d2"))).groupBy("gid", "start", "bin").agg(*_sums())
+    binned = _distance(_meet(fit, now)).withColumn("bin", _bin(F.col("d2"))).groupBy("gid", "start", "bin").agg(*_sums())
     group = Window.partitionBy("gid", "start")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     inner = binned.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "all": F.sum("n").over(group)}).filter(F.col("before") < F.col("all") * HALF)
@@ -137,16 +145,16 @@ def _concentrate(fit: DataFrame, now: DataFrame) -> DataFrame:
 def mcd(fit: DataFrame, starts: int = 4, steps: int = 5) -> DataFrame:
     """fit (gid, uid, x0..x3) -> one estimate for each gid. Start 0 is all rows; the others are small random subsets,
     chosen by a hash of the row's own values."""
-    sizes = fit.groupBy("gid").agg(F.count("*").alias("rows"))
-    seeded = fit.join(sizes, "gid").withColumn("start", F.explode(F.array(*map(F.lit, range(starts)))))
+    sizes = materialize(fit.groupBy("gid").agg(F.count("*").alias("rows")), "mcd-sizes")
+    seeded = _meet(fit, sizes).withColumn("start", F.explode(F.array(*map(F.lit, range(starts)))))
     one_in = F.greatest(F.lit(1), F.floor(F.col("rows") / 12)).cast("long")
     seeded = seeded.filter((F.col("start") == 0) | (F.pmod(F.xxhash64("uid", "start", *STATS), one_in) == 0))
     now = materialize(_estimate(seeded.groupBy("gid", "start").agg(*_sums()), 1.0), "mcd-start")
     for _ in range(steps):
         now = materialize(_concentrate(fit, now), "mcd-step")
     best = Window.partitionBy("gid").orderBy("logdet", "start")
-    now = now.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
-    inner = _distance(fit.join(now, "gid")).filter(F.col("d2") <= chi2_quantile(0.975, len(STATS)))
+    now = materialize(now.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth"), "mcd-best")
+    inner = _distance(_meet(fit, now)).filter(F.col("d2") <= chi2_quantile(0.975, len(STATS)))
     return materialize(_estimate(inner.groupBy("gid", "start").agg(*_sums()), consistency(0.975, len(STATS))), "mcd")
 
 
@@ -161,11 +169,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     rows = materialize(statistic_vectors(base_statistics(docs)), "quality-statistics")
     passed = rows.filter("NOT base_failed")
     small = passed.groupBy("gid").agg(F.count("*").alias("rows")).withColumn("group", F.when(F.col("rows") < MIN_ROWS, F.lit(0)).otherwise(F.col("gid"))).select("gid", "group")
-    fit = passed.join(small, "gid").select(F.col("group").alias("gid"), F.col("doc_id").alias("uid"), *STATS)
+    small = materialize(small, "quality-groups")
+    fit = _meet(passed, small).select(F.col("group").alias("gid"), F.col("doc_id").alias("uid"), *STATS)
     fit = materialize(fit, "quality-fit")
     found = mcd(fit)
     enough = fit.groupBy("gid").agg(F.count("*").alias("rows")).filter(F.col("rows") >= MIN_ROWS).select("gid")
     by_group = materialize(small.join(found.join(enough, "gid").withColumnRenamed("gid", "group"), "group").drop("group"), "quality-estimates")
-    measured = _distance(rows.join(by_group, "gid", "left"))
+    measured = _distance(_meet(rows, by_group, "left"))
     fine = (~F.col("base_failed")) & (F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(CUT, len(STATS))))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", fine.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"))
