@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, exact_dedup, html_extraction, mixing, quality_classifier, quality_rules, simhash, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_html_extraction": op8_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
