@@ -50,7 +50,7 @@ def grow_directory(cells: dict[int, int], bits: int, capacity: int) -> list[tupl
 
 class ExtendibleIndex:
     """entries: one row per distinct text (bucket, hash, chain, sha, keep_id, group_size), written by owner tasks;
-    rows: one row per document (doc_id, hash, sha); directory: the buckets."""
+    rows: one row per document (doc_id, text_hash, hash, sha); directory: the buckets."""
 
     def __init__(self, rows: DataFrame, entries: DataFrame, directory: list[tuple[int, int, int, int]], bits: int):
         self.rows, self.entries, self.directory, self.bits = rows, entries, directory, bits
@@ -66,10 +66,11 @@ def build_index(docs: DataFrame, *, bits: int = 14, capacity: int = 1 << 18, own
     bits bounds the directory at 2 ** bits cells (the histogram and the broadcast directory have no more rows);
     hash_bits below 64 weakens the hash, for tests of chains."""
     spark = docs.sparkSession
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+    raw = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text_hash"), normalised(F.col("text")).alias("norm"))
     key = F.xxhash64("norm") if hash_bits == 64 else F.xxhash64("norm").bitwiseAND((1 << hash_bits) - 1)
     hashed = norm.withColumn("hash", key)
-    rows = materialize(hashed.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
+    rows = materialize(hashed.select("doc_id", "text_hash", "hash", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
     distinct = hashed.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     distinct = materialize(distinct.select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "exact-texts")
     cell = F.shiftrightunsigned("hash", 64 - bits)
@@ -92,7 +93,8 @@ def build_index(docs: DataFrame, *, bits: int = 14, capacity: int = 1 << 18, own
 
 
 def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id (largest doc_id with an equal text), group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id (largest doc_id with an equal text), group_size, kept, text_sha256,
+    text_hash (XXH64 of the text as it stands, to find the row again).
 
     Texts are equal when identical after lower-casing A-Z; a null text equals an empty one. A null doc_id sorts below
     every other and keeps its text only if all its copies lack an id. Rows that repeat a doc_id and its text are one
@@ -100,12 +102,39 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     are ignored; an empty table gives an empty result."""
     index = build_index(docs, **options)
     found = lookup(index.rows, index.entries.filter("same_digest = 1").select("hash", "sha", "keep_id", "group_size"), ["hash", "sha"], "group_size")
-    out = found.select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
+    out = found.select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), "text_hash")
     clash = index.entries.filter("same_digest > 1")
     if not clash.isEmpty():  # two texts with one hash and one SHA-256: told apart by their bytes
-        norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+        raw = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+        norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text_hash"), normalised(F.col("text")).alias("norm"))
         norm = norm.withColumns({"hash": F.xxhash64("norm"), "sha": F.unhex(F.sha2("norm", 256))}).join(clash.select("hash", "sha").distinct(), ["hash", "sha"], "left_semi")
         groups = norm.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        by_bytes = norm.join(groups, ["hash", "norm"]).select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
+        by_bytes = norm.join(groups, ["hash", "norm"]).select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), "text_hash")
         out = out.filter("keep_id IS NOT NULL OR group_size IS NOT NULL").unionByName(by_bytes)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash")
+
+
+#: Ids to drop are broadcast up to this many (16 bytes each); more of them are joined by a shuffle.
+MAX_BROADCAST = 400_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id and text hash are in dropped (doc_id, text_hash)."""
+    gone = materialize(dropped.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), "dropped")
+    few = gone.count() <= MAX_BROADCAST
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__cytoloom_hash"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of equal texts, all columns as they were. Of rows that repeat a doc_id and its
+    text one stays."""
+    found = materialize(exact_duplicates(docs, **options), "exact-verdicts")
+    out = without(docs, found.filter("NOT kept"))
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).filter("n > 1")
+    if again.isEmpty():
+        return out
+    rows = found.filter("kept").join(again.select(F.col("doc_id").alias("__cytoloom_id"), "text_sha256"), F.col("doc_id").eqNullSafe(F.col("__cytoloom_id")) & (found["text_sha256"] == again["text_sha256"]), "left_semi")
+    one = docs.join(rows.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__cytoloom_hash")))
+    one = one.withColumn("__cytoloom_norm", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["__cytoloom_id", "__cytoloom_norm"])
+    return without(out, rows).unionByName(one.select(*docs.columns))

@@ -186,21 +186,31 @@ def mixed_words(plan: Mix) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
+def repeated(plan: Mix) -> bool:
+    """Whether documents repeat each other in id, source and text."""
+    return not plan.docs.groupBy("doc_id", "source", "size", "text_hash").count().filter("count > 1").isEmpty()
+
+
 def mixed_documents(plan: Mix, docs: DataFrame) -> DataFrame:
     """The mix of whole documents (plan made with block_words=0): the rows of docs, each as often as it was drawn, with
-    the draw's shard and slot. Texts are shuffled once, by document."""
-    drawn = plan.draws.join(plan.docs.select("rid", "source", "size", "text_hash"), "rid").withColumn("key", F.xxhash64("doc_id", "source", "size", "text_hash"))
+    mix_shard, mix_slot and mix_epoch (in place of columns so named). Texts are shuffled once, by document."""
+    key = "__cytoloom_key"
+    drawn = plan.draws.join(plan.docs.select("rid", "source", "size", "text_hash"), "rid").select(
+        F.xxhash64("doc_id", "source", "size", "text_hash").alias(key), F.col("shard").alias("mix_shard"), F.col("slot").alias("mix_slot"), F.col("epoch").alias("mix_epoch")
+    )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")), F.xxhash64(text)))
-    held = held.dropDuplicates(["key"])  # repeated rows were drawn as such; any one of them gives the text
-    return held.join(drawn.select("key", "shard", "slot", "epoch"), "key").drop("key")
+    held = docs.drop("mix_shard", "mix_slot", "mix_epoch")
+    held = held.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")), F.xxhash64(text)))
+    if repeated(plan):  # repeated rows were drawn as such; any one of them gives the text
+        held = held.dropDuplicates([key])
+    return held.join(drawn, key).drop(key)
 
 
 def mixed_texts(plan: Mix, docs: DataFrame, block_words: int = 256) -> DataFrame:
     """(shard, slot, doc_id, epoch, block, text): every drawn block with its words, single-spaced."""
     whole = mixed_documents(plan, docs.select("doc_id", "source", "text")) if not block_words else None
     if whole is not None:
-        return whole.select("shard", "slot", "doc_id", "epoch", F.lit(0).alias("block"), "text")
+        return whole.select(F.col("mix_shard").alias("shard"), F.col("mix_slot").alias("slot"), "doc_id", F.col("mix_epoch").alias("epoch"), F.lit(0).alias("block"), "text")
     drawn = plan.draws.join(plan.docs.select("rid", "source", "size", "text_hash"), "rid").withColumn("key", F.xxhash64("doc_id", "source", "size", "text_hash"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")), F.xxhash64(text)).alias("key")).dropDuplicates(["key"])

@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from 0.3 on), then the columns named in
-    keep as they were.
+    keep, as keep_0, keep_1 and so on.
 
     A null text is measured as an empty one. A null doc_id is held out. Repeated rows are scored alike; an empty table
     gives an empty result. Columns not named are not read."""
@@ -105,10 +105,16 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             x = np.array([measures(texts[i].as_py()) for i in range(len(texts))], float).reshape(-1, MEASURES)
             s = sigmoid(model.logits(x)) if len(x) else np.zeros(0)
             found = [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*found, *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *(f"keep_{c}" for c in keep)])
+            yield pa.RecordBatch.from_arrays([*found, *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *(f"keep_{i}" for i in range(len(keep)))])
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep)
+        F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep))
     )
-    kinds = "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int" + kinds)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model predicts to be good, all columns as they were."""
+    scored = score(docs, model, keep=docs.columns).filter("predicted = 1")
+    return scored.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -150,3 +150,16 @@ def near_duplicate_classes(docs: DataFrame, group_limit: int = 256) -> DataFrame
     labelled = materialize(lookup(labelled, least, ["root"], "fps").select("fp", "n", "component_id"), "classes")
     found = lookup(rows, labelled, ["fp"], "n")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids to drop are broadcast up to this many (8 bytes each); more of them are joined by a shuffle.
+MAX_BROADCAST = 400_000
+
+
+def deduplicated(docs: DataFrame, group_limit: int = 256) -> DataFrame:
+    """docs with one row of each near-duplicate class, that with the least doc_id, all columns as they were. Rows without
+    a doc_id go where their class has a row with one, and stay where it has none."""
+    found = materialize(near_duplicate_classes(docs, group_limit), "near-verdicts")
+    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__cytoloom_id")).distinct(), "near-dropped")
+    few = gone.count() <= MAX_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")), "left_anti")
