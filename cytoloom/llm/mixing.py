@@ -127,7 +127,7 @@ class Mix:
         self.docs, self.draws, self.sources, self.shards = docs, draws, sources, shards
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int = 256, shard_blocks: int = 1 << 16, bucket_blocks: int = 20_000, seed: int = 7, max_repeats: int = MAX_REPEATS) -> Mix:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int = 256, shard_blocks: int = 1 << 16, bucket_blocks: int = 2_000, seed: int = 7, max_repeats: int = MAX_REPEATS) -> Mix:
     """Plan a mix of docs (doc_id, source, text). Sources take the weights in turn by code point, null last.
 
     block_words: most words of a block (0: a document is one block); shard_blocks: blocks of an output shard;
