@@ -98,18 +98,20 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     A null text is measured as an empty one. A null doc_id is held out. Repeated rows are scored alike; an empty table
     gives an empty result. Columns not named are not read."""
     keep = keep or []
+    at = 3 + keep.index("text") if "text" in keep else 2  # a kept text is not sent a second time
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary())
-            x = np.array([measures(texts[i].as_py()) for i in range(len(texts))], float).reshape(-1, MEASURES)
-            s = sigmoid(model.logits(x)) if len(x) else np.zeros(0)
-            found = [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*found, *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *(f"keep_{i}" for i in range(len(keep)))])
-
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep))
-    )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                texts = batch.column(at).cast(pa.large_binary())
+                x = np.array([measures(texts[i].as_py() or b"") for i in range(len(texts))], float).reshape(-1, MEASURES)
+                s = sigmoid(model.logits(x)) if len(x) else np.zeros(0)
+                found = [batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*found, *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *(f"keep_{i}" for i in range(len(keep)))])
+
+    text = F.lit(None).cast("string") if "text" in keep else F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)))
     kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int" + kinds)
 
