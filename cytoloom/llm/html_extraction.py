@@ -7,15 +7,17 @@ ways has a high presentation entropy and matters. A content that many of the pag
 pages and matters little; contents found on one page each matter most. A node's importance joins its own presentation
 entropy with the importance of all contents below it, presentation weighing more the more styles there are.
 
-What a page keeps. Branches whose elements say what they are (nav, footer, form, script; class, id or role words such
-as ad, sidebar, cookie, comments) go; where the page has an article or main element, the rest of the page goes too.
-Of what is left, branches with a low importance in the host's tree go, except the running text of a declared article:
-its headings, paragraphs, lists and quotations stay even when the host repeats them, since copied articles are still
-articles. A tree of fewer than MIN_PAGES pages says nothing and removes nothing.
+What a page keeps. The tree decides for each of a host's nodes, and a page loses every branch that starts at a
+removed node: nodes whose elements say that they are not content (nav, footer, form, script; class, id or role words
+such as ad, sidebar, cookie, comments), which count as having no importance at all, and nodes of a low importance. The
+running text of a declared article (its headings, paragraphs, lists and quotations) keeps its place even when the host
+repeats it, since copied articles are still articles. Entropies of fewer than MIN_PAGES pages say nothing and remove
+nothing. Where a page has an article or main element, the rest of the page is not its main text.
 
 At scale: the tree is a table (host, path, ...), summed where pages are before it is shuffled, so a host with a third
-of all pages costs no task more than its own. Pages are read twice and never shuffled, unless more pages than
-MAX_BROADCAST have branches to lose; then they are joined to their list of branches by page.
+of all pages costs no task more than its own. Pages are read twice and not shuffled: the removed nodes
+are broadcast if they are MAX_BROADCAST at most. If there are more, each page's own list of them is found by a join on
+host and node, and pages are joined to their lists.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-GAMMA, LEAST_IMPORTANCE, MIN_PAGES, MAX_BROADCAST = 0.9, 0.3, 8, 100_000
+GAMMA, LEAST_IMPORTANCE, MIN_PAGES, MAX_BROADCAST = 0.9, 0.3, 8, 50_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -57,12 +59,14 @@ class _Node:
 
 
 class Page:
-    """A parsed page: blocks of text in order, each (path, in an article, undecided, kept by its elements, text), and the
-    styles of its nodes."""
+    """A parsed page: blocks of text in order, each (path, in an article, text); the styles of its nodes; the nodes that
+    their elements mark as no content; the nodes of an article's running text."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, bool, bool, str]] = []
+        self.blocks: list[tuple[str, bool, str]] = []
         self.styles: set[tuple[str, str]] = set()
+        self.marked: set[str] = set()
+        self.running: set[str] = set()
         self.has_article = False
         self._stack = [_Node("", "", False, False, True)]
         self._parts: list[str] = []
@@ -104,7 +108,7 @@ class Page:
             if text:
                 while node.tag in _INLINE:
                     node = self._stack[self._stack.index(node) - 1]
-                self.blocks.append((node.path, node.own, not (node.own and node.running), not node.out, text))
+                self.blocks.append((node.path, node.own, text))
 
     def _pop(self) -> None:
         node = self._stack.pop()
@@ -159,15 +163,23 @@ class Page:
         if tag not in _INLINE:
             over.children.append(name)
         running = over.running and (tag in _RUNNING or tag in _INLINE)
-        self._stack.append(_Node(tag, f"{over.path}/{name}" if tag not in _INLINE else over.path, out, own, running))
-
-    def candidates(self) -> list[tuple[str, bool, str]]:
-        """(path, undecided, text) of the blocks that their elements keep."""
-        return [(path, undecided, text) for path, own, undecided, kept, text in self.blocks if kept and (own or not self.has_article)]
+        path = f"{over.path}/{name}" if tag not in _INLINE or out and not over.out else over.path
+        if out:
+            self.marked.add(path)
+        elif own and running:
+            self.running.add(path)
+        self._stack.append(_Node(tag, path, out, own, running))
 
     def text(self, removed: set[str]) -> str:
-        gone = lambda path: any(path == r or path.startswith(r + "/") for r in removed)
-        return "\n".join(text for path, undecided, text in self.candidates() if not (undecided and removed and gone(path)))
+        """The main text without the branches that start at a removed path."""
+        known: dict[str, bool] = {"": False}
+
+        def gone(path: str) -> bool:
+            if path not in known:
+                known[path] = path in removed or gone(path.rpartition("/")[0])
+            return known[path]
+
+        return "\n".join(text for path, own, text in self.blocks if (own or not self.has_article) and not gone(path))
 
 
 def host_of(url: str | None) -> str:
@@ -184,38 +196,48 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signed = lambda s: xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
     for batch in batches:
         seen: Counter = Counter()
-        undecided = []
         for i in range(batch.num_rows):
             page, host = Page(batch.column(2)[i].as_py() or ""), host_of(batch.column(1)[i].as_py())
             rows = {("style", path, signed(style)) for path, style in page.styles}
-            rows |= {("content", path, signed(text)) for path, _, _, _, text in page.blocks}
-            paths = {path for _, path, _ in rows}
+            rows |= {("content", path, signed(text)) for path, _, text in page.blocks}
+            paths = {path for _, path, _ in rows} | page.marked
+            rows |= {("page", "/".join(parts), 0) for parts in {tuple(p.split("/")[:n]) for p in paths for n in range(1, p.count("/") + 2)}}
+            rows |= {("marked", path, 0) for path in page.marked} | {("running", path, 0) for path in page.running}
             seen.update((host, *r) for r in rows)
-            seen.update((host, "page", "/".join(parts), 0) for parts in {tuple(p.split("/")[:n]) for p in paths for n in range(1, p.count("/") + 2)})
-            undecided += [(host, "undecided", path, batch.column(0)[i].as_py(), 1) for path in {p for p, u, _ in page.candidates() if u}]
-        rows = [(*k, n) for k, n in seen.items()] + undecided
+        rows = [(*k, n) for k, n in seen.items()]
         kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=["host", "kind", "path", "value", "n"])
 
 
+def _own_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            page, host = Page(batch.column(2)[i].as_py() or ""), host_of(batch.column(1)[i].as_py())
+            nodes = {"/".join(b[0].split("/")[:n]) for b in page.blocks for n in range(1, b[0].count("/") + 2)}
+            rows += [(batch.column(0)[i].as_py(), host, path) for path in nodes]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "host", "path"])
+
+
 def _source(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
 
 def observations(pages: DataFrame) -> DataFrame:
     """(host, kind, path, value, n), counted within batches: pages that have a node, its styles and its contents, and
-    for each page (in value) the nodes that only the tree can decide on."""
+    whether it is marked as no content or is running text."""
     return materialize(_source(pages).mapInArrow(_observe, "host string, kind string, path string, value long, n long"), "style-observations")
 
 
 def style_tree(observed: DataFrame) -> DataFrame:
-    """One row per host and node: pages, styles, presentation, content and importance, each entropy between 0 and 1."""
-    counted = observed.filter("kind <> 'undecided'").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("k"))
+    """One row per host and node: pages, styles, presentation, content and importance, each between 0 and 1; marked and running
+    are what elements say of the node. A marked node has no importance."""
+    counted = observed.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("k"))
     k = F.col("k").cast("double")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    nodes = counted.groupBy("host", "path").agg(of("page", k).alias("pages"), of("style", k).alias("sk"), of("style", k * F.log(k)).alias("sl"), F.count(F.when(F.col("kind") == "style", 1)).alias("styles"), of("content", k).alias("ck"), of("content", k * F.log(k)).alias("cl"))
+    nodes = counted.groupBy("host", "path").agg(of("page", k).alias("pages"), of("style", k).alias("sk"), of("style", k * F.log(k)).alias("sl"), F.count(F.when(F.col("kind") == "style", 1)).alias("styles"), of("content", k).alias("ck"), of("content", k * F.log(k)).alias("cl"), F.max(F.col("kind") == "marked").alias("marked"), F.max(F.col("kind") == "running").alias("running"))
     nodes = materialize(nodes, "style-nodes")
     up = F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     below = nodes.filter("ck > 0").select("host", F.explode(up).alias("path"), "ck", "cl").groupBy("host", "path").agg(F.sum("ck").alias("ck"), F.sum("cl").alias("cl"))
@@ -225,7 +247,14 @@ def style_tree(observed: DataFrame) -> DataFrame:
     shared = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((F.col("pages") > 1) & (F.col("ck") > 0), 1 - F.col("cl") / F.col("ck") / m).otherwise(1.0)))
     tree = tree.withColumns({"presentation": F.coalesce(share, F.lit(0.0)), "content": shared})
     keep = F.pow(F.lit(GAMMA), F.col("styles").cast("double"))
-    return tree.select("host", "path", F.col("pages").cast("long").alias("pages"), "styles", "presentation", "content", ((1 - keep) * F.col("presentation") + keep * F.col("content")).alias("importance"))
+    importance = F.when(F.col("marked"), 0.0).otherwise((1 - keep) * F.col("presentation") + keep * F.col("content"))
+    return tree.select("host", "path", F.col("pages").cast("long").alias("pages"), "styles", "presentation", "content", "marked", "running", importance.alias("importance"))
+
+
+def removed_nodes(tree: DataFrame) -> DataFrame:
+    """(host, path) of the branches that pages lose."""
+    low = (F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE) & ~F.col("running") & (F.col("path") != "")
+    return tree.filter(F.col("marked") | low).select("host", "path")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -234,22 +263,25 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null html is an empty page; a null or broken url belongs to a host named ''. Character references are decoded,
     white space within a block becomes one space, and a br counts as white space. Repeated rows each get a row; rows
     that share a page_id share their removed branches. Other columns are not read; an empty table gives an empty result."""
-    observed = observations(pages)
-    undecided = observed.filter("kind = 'undecided'").select("host", "path", F.col("value").alias("page_id"))
-    removed = None
-    if not undecided.isEmpty():
-        low = style_tree(observed).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path")
-        removed = undecided.join(low, ["host", "path"]).groupBy("page_id").agg(F.collect_set("path").alias("removed"))  # a page's own nodes
-        removed = materialize(removed, "style-removed")
+    removed = materialize(removed_nodes(style_tree(observations(pages))), "style-removed")
     rows = _source(pages)
-    if removed is None or removed.isEmpty():
+    by_host: dict[str, set[str]] | None = None
+    if removed.count() <= MAX_BROADCAST:
+        by_host = {}
+        for r in removed.collect():
+            by_host.setdefault(r["host"], set()).add(r["path"])
         rows = rows.withColumn("removed", F.lit(None).cast("array<string>"))
     else:
-        rows = rows.join(F.broadcast(removed) if removed.count() <= MAX_BROADCAST else removed, "page_id", "left")
+        own = rows.mapInArrow(_own_nodes, "page_id long, host string, path string").join(removed, ["host", "path"])
+        lists = own.groupBy("page_id").agg(F.collect_set("path").alias("removed"))  # a page's own nodes
+        rows = rows.join(lists, "page_id", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(batch.column(2)[i].as_py() or "").text(set(batch.column(3)[i].as_py() or ())) for i in range(batch.num_rows)]
+            texts = []
+            for i in range(batch.num_rows):
+                gone = set(batch.column(3)[i].as_py() or ()) if by_host is None else by_host.get(host_of(batch.column(1)[i].as_py()), set())
+                texts.append(Page(batch.column(2)[i].as_py() or "").text(gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.select("page_id", "url", "html", "removed").mapInArrow(work, "page_id long, url string, text string, n_chars long")
