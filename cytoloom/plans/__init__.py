@@ -1,6 +1,6 @@
 """The engine's queries, by name."""
 
-from . import inference, preparation, subjects
+from . import characterization, inference, prediction, preparation, subjects
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "inference", "preparation", "subjects"]
+__all__ = ["ORACLE", "QUERIES", "characterization", "inference", "prediction", "preparation", "subjects"]
