@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 #: Pieces in front of the vocabulary: the model format wants one for unknown input.
 OFFSET = 1
 #: Pre-tokens whose ids a worker remembers before it starts over; a bound on memory, not on results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -135,7 +137,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
 
-    return _rows(docs).mapInArrow(work, "doc_id long, ids array<int>")
+    return arrow(_rows(docs)).mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -167,4 +169,4 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _rows(docs).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow(_rows(docs)).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

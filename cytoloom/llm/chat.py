@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 from .templates import Template
 
 #: Fixed strings of the default format; `### ` opens a heading in other formats and is escaped with them.
@@ -106,7 +108,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
                     out, size = [], 0
         yield batch()
 
-    return rows.mapInArrow(work, "conv_id long, piece long, text string, generated boolean")
+    return arrow(rows).mapInArrow(work, "conv_id long, piece long, text string, generated boolean")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,15 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, after making sure that its session hands Python workers `rows` rows at a time at most. Texts are long: with the
+    default of 10,000 rows a batch and its copies would hold hundreds of MB on either side. A setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def clean(spark: SparkSession | None = None) -> None:
     """Delete the work tables that this process has made."""
     while _made:
