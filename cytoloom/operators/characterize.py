@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.resample import bootstrap_means, shuffled_labels
+from ..sources.work import cut
 
 #: Words that place a type in a class, in the order in which they are tried.
 CLASS_WORDS = (
@@ -40,7 +41,8 @@ def directed_means(net: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def label_permutation_test(net: DataFrame, labels: DataFrame, label: str, n: int, seed: int) -> DataFrame:
     """directed_means with p_out, p_in (share of label shuffles at least as high, one added above and below), adjusted
     q_out, q_in and their stars. Senders and receivers are shuffled apart."""
-    seen = directed_means(net, labels, label)
+    net, labels = cut(net), cut(labels)
+    seen = cut(directed_means(net, labels, label))
 
     def null(side: str, s: int, name: str) -> DataFrame:
         drawn = shuffled_labels(labels, "node", label, n, s)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.resample import shuffled_labels
+from ..sources.work import cut
 
 METHODS = ("default", "hill", "minmean")
 
@@ -127,9 +128,10 @@ def observed_network(scores: DataFrame, method: str = "default", k: float = 0.5,
 def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, observed: DataFrame, m: int, seed: int, how: str = "triquartile", method: str = "default", k: float = 0.5) -> DataFrame:
     """observed with pvalue: the share of m label shuffles whose score is above, strictly. One shuffle serves all rules.
     Rules that are zero everywhere, and all rules when m is 0, get none."""
-    alive = observed.groupBy("lr_name").agg(F.max("prob").alias("top")).filter("top > 0").select("lr_name")
     if m == 0:
         return observed.withColumn("pvalue", F.lit(None).cast("double"))
+    observed, expr = cut(observed), cut(expr)
+    alive = observed.groupBy("lr_name").agg(F.max("prob").alias("top")).filter("top > 0").select("lr_name")
     shuffles = shuffled_labels(labels, "cell_id", "node", m, seed)
     grouped = group_expression(expr, shuffles, how, by=["perm"])
     null = observed_network(side_scores(grouped, rules, method, k, by=["perm"]), method, k, by=["perm"]).withColumnRenamed("prob", "null_prob")
