@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's spark.checkpoint.dir; where that is unset, as in tests, in a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where that is unset, as in tests, a temporary folder is made and set."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cytoloom-"))
+    held = context._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
+    if not held.isDefined():
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
