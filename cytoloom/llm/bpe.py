@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import map_arrow
 
 #: Pieces in front of the vocabulary: the model format wants one for unknown input.
 OFFSET = 1
@@ -136,8 +136,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
+        own.known.clear()
 
-    return arrow(_rows(docs)).mapInArrow(work, "doc_id long, ids array<int>")
+    return map_arrow(_rows(docs), work, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -150,7 +151,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [own.decode(np.asarray(ids or [], "<u4").tobytes()).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), work, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -168,5 +169,6 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.known.clear()
 
-    return arrow(_rows(docs)).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(_rows(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import map_arrow
 
 from .templates import Template
 
@@ -108,7 +108,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
                     out, size = [], 0
         yield batch()
 
-    return arrow(rows).mapInArrow(work, "conv_id long, piece long, text string, generated boolean")
+    return map_arrow(rows, work, "conv_id long, piece long, text string, generated boolean")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,4 +138,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def conversation_digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
     """Format the conversations, read them back, and return per conversation: conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars. Cases as in format_conversations; the template must write turns as the default does."""
-    return format_conversations(turns, template).mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(format_conversations(turns, template), _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,35 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow(df: DataFrame, rows: int = 500) -> DataFrame:
+def release() -> None:
+    """Hand memory that this Python worker no longer uses back to the system. Executors keep idle workers, several a core
+    when tasks are short, and without this each would keep its largest task's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, releasing its memory at the end of a task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def bounded(df: DataFrame, rows: int = 500) -> DataFrame:
     """df, after making sure that its session hands Python workers `rows` rows at a time at most. Texts are long: with the
     default of 10,000 rows a batch and its copies would hold hundreds of MB on either side. A setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -56,6 +85,14 @@ def arrow(df: DataFrame, rows: int = 500) -> DataFrame:
     return df
 
 
+def map_arrow(df: DataFrame, work: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    return bounded(df).mapInArrow(tidy(work), schema)
+
+
+def map_pandas(df: DataFrame, work: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    return bounded(df).mapInPandas(tidy(work), schema)
+
+
 def clean(spark: SparkSession | None = None) -> None:
     """Delete the work tables that this process has made."""
     while _made:

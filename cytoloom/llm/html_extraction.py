@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize
+from .common import map_arrow, materialize
 
 GAMMA, LEAST_IMPORTANCE, MIN_PAGES, MAX_BROADCAST = 0.9, 0.3, 8, 50_000
 
@@ -228,7 +228,7 @@ def _source(pages: DataFrame) -> DataFrame:
 def observations(pages: DataFrame) -> DataFrame:
     """(host, kind, path, value, n), counted within batches: pages that have a node, its styles and its contents, and
     whether it is marked as no content or is running text."""
-    return materialize(arrow(_source(pages)).mapInArrow(_observe, "host string, kind string, path string, value long, n long"), "style-observations")
+    return materialize(map_arrow(_source(pages), _observe, "host string, kind string, path string, value long, n long"), "style-observations")
 
 
 def style_tree(observed: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             by_host.setdefault(r["host"], set()).add(r["path"])
         rows = rows.withColumn("removed", F.lit(None).cast("array<string>"))
     else:
-        own = arrow(rows).mapInArrow(_own_nodes, "page_id long, host string, path string").join(removed, ["host", "path"])
+        own = map_arrow(rows, _own_nodes, "page_id long, host string, path string").join(removed, ["host", "path"])
         lists = own.groupBy("page_id").agg(F.collect_set("path").alias("removed"))  # a page's own nodes
         rows = rows.join(lists, "page_id", "left")
 
@@ -284,4 +284,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(Page(batch.column(2)[i].as_py() or "").text(gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "removed").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows.select("page_id", "url", "html", "removed"), work, "page_id long, url string, text string, n_chars long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize
+from .common import map_arrow, map_pandas, materialize
 from .pu import fit_with_prior, held_out, sigmoid, training_rows
 
 MAX_POSITIVE, MAX_UNLABELLED, THRESHOLD = 6000, 12000, 0.3
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "positive": batch["positive"], "x": [list(map(float, measures(t.encode()))) for t in batch["text"]]})
 
-    seen = arrow(rows).mapInPandas(vectors, "doc_id long, positive boolean, x array<double>")
+    seen = map_pandas(rows, vectors, "doc_id long, positive boolean, x array<double>")
     seen = materialize(seen, "quality-sample").orderBy("doc_id", "positive").toPandas()
     positive = seen["positive"].to_numpy(bool)
     x = np.stack(seen["x"]) if len(seen) else np.zeros((0, MEASURES))
@@ -113,7 +113,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     text = F.lit(None).cast("string") if "text" in keep else F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)))
     kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return arrow(rows).mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int" + kinds)
+    return map_arrow(rows, work, "doc_id long, held_out boolean, score double, predicted int" + kinds)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, lookup, materialize
+from .common import lookup, map_arrow, map_pandas, materialize
 from .components import components
 
 BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -63,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row of docs; a null text is empty and has fingerprint 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow(rows).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(rows, _fingerprints, "doc_id long, fp long")
 
 
 def _masks() -> list[tuple[int, int]]:
@@ -127,10 +127,10 @@ def near_links(fps: DataFrame, radius: int = 3, group_limit: int = 256) -> DataF
     met = variants(fps).repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     met = materialize(met, "variants")
     groups = met.filter(F.col("n") <= group_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("members")).select("members").distinct()
-    links = arrow(groups).mapInPandas(lambda b: _span(b, radius), "u long, v long").distinct()
+    links = map_pandas(groups, lambda b: _span(b, radius), "u long, v long").distinct()
     large = met.filter(F.col("n") > group_limit).select("fp").distinct()
     if not large.isEmpty():
-        balls = arrow(large).mapInPandas(_full_balls, "fp long, key long, near boolean")
+        balls = map_pandas(large, _full_balls, "fp long, key long, near boolean")
         centre = balls.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("c"), F.count("*").alias("n")).filter("c IS NOT NULL AND n > 1")
         links = links.union(balls.join(centre, "key").filter("fp <> c").select("fp", "c").distinct())
     return links

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize
+from .common import map_arrow, map_pandas, materialize
 from .pu import fit_with_prior, held_out, sigmoid, training_rows
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES, MIN_LIFT = 4000, 8000, 400, 3.0
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
     n_p, n_u = n.get(True, 0), n.get(False, 0)
     if not n_p or not n_u:
         return Model([], np.zeros(0), -1.0, 0.0)
-    counts = arrow(rows.select("text", "positive")).mapInPandas(_counts, "name string, p long, u long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = map_pandas(rows.select("text", "positive"), _counts, "name string, p long, u long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / float(n_p), F.col("u") / float(n_u)
     pooled = (F.col("p") + F.col("u")) / float(n_p + n_u)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-9)
@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = MAX_POSITIV
         for batch in batches:
             yield pd.DataFrame({"positive": batch["positive"], "on": [sorted(at[x] for x in features(occurrences(t)) if x in at) for t in batch["text"]]})
 
-    seen = rows.select("doc_id", "text", "positive").orderBy("doc_id").select("text", "positive").mapInPandas(vectors, "positive boolean, on array<int>").toPandas()
+    seen = map_pandas(rows.select("doc_id", "text", "positive").orderBy("doc_id").select("text", "positive"), vectors, "positive boolean, on array<int>").toPandas()
     x = np.zeros((len(seen), len(names)), np.float32)
     for i, on in enumerate(seen["on"]):
         x[i, np.asarray(on, int)] = 1
@@ -116,4 +116,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return arrow(rows).mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, work, "doc_id long, held_out boolean, score double, predicted int")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, lookup, materialize, new_path
+from .common import lookup, map_arrow, materialize, new_path
 
 MAX_BROADCAST = 100_000
 FILE_BYTES = 24 << 20
@@ -47,7 +47,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def payload_headers(pages: DataFrame) -> DataFrame:
     """(page_id, payload_digest, payload_bytes): the digest is bare upper-case base32 of the SHA-1."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return arrow(rows).mapInArrow(_hash, "page_id long, payload_digest string, payload_bytes long")
+    return map_arrow(rows, _hash, "page_id long, payload_digest string, payload_bytes long")
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, date: s
     size = found.agg(F.count("*").alias("n"), F.count("refers_to").alias("revisits"), F.sum("payload_bytes").alias("bytes")).first()
     revisits = found.filter("refers_to IS NOT NULL").select(F.col("page_id").alias("pid"), F.col("payload_digest").alias("same"), "refers_to").distinct()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = arrow(rows).mapInArrow(_hash_rows, "page_id long, url string, html string, digest string")
+    rows = map_arrow(rows, _hash_rows, "page_id long, url string, html string, digest string")
     rows = rows.join(F.broadcast(revisits) if size["revisits"] <= MAX_BROADCAST else revisits, F.col("page_id").eqNullSafe(F.col("pid")) & (F.col("digest") == F.col("same")), "left")
     text = _record(F.col("page_id"), F.col("url"), F.col("html"), F.col("digest"), F.octet_length("html"), F.col("refers_to"), date)
     per_file = max(1, int(FILE_BYTES / max(1.0, (size["bytes"] or 0) / max(1, size["n"]) + 600)))
@@ -141,7 +141,7 @@ def read_archives(spark, path: str) -> DataFrame:
     """Every record under path: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in
     revisits). Lengths and digests of responses are checked."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return arrow(files).mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return map_arrow(files, _read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def archived_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
