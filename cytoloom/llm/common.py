@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds at least this share of all rows, so there are at most 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 1 / 512
+FILE_ROWS = 250_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -39,11 +40,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, path: str | None = None, rows: int | None = None) -> DataFrame:
     """Write df once to the shared folder and return the written table: it cuts the lineage, and losing an executor
-    later costs a re-read, not a re-run."""
+    later costs a re-read, not a re-run.
+
+    rows is a bound on the number of rows of a narrow table: it is written by tasks of FILE_ROWS rows or so, in place of
+    one small file for each shuffle partition. Large tables keep their partitions."""
     spark = df.sparkSession
     path = path or new_path(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

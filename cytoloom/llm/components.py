@@ -27,9 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(rounds if state[0] else 0):
-        large = materialize(_stars(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True), "large-star")
+        large = materialize(_stars(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True), "large-star", rows=2 * state[0])
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        now = materialize(_stars(down, False), "small-star")
+        now = materialize(_stars(down, False), "small-star", rows=2 * state[0])
         after = _state(now)
         if after == state:
             break

@@ -118,9 +118,9 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 MAX_BROADCAST = 400_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id and text hash are in dropped (doc_id, text_hash)."""
-    gone = materialize(dropped.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), "dropped")
+def without(docs: DataFrame, dropped: DataFrame, total: int | None = None) -> DataFrame:
+    """docs but for the rows whose doc_id and text hash are in dropped (doc_id, text_hash), at most `total` rows."""
+    gone = materialize(dropped.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), "dropped", rows=total)
     few = gone.count() <= MAX_BROADCAST
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__cytoloom_hash"))
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
@@ -129,12 +129,14 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they were. Of rows that repeat a doc_id and its
     text one stays."""
-    found = materialize(exact_duplicates(docs, **options), "exact-verdicts")
-    out = without(docs, found.filter("NOT kept"))
+    found = exact_duplicates(docs, **options)
+    total = docs.select("doc_id").count()
+    found = materialize(found, "exact-verdicts", rows=total)
+    out = without(docs, found.filter("NOT kept"), total)
     again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).filter("n > 1")
     if again.isEmpty():
         return out
     rows = found.filter("kept").join(again.select(F.col("doc_id").alias("__cytoloom_id"), "text_sha256"), F.col("doc_id").eqNullSafe(F.col("__cytoloom_id")) & (found["text_sha256"] == again["text_sha256"]), "left_semi")
     one = docs.join(rows.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__cytoloom_hash")))
     one = one.withColumn("__cytoloom_norm", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["__cytoloom_id", "__cytoloom_norm"])
-    return without(out, rows).unionByName(one.select(*docs.columns))
+    return without(out, rows, total).unionByName(one.select(*docs.columns))

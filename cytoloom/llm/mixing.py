@@ -160,12 +160,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int
     sums = unit.groupBy("sidx", "epoch", "bucket").agg(F.count("*").alias("blocks"), F.sum("n_words").alias("words"))
     before = Window.partitionBy("sidx").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumns({"offset": F.coalesce(F.sum("blocks").over(before), F.lit(0)), "words_before": F.coalesce(F.sum("words").over(before), F.lit(0))})
-    sums = materialize(sums, "mix-buckets")
+    sums = materialize(sums, "mix-buckets", rows=int(sum(e << b for e, b in zip(per["epochs"], per["bits"], strict=True))))
     within = Window.partitionBy("sidx", "epoch", "bucket").orderBy("order", "rid", "block")
     ranked = unit.withColumns({"nth": F.row_number().over(within) - 1, "sofar": F.sum("n_words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words")})
     kept = ranked.join(sums.select("sidx", "epoch", "bucket", F.col("offset").alias("off"), F.col("words_before").alias("wb")), ["sidx", "epoch", "bucket"])
     kept = kept.filter(F.col("wb") + F.col("sofar") + F.col("n_words") / F.lit(2.0) <= F.col("target"))
-    kept = materialize(kept.select("rid", "doc_id", "sidx", "epoch", "bucket", "block", "n_words", (F.col("off") + F.col("nth")).alias("pos")), "mix-taken")
+    kept = materialize(kept.select("rid", "doc_id", "sidx", "epoch", "bucket", "block", "n_words", (F.col("off") + F.col("nth")).alias("pos")), "mix-taken", rows=MAX_REPEATS * int(per["blocks"].fillna(0).sum()))
 
     counts = {r["sidx"]: r["n"] for r in kept.groupBy("sidx").agg(F.count("*").alias("n")).collect()}
     per["quota"] = [int(counts.get(i, 0)) for i in range(len(per))]

@@ -124,6 +124,7 @@ def near_links(fps: DataFrame, radius: int = 3, group_limit: int = 256) -> DataF
     """Links (u, v) that span the graph of fingerprints (fp, each once) within 3 bits of each other."""
     if radius != 3:
         raise ValueError("the projections are laid out for a radius of 3")
+    # many rows: written by as many tasks as they are shuffled to
     met = variants(fps).repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     met = materialize(met, "variants")
     groups = met.filter(F.col("n") <= group_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("members")).select("members").distinct()
@@ -144,11 +145,12 @@ def near_duplicate_classes(docs: DataFrame, group_limit: int = 256) -> DataFrame
     component_id unless nothing in its component has an id. Repeated rows each get a row. Only doc_id and text are
     read; an empty table gives an empty result."""
     rows = materialize(fingerprints(docs), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    total = rows.count()
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints", rows=total)
     rooted = components(near_links(fps.select("fp"), group_limit=group_limit)).withColumnRenamed("node", "fp")
     labelled = fps.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps"))
-    labelled = materialize(lookup(labelled, least, ["root"], "fps").select("fp", "n", "component_id"), "classes")
+    labelled = materialize(lookup(labelled, least, ["root"], "fps").select("fp", "n", "component_id"), "classes", rows=total)
     found = lookup(rows, labelled, ["fp"], "n")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -160,7 +162,8 @@ MAX_BROADCAST = 400_000
 def deduplicated(docs: DataFrame, group_limit: int = 256) -> DataFrame:
     """docs with one row of each near-duplicate class, that with the least doc_id, all columns as they were. Rows without
     a doc_id go where their class has a row with one, and stay where it has none."""
-    found = materialize(near_duplicate_classes(docs, group_limit), "near-verdicts")
-    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__cytoloom_id")).distinct(), "near-dropped")
+    total = docs.select("doc_id").count()
+    found = materialize(near_duplicate_classes(docs, group_limit), "near-verdicts", rows=total)
+    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__cytoloom_id")).distinct(), "near-dropped", rows=total)
     few = gone.count() <= MAX_BROADCAST
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")), "left_anti")
