@@ -50,7 +50,7 @@ def partial_spearman_one(rows: DataFrame, by: Sequence[str], x: str = "x", y: st
     r = ranked.groupBy(*by).agg(F.count("*").alias("n"), S.correlation("_rx", "_ry").alias("xy"), S.correlation("_rx", "_rc").alias("xc"), S.correlation("_ry", "_rc").alias("yc"))
     below = F.sqrt((1 - F.col("xc") * F.col("xc")) * (1 - F.col("yc") * F.col("yc")))
     rho = F.when((F.col("n") >= least) & (below > 1e-12), (F.col("xy") - F.col("xc") * F.col("yc")) / F.when(below > 1e-12, below))
-    return r.select(*by, "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho"))
+    return r.select(*by, "n", F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
 
 
 def _ranks(a: np.ndarray) -> np.ndarray:
