@@ -15,7 +15,7 @@ from ..sources import domain
 from .registry import query
 
 N, SEED = 40, 5
-PAIRS = """b AS (SELECT n_nationkey AS k, n_name AS region, round(avg(c_acctbal), 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+PAIRS = """b AS (SELECT n_nationkey AS k, n_name AS region, round(avg(c_acctbal) + 1e-7, 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
     e AS (SELECT CAST(a.k + 25 * c.k AS BIGINT) AS edge_idx, a.region AS src_region, c.region AS tgt_region, round((a.s - c.s) / 100 + a.k, 4) AS y, round((a.s - c.s) / 100 + a.k, 4) * 0.9 + ((a.k * 7 + c.k * 13) % 11 - 5) / 10.0 AS y_hat FROM b a CROSS JOIN b c)"""
 FOLDS = f"WITH {PAIRS}, r AS (SELECT region AS fold FROM b), f AS (SELECT fold, e.*, src_region = fold OR tgt_region = fold AS is_test FROM e CROSS JOIN r)"
 UNIQUE = FOLDS + ", t AS (SELECT * FROM f WHERE is_test), u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_idx ORDER BY CASE WHEN fold = src_region THEN 0 WHEN fold = tgt_region THEN 1 ELSE 2 END, fold) AS n FROM t) WHERE n = 1)"
@@ -23,7 +23,7 @@ UNIQUE = FOLDS + ", t AS (SELECT * FROM f WHERE is_test), u AS (SELECT * FROM (S
 
 def edges(spark, sf_dir):
     nation = domain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
-    own = domain.table(spark, sf_dir, "customer").join(F.broadcast(nation), "c_nationkey").groupBy(F.col("c_nationkey").alias("k"), "region").agg(F.round(F.avg("c_acctbal"), 2).alias("s"))
+    own = domain.table(spark, sf_dir, "customer").join(F.broadcast(nation), "c_nationkey").groupBy(F.col("c_nationkey").alias("k"), "region").agg(F.round(F.avg("c_acctbal") + 1e-7, 2).alias("s"))
     a = own.select(F.col("k").alias("ka"), F.col("region").alias("src_region"), F.col("s").alias("sa"))
     b = own.select(F.col("k").alias("kb"), F.col("region").alias("tgt_region"), F.col("s").alias("sb"))
     y = F.round((F.col("sa") - F.col("sb")) / 100 + F.col("ka"), 4)
@@ -122,13 +122,13 @@ def fold_bootstrap(spark, sf_dir):
 
 
 #: Three runs per region: segments' mean balances.
-RUNS = "runs AS (SELECT n_name AS region, c_mktsegment AS subset, round(avg(c_acctbal), 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') GROUP BY 1, 2)"
+RUNS = "runs AS (SELECT n_name AS region, c_mktsegment AS subset, round(avg(c_acctbal) + 1e-7, 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') GROUP BY 1, 2)"
 
 
 def runs(spark, sf_dir):
     nation = domain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
     own = domain.table(spark, sf_dir, "customer").filter("c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY')")
-    return own.join(F.broadcast(nation), "c_nationkey").groupBy("region", F.col("c_mktsegment").alias("subset")).agg(F.round(F.avg("c_acctbal"), 2).alias("value"))
+    return own.join(F.broadcast(nation), "c_nationkey").groupBy("region", F.col("c_mktsegment").alias("subset")).agg(F.round(F.avg("c_acctbal") + 1e-7, 2).alias("value"))
 
 
 @query("wilcoxon_w", f"WITH {RUNS}, d AS (SELECT a.subset AS run_a, b.subset AS run_b, round(a.value - b.value, 12) AS d FROM runs a JOIN runs b ON a.region = b.region AND a.subset < b.subset), k AS (SELECT *, rank() OVER (PARTITION BY run_a, run_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run_a, run_b, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) SELECT run_a, run_b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_minus FROM k GROUP BY 1, 2")
