@@ -8,6 +8,7 @@ from ..functions.stats import mean_positive, r6
 from ..operators import characterize as char
 from ..operators import features, infer
 from ..sources import domain
+from ..sources.work import cut
 from .inference import BASE
 from .preparation import network
 from .registry import CELLS, query
@@ -93,7 +94,7 @@ def top_lr(spark, sf_dir):
     m AS (SELECT d.region, boot, avg(weight) AS mean FROM d JOIN v ON v.region = d.region AND v.i = d.j GROUP BY 1, 2)
     SELECT region, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM m GROUP BY 1""")
 def bootstrap_ci(spark, sf_dir):
-    values = summed(spark, sf_dir).select(features.region_of("sender").alias("region"), "sender", "receiver", F.round("weight", 9).alias("weight"))
+    values = cut(summed(spark, sf_dir)).select(features.region_of("sender").alias("region"), "sender", "receiver", F.round("weight", 9).alias("weight"))
     out = char.bootstrap_interval(values, ["region"], "weight", ["sender", "receiver"], N, SEED)
     return out.select("region", *(r6(c).alias(c) for c in ("mean", "lo", "hi")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import r6
 from ..operators import infer
 from ..sources import domain
+from ..sources.work import cut
 from .registry import CELLS, EXPR, query
 
 PERMUTATIONS, SEED = 8, 42
@@ -50,19 +51,19 @@ NETWORK = "net0 AS (SELECT a.lr_name, a.node AS sender, b.node AS receiver, a.sc
 BASE = f"WITH {CELLS}, {EXPR}, {RULES}, {SIGNAL}, {DENSE}, {GROUPED}, {ELIGIBLE}, {_scores()}, {NETWORK}"
 
 
-def rules(spark, sf_dir, strict=1):
-    """The rules whose genes the panel has."""
+def inputs(spark, sf_dir):
+    """Signalling expression, labels, and the rules whose genes the panel has. The expression comes from a join of the
+    three largest tables and is used several times over, so it is worked out once."""
     table = domain.rule_table(spark)
-    fine = infer.eligible_rules(table, domain.expression(spark, sf_dir).select("gene"), strict).filter("eligible")
-    return table.join(fine, "lr_name", "left_semi")
+    signal = cut(infer.signalling(domain.expression(spark, sf_dir), table))
+    fine = infer.eligible_rules(table, signal.select("gene")).filter("eligible")
+    return signal, domain.cells(spark, sf_dir).select("cell_id", "node"), table.join(fine, "lr_name", "left_semi")
 
 
 def parts(spark, sf_dir, how="triquartile"):
-    """Signalling expression, labels, rules in use, and group expression."""
-    table = domain.rule_table(spark)
-    signal = infer.signalling(domain.expression(spark, sf_dir), table)
-    labels = domain.cells(spark, sf_dir).select("cell_id", "node")
-    return signal, labels, rules(spark, sf_dir), infer.group_expression(signal, labels, how)
+    """inputs and group expression."""
+    signal, labels, own = inputs(spark, sf_dir)
+    return signal, labels, own, cut(infer.group_expression(signal, labels, how))
 
 
 def tested(spark, sf_dir):

@@ -10,6 +10,7 @@ from ..operators import graph, heterogeneity, infer, spatial
 from ..operators import importance as imp
 from ..operators import preprocess as pre
 from ..sources import domain
+from ..sources.work import cut
 from .inference import RULES
 from .prediction import AGG, TWO, importances, meta, two_tables
 from .preparation import EDGES, MEANS, ROWS, edge_rows, region_edges, region_table
@@ -304,7 +305,7 @@ LOGS = ROWS + f", {EDGES}, lx AS (SELECT feature, src_region, tgt_region, ln(gre
 
 
 def marginals(spark, sf_dir):
-    return spatial.log_marginals(edge_rows(spark, sf_dir).select("feature", "src_region", "tgt_region", "value"), domain.table(spark, sf_dir, "region").select(F.col("r_name").alias("region")))
+    return cut(spatial.log_marginals(edge_rows(spark, sf_dir).select("feature", "src_region", "tgt_region", "value"), domain.table(spark, sf_dir, "region").select(F.col("r_name").alias("region"))))
 
 
 @query("log_marginals", LOGS + " SELECT feature, side, region, round(v, 6) AS v FROM lm UNION ALL SELECT feature, 'all', NULL, round(b, 6) FROM ba")

@@ -9,7 +9,7 @@ from ..operators import association as assoc
 from ..operators import infer
 from ..operators import preprocess as pre
 from ..sources import domain
-from .inference import ELIGIBLE, NETWORK, RULES, SIGNAL, _scores, parts
+from .inference import ELIGIBLE, NETWORK, RULES, SIGNAL, _scores, inputs
 from .registry import CELLS, EXPR, query
 
 SDENSE = "sdense AS (SELECT c.subject AS perm, c.cell_id, c.node, g.gene, coalesce(s.value, 0) AS value FROM cells c CROSS JOIN (SELECT DISTINCT gene FROM signal) g LEFT JOIN signal s ON s.cell_id = c.cell_id AND s.gene = g.gene), grouped AS (SELECT perm, node, gene, avg(value) AS value FROM sdense GROUP BY 1, 2, 3)"
@@ -19,7 +19,7 @@ BASE = f"WITH {CELLS}, {EXPR}, {RULES}, {SIGNAL}, {SDENSE}, {ELIGIBLE}, {_scores
 
 def networks(spark, sf_dir):
     """(subject, lr_name, sender, receiver, net), each subject inferred from its own cells."""
-    signal, _, own, _ = parts(spark, sf_dir)
+    signal, _, own = inputs(spark, sf_dir)
     labels = domain.cells(spark, sf_dir).select("subject", "cell_id", "node")
     scores = infer.side_scores(infer.group_expression(signal, labels, "mean", by=["subject"]), own, by=["subject"])
     return infer.observed_network(scores, by=["subject"]).withColumnRenamed("prob", "net")
