@@ -13,7 +13,7 @@ from .inference import BASE
 from .preparation import network
 from .registry import CELLS, query
 
-N, SEED = 20, 11
+N, SEED = 1000, 11
 SUMMED = BASE + ", sm AS (SELECT sender, receiver, sum(prob) AS weight FROM net0 GROUP BY 1, 2), lab AS (SELECT DISTINCT node, region, cell_type FROM cells)"
 POS = "coalesce(avg(CASE WHEN weight > 0 THEN weight END), 0)"
 #: Segments stand in for cell types; which of them count as neurons is arbitrary.

@@ -48,13 +48,13 @@ def _subjects(spark, sf_dir):
 
 @query("variance_partition")
 def variance_partition(spark, sf_dir):
-    out = models.variance_partition(_subjects(spark, sf_dir), ["lo", "hi"], ["n", "k"], n_perm=9)
+    out = models.variance_partition(_subjects(spark, sf_dir), ["lo", "hi"], ["n", "k"], n_perm=1000)
     return out.select("outcome", "n", *(r6(c).alias(c) for c in ("r2_full", "r2_d", "r2_w", "unique_d", "unique_w", "shared", "p")))
 
 
 @query("orthogonal_score")
 def orthogonal_score(spark, sf_dir):
-    return models.orthogonal_score(_subjects(spark, sf_dir), "hi", ["n", "k", "lo"], n_boot=50).select("outcome", "n", *(r6(c).alias(c) for c in ("theta", "lo", "hi")))
+    return models.orthogonal_score(_subjects(spark, sf_dir), "hi", ["n", "k", "lo"], n_boot=1000).select("outcome", "n", *(r6(c).alias(c) for c in ("theta", "lo", "hi")))
 
 
 @query("pca_reduced")

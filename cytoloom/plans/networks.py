@@ -16,7 +16,7 @@ from .prediction import AGG, TWO, importances, meta, two_tables
 from .preparation import EDGES, MEANS, ROWS, edge_rows, region_edges, region_table
 from .registry import CELLS, EXPR, query
 
-N, SEED = 12, 3
+N, SURROGATES, SEED = 1000, 100, 3
 NAMES = [("NRXN1_NLGN1", "Neurexin", "Neurexin-Neuroligin"), ("GABA-A_x", "GABA-A", "Other"), ("NRG1_ERBB4", "Neuregulin-ErbB", "Neuregulin-ERBB"), ("NRG3_x", "Other", "Neuregulin-ERBB"), ("Glu-GRIA1", "Glutamate", "Glutamate_Signaling"), ("SEMA3A_NRP1", "Semaphorin-Plexin", "Semaphorin-Plexin"), ("SLIT2_ROBO1", "Slit-Robo", "Slit-Robo"), ("COL1A1_CD44", "Collagen", "Laminin-Integrin"), ("ITGA1_ITGB1", "Integrin", "Laminin-Integrin"), ("WNT5A_x", "Wnt", "Other"), ("FGF2_x", "FGF", "Other"), ("BMP4_x", "BMP/GDF", "Other"), ("abc", "Other", "Other")]
 TYPES = [("Astrocyte", "Glia"), ("MGE interneuron", "Inhibitory"), ("Amygdala excitatory", "Excitatory"), ("Vascular", "Other"), ("nobody", "Other")]
 CLASSES = {"Neuron": ("T1", "T2"), "Glia": ("T3",)}
@@ -336,7 +336,7 @@ def pseudo_cells(spark, sf_dir):
 @query("variogram_surrogates")
 def variogram_surrogates(spark, sf_dir):
     maps = domain.table(spark, sf_dir, "customer").join(F.broadcast(domain.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_mktsegment").alias("map"), F.col("n_name").alias("region")).agg(F.avg("c_acctbal").alias("v"))
-    return spatial.surrogate_maps(maps, spatial.distances(centres(spark, sf_dir), "area"), 4, SEED, resample=True).withColumn("v", r6("v"))
+    return spatial.surrogate_maps(maps, spatial.distances(centres(spark, sf_dir), "area"), SURROGATES, SEED, resample=True).withColumn("v", r6("v"))
 
 
 HET = "tm AS (SELECT c.region, c.cell_type, e.gene, sum(value) / any_value(n.size) AS value FROM expr e JOIN cells c USING (cell_id) JOIN (SELECT region, cell_type, count(*) AS size FROM cells GROUP BY 1, 2) n ON n.region = c.region AND n.cell_type = c.cell_type GROUP BY 1, 2, 3), en AS (SELECT region, gene, sum(CASE WHEN p > 0 THEN -p * ln(p) / ln(2) END) AS entropy FROM (SELECT region, gene, value / sum(value) OVER (PARTITION BY region, gene) AS p FROM tm) GROUP BY 1, 2)"

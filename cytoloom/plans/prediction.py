@@ -14,7 +14,7 @@ from ..operators import validation as val
 from ..sources import domain
 from .registry import query
 
-N, SEED = 40, 5
+N, DIFFERENCES, SEED = 1000, 5000, 5
 PAIRS = """b AS (SELECT n_nationkey AS k, n_name AS region, round(avg(c_acctbal) + 1e-7, 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
     e AS (SELECT CAST(a.k + 25 * c.k AS BIGINT) AS edge_idx, a.region AS src_region, c.region AS tgt_region, round((a.s - c.s) / 100 + a.k, 4) AS y, round((a.s - c.s) / 100 + a.k, 4) * 0.9 + ((a.k * 7 + c.k * 13) % 11 - 5) / 10.0 AS y_hat FROM b a CROSS JOIN b c)"""
 FOLDS = f"WITH {PAIRS}, r AS (SELECT region AS fold FROM b), f AS (SELECT fold, e.*, src_region = fold OR tgt_region = fold AS is_test FROM e CROSS JOIN r)"
@@ -286,17 +286,17 @@ def _pct(spark, sf_dir):
 
 def _boots(source: str, seed: int, out: str) -> str:
     return f"""f{out} AS (SELECT fold, row_number() OVER (ORDER BY fold) - 1 AS i, count(*) OVER () AS nf FROM (SELECT DISTINCT fold FROM {source})),
-        b{out} AS (SELECT boot, group_name, sum(pct) / any_value(d.nf) AS v FROM (SELECT boot, nf, CAST(('0x' || substr(md5('{seed}_' || boot || '_' || i), 1, 15)) AS BIGINT) % nf AS j FROM f{out} CROSS JOIN range({N}) b(boot)) d JOIN f{out} ON f{out}.i = d.j JOIN {source} s ON s.fold = f{out}.fold GROUP BY 1, 2)"""
+        b{out} AS (SELECT boot, group_name, sum(pct) / any_value(d.nf) AS v FROM (SELECT boot, nf, CAST(('0x' || substr(md5('{seed}_' || boot || '_' || i), 1, 15)) AS BIGINT) % nf AS j FROM f{out} CROSS JOIN range({DIFFERENCES}) b(boot)) d JOIN f{out} ON f{out}.i = d.j JOIN {source} s ON s.fold = f{out}.fold GROUP BY 1, 2)"""
 
 
 @query("diff_pct_ci", ALL + f""", pct AS (SELECT fold, ct_l AS group_name, round(sum(rel) * 100, 9) AS pct FROM x WHERE ct_l IS NOT NULL GROUP BY 1, 2),
     ev AS (SELECT * FROM pct WHERE CAST(regexp_extract(fold, '(\\d+)', 1) AS INTEGER) % 2 = 0), od AS (SELECT * FROM pct WHERE CAST(regexp_extract(fold, '(\\d+)', 1) AS INTEGER) % 2 = 1), {_boots('ev', SEED, 'a')}, {_boots('od', SEED + 1, 'b')},
     j AS (SELECT group_name, ba.v AS a, bb.v AS b FROM ba JOIN bb USING (boot, group_name)),
-    k AS (SELECT group_name, quantile_cont(a - b, 0.025) AS lo, quantile_cont(a - b, 0.975) AS hi, greatest(1.0 / {N}, least(1.0, 2 * least(avg(CASE WHEN a - b < -1e-12 THEN 1.0 ELSE 0 END), avg(CASE WHEN a - b > 1e-12 THEN 1.0 ELSE 0 END)))) AS p FROM j GROUP BY 1),
+    k AS (SELECT group_name, quantile_cont(a - b, 0.025) AS lo, quantile_cont(a - b, 0.975) AS hi, greatest(1.0 / {DIFFERENCES}, least(1.0, 2 * least(avg(CASE WHEN a - b < -1e-12 THEN 1.0 ELSE 0 END), avg(CASE WHEN a - b > 1e-12 THEN 1.0 ELSE 0 END)))) AS p FROM j GROUP BY 1),
     l AS (SELECT *, row_number() OVER (ORDER BY p, group_name) AS r, count(*) OVER () AS n FROM k)
     SELECT group_name, round(lo, 6) AS diff_lo, round(hi, 6) AS diff_hi, round(CAST(p AS DOUBLE), 6) AS p, round(CAST(least(1, min(p * n / r) OVER (ORDER BY p, group_name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS DOUBLE), 6) AS fdr FROM l""")
 def diff_pct_ci(spark, sf_dir):
-    out = imp.difference_interval(*_pct(spark, sf_dir), N, SEED)
+    out = imp.difference_interval(*_pct(spark, sf_dir), DIFFERENCES, SEED)
     return out.select("group_name", *(r6(c).alias(c) for c in ("diff_lo", "diff_hi", "p", "fdr")))
 
 
