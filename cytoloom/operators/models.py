@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import hash_key, hash_number
 
+FOLDS_AT_A_TIME = 8
+
 
 def split_validation(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """rows with is_valid: whether the hash of the key falls in the share kept for early stopping."""
@@ -35,14 +39,23 @@ def predict(model, rows: DataFrame, features: Sequence[str], out: str = "y_hat")
     return model.transform(data).withColumnRenamed("prediction", out).drop("_x")
 
 
+def fold_models(rows: DataFrame, features: Sequence[str], folds: Sequence[str], y: str = "y_t", **options) -> list:
+    """A model per fold of its train rows, a share of which stops it early; some folds' Spark jobs run at a time."""
+
+    def fit(fold: str):
+        own = rows.filter((F.col("fold") == fold) & ~F.col("is_test"))
+        return train_trees(split_validation(own, "edge_idx", 0.15, 42), features, y, **options)
+
+    with ThreadPoolExecutor(FOLDS_AT_A_TIME) as pool:
+        return list(pool.map(inheritable_thread_target(fit), folds))
+
+
 def region_folds(rows: DataFrame, features: Sequence[str], folds: Sequence[str], y: str = "y_t", **options) -> tuple[DataFrame, DataFrame]:
     """Train on the other edges and predict those that touch each region: (predictions, gains). rows: fold rows with
     is_test; the driver only loops over folds, whose models are Spark jobs."""
     predictions = gains = None
-    for fold in folds:
-        own = rows.filter(F.col("fold") == fold)
-        model = train_trees(split_validation(own.filter("NOT is_test"), "edge_idx", 0.15, 42), features, y, **options)
-        p = predict(model, own.filter("is_test"), features)
+    for fold, model in zip(folds, fold_models(rows, features, folds, y, **options), strict=True):
+        p = predict(model, rows.filter((F.col("fold") == fold) & F.col("is_test")), features)
         g = rows.sparkSession.createDataFrame([(fold, f, float(x)) for f, x in zip(features, model.featureImportances.toArray(), strict=True)], "fold string, feature string, gain double")
         predictions, gains = (p, g) if predictions is None else (predictions.unionByName(p), gains.unionByName(g))
     return predictions, gains

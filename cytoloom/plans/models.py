@@ -10,24 +10,31 @@ from ..functions.stats import r6
 from ..operators import models
 from ..operators import validation as val
 from ..sources import domain
+from ..sources.work import cut
 from ..streaming.incremental import process_new
 from .prediction import edges, regions
 from .registry import query
 
 FEATURES = ("ka", "kb", "gap", "product")
+#: The most rounds of boosting; the validation rows stop a fold's model before.
+ROUNDS = 2000
 
 
-def fold_rows(spark, sf_dir, folds):
+def fold_rows(spark, sf_dir):
     own = edges(spark, sf_dir).select("edge_idx", "src_region", "tgt_region", "y")
     k = F.col("edge_idx") % 25, F.floor(F.col("edge_idx") / 25)
     own = own.withColumns({"ka": k[0].cast("double"), "kb": k[1].cast("double")}).withColumns({"gap": F.abs(F.col("ka") - F.col("kb")), "product": F.col("ka") * F.col("kb")})
-    return val.transformed(val.fold_rows(own, regions(spark, sf_dir).filter(F.col("region").isin(folds))))
+    return cut(val.transformed(val.fold_rows(own, regions(spark, sf_dir))))
+
+
+def all_folds(rows):
+    return [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
 
 
 @query("lobo_trees")
 def lobo_trees(spark, sf_dir):
-    folds = ["NATION_3", "NATION_8"]
-    predictions, _ = models.region_folds(fold_rows(spark, sf_dir, folds), FEATURES, folds, rounds=5, depth=3)
+    rows = fold_rows(spark, sf_dir)
+    predictions, _ = models.region_folds(rows, FEATURES, all_folds(rows), rounds=ROUNDS)
     return val.metrics(predictions.withColumn("y", F.col("y_t")), ["fold"]).select("fold", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"))
 
 
@@ -35,9 +42,12 @@ def lobo_trees(spark, sf_dir):
 def tree_shap_directions(spark, sf_dir):
     from ..operators.importance import directionality
 
-    rows = fold_rows(spark, sf_dir, ["NATION_3"])
-    model = models.train_trees(rows.filter("NOT is_test"), FEATURES, "y_t", rounds=3, depth=3, valid=None)
-    return directionality(models.tree_shap(model, rows.filter("is_test"), FEATURES, ["edge_idx"])).select("feature", r6("mean_abs").alias("mean_abs"), r6("r").alias("r"), "direction")
+    rows = fold_rows(spark, sf_dir)
+    folds, effects = all_folds(rows), None
+    for fold, model in zip(folds, models.fold_models(rows, FEATURES, folds, rounds=ROUNDS), strict=True):
+        found = models.tree_shap(model, rows.filter((F.col("fold") == fold) & F.col("is_test")), FEATURES, ["fold", "edge_idx"])
+        effects = found if effects is None else effects.unionByName(found)
+    return directionality(effects).select("feature", r6("mean_abs").alias("mean_abs"), r6("r").alias("r"), "direction")
 
 
 def _subjects(spark, sf_dir):

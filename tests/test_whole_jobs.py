@@ -40,3 +40,15 @@ def test_draws_are_the_references(spark, monkeypatch, name, module, operator, at
     with pytest.raises(Called) as e:
         plans.QUERIES[name](spark, DATA)
     assert e.value.args == (draws,)
+
+
+@pytest.mark.parametrize("name", ["lobo_trees", "tree_shap_directions"])
+def test_trees_hold_out_every_region(spark, monkeypatch, name):
+    def stop(rows, features, folds, y="y_t", **options):
+        raise Called(sorted(folds), options)
+
+    monkeypatch.setattr(models, "fold_models", stop)
+    with pytest.raises(Called) as e:
+        plans.QUERIES[name](spark, DATA)
+    regions = [r["n_name"] for r in spark.read.parquet(f"{DATA}/nation.parquet").select("n_name").collect()]
+    assert e.value.args == (sorted(regions), {"rounds": 2000})
