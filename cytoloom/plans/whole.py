@@ -1,0 +1,87 @@
+"""Whole-table forms of queries whose own SQL reads a part of its table: the same operators over every fold, part, region
+and segment. Their SQL is the other query's without its filter."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.stats import r6
+from ..operators import biology as bio
+from ..operators import importance as imp
+from ..operators import infer
+from ..operators import validation as val
+from ..sources import domain
+from .prediction import ALL, complete_gains, folds, meta, regions, two_tables
+from .registry import CELLS, EXPR, ORACLE, query
+
+
+def _without(name: str, part: str) -> str:
+    if part not in ORACLE[name]:
+        raise ValueError(f"{name} has no {part!r}")
+    return ORACLE[name].replace(part, "")
+
+
+@query("log1p_shift_all", _without("log1p_shift", " WHERE fold <= 'NATION_12'"))
+def log1p_shift_all(spark, sf_dir):
+    return val.transformed(folds(spark, sf_dir), "log1p").select("fold", "edge_idx", r6("y_raw").alias("y_raw"), r6("y_t").alias("y_t"))
+
+
+@query("ecdf_all", _without("ecdf", " WHERE fold <= 'NATION_12'"))
+def ecdf_all(spark, sf_dir):
+    return val.transformed(folds(spark, sf_dir), "ecdf").select("fold", "edge_idx", r6("y_t").alias("y_t"))
+
+
+def genes(spark, sf_dir):
+    return domain.table(spark, sf_dir, "part").select(F.col("p_brand").alias("lr_name"), F.col("p_type").alias("gene")).distinct()
+
+
+@query("genes_by_category_all", _without("genes_by_category", " WHERE p_size < 4"))
+def genes_by_category_all(spark, sf_dir):
+    return bio.category_genes(imp.categorised(*two_tables(spark, sf_dir)), genes(spark, sf_dir)).select("category", F.array_join("genes", ",").alias("genes"))
+
+
+@query("gene_ranking_all", _without("gene_ranking", " WHERE p_size < 9"))
+def gene_ranking_all(spark, sf_dir):
+    return bio.gene_ranking(imp.categorised(*two_tables(spark, sf_dir)), genes(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+_FOLD_SUMS = ", ".join(f"round(sum(CASE WHEN fold = 'NATION_{i}' THEN rel END) * 100, 6) AS NATION_{i}" for i in range(25))
+
+
+@query("lr_fold_matrix_all", ALL + f" SELECT lr_name, {_FOLD_SUMS} FROM x GROUP BY 1")
+def lr_fold_matrix_all(spark, sf_dir):
+    names = sorted(r["region"] for r in regions(spark, sf_dir).collect())
+    out = imp.fold_matrix(complete_gains(spark, sf_dir).select("fold", "feature", "gain"), meta(spark, sf_dir), names)
+    return out.select("lr_name", *(r6(F.col(n) * 100).alias(n) for n in names))
+
+
+@query("merge_runs_all", f"WITH {CELLS}, {EXPR} SELECT lower(region) AS datasets, gene, count(*) AS cells, round(sum(value), 6) AS total FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2")
+def merge_runs_all(spark, sf_dir):
+    expr, cells = domain.expression(spark, sf_dir), domain.cells(spark, sf_dir)
+    names = sorted(r["r_name"] for r in domain.table(spark, sf_dir, "region").select("r_name").collect())
+    runs = {name.lower(): expr.join(cells.filter(F.col("region") == name).select("cell_id"), "cell_id", "left_semi") for name in names}
+    return infer.merge_runs(runs).groupBy("datasets", "gene").agg(F.count("*").alias("cells"), r6(F.sum("value")).alias("total"))
+
+
+_SEGMENTS = " WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY')"
+
+
+def all_runs(spark, sf_dir):
+    nation = domain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
+    own = domain.table(spark, sf_dir, "customer").join(F.broadcast(nation), "c_nationkey")
+    return own.groupBy("region", F.col("c_mktsegment").alias("subset")).agg(F.round(F.avg("c_acctbal") + 1e-7, 2).alias("value"))
+
+
+@query("wilcoxon_w_all", _without("wilcoxon_w", _SEGMENTS))
+def wilcoxon_w_all(spark, sf_dir):
+    return val.signed_ranks(val.paired_runs(all_runs(spark, sf_dir)), ["run_a", "run_b"])
+
+
+@query("wilcoxon_p_all")
+def wilcoxon_p_all(spark, sf_dir):
+    return val.signed_rank_test(val.paired_runs(all_runs(spark, sf_dir)), ["run_a", "run_b"]).withColumn("p", r6("p"))
+
+
+@query("relative_metric_all", _without("relative_metric", _SEGMENTS))
+def relative_metric_all(spark, sf_dir):
+    return val.relative_to(all_runs(spark, sf_dir), "BUILDING").withColumn("relative", r6("relative"))

@@ -52,3 +52,26 @@ def test_trees_hold_out_every_region(spark, monkeypatch, name):
         plans.QUERIES[name](spark, DATA)
     regions = [r["n_name"] for r in spark.read.parquet(f"{DATA}/nation.parquet").select("n_name").collect()]
     assert e.value.args == (sorted(regions), {"rounds": 2000})
+
+
+@pytest.mark.parametrize(
+    ("name", "column", "table", "key"),
+    [
+        ("log1p_shift_all", "fold", "nation", "n_name"),
+        ("ecdf_all", "fold", "nation", "n_name"),
+        ("lr_fold_matrix_all", None, "nation", "n_name"),
+        ("merge_runs_all", "datasets", "region", "lower(r_name)"),
+        ("gene_ranking_all", "gene", "part", "p_type"),
+    ],
+)
+def test_nothing_is_left_out(spark, name, column, table, key):
+    out = plans.QUERIES[name](spark, DATA)
+    got = {r[0] for r in out.select(column).distinct().collect()} if column else set(out.columns) - {"lr_name"}
+    assert got == {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").selectExpr(key).distinct().collect()}
+
+
+def test_every_segment_is_a_run(spark):
+    segments = {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_mktsegment").distinct().collect()}
+    pairs = {(r.run_a, r.run_b) for r in plans.QUERIES["wilcoxon_p_all"](spark, DATA).collect()}
+    assert pairs == {(a, b) for a in segments for b in segments if a < b}
+    assert {r.subset for r in plans.QUERIES["relative_metric_all"](spark, DATA).collect()} == segments - {"BUILDING"}
