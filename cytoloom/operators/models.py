@@ -1,4 +1,4 @@
-"""Models: boosted trees per held-out region, search over their parameters, variance partition, orthogonal scores, SHAP.
+"""Models: boosted trees per held-out region, draws from their parameters, variance partition, orthogonal scores, SHAP.
 
 Tree training is Spark ML's; the numerical kernels are NumPy inside grouped pandas functions, one outcome or fold a
 group, whose rows are subjects or edges of one fold."""
