@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds at least this share of all rows, so there are at most 1 / HEAVY_SHARE of them.
@@ -22,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the session's spark.checkpoint.dir; where that is unset
-    (a local session, as in tests) a temporary folder of this machine is made and set."""
+    """The folder that driver and executors share. It is the session's spark.checkpoint.dir; where that is unset and
+    the session is local, as in tests, a temporary folder of this machine is made and set. A cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc()
         at = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -129,3 +132,39 @@ def lookup(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str) -> Dat
     cols = [*rows.columns, *others]
     rest = marked.filter("_heavy IS NULL").select(*rows.columns).join(dim.filter(F.col(weight) < least), keys, "left")
     return marked.filter("_heavy").select(*cols).unionByName(rest.select(*cols))
+
+
+#: Keys of rows to drop are broadcast up to this many (40 bytes each); more of them are joined by a shuffle.
+MAX_DROPPED = 200_000
+
+
+def text_digest(text: Column) -> Column:
+    """The 32 bytes of the SHA-256 of a text as it stands; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, group: str, total: int) -> DataFrame:
+    """docs with exactly one row of each group, all columns as they were.
+
+    found has a row for each of the `total` rows of docs: doc_id, digest (text_digest of its text), group, and candidate,
+    whether the row may stay; rows equal in doc_id and digest agree in both. Every group has a candidate. Of several the
+    one with the least digest stays, and of rows that repeat its doc_id and text any one. Rows are told by doc_id and
+    digest, null ids included, so no row falls with another that merely shares its id."""
+    found = materialize(found.select("doc_id", "digest", F.col(group).alias("group"), "candidate"), "verdicts", rows=total)
+    may = found.filter("candidate")
+    tied = may.groupBy("group").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    tied = materialize(tied.drop("most"), "tied", rows=total)
+    may = lookup(may, tied, ["group"], "n").withColumn("stays", F.coalesce(F.col("digest") == F.col("least"), F.lit(True)))
+    key = (F.col("doc_id").alias("__cytoloom_id"), F.col("digest").alias("__cytoloom_digest"))
+    gone = materialize(found.filter("NOT candidate").unionByName(may.filter("NOT stays").select(*found.columns)).select(*key).distinct(), "dropped", rows=total)
+    again = may.filter("stays").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    again = materialize(again.select(*key), "repeated", rows=total)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (text_digest(F.col("text")) == F.col("__cytoloom_digest"))
+
+    def met(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(keys) if keys.count() <= MAX_DROPPED else keys, same, how)
+
+    if again.isEmpty():
+        return met(gone, "left_anti")
+    once = met(again, "inner").dropDuplicates(["__cytoloom_id", "__cytoloom_digest"]).select(*docs.columns)
+    return met(gone.union(again), "left_anti").unionByName(once)

@@ -2,26 +2,33 @@
 
 The index. A text's key is a 64-bit hash of its normalised form; keys are ordered as unsigned numbers, so a bucket,
 which covers all keys with one prefix, is a range of keys. The directory starts with one bucket. While a bucket holds
-more entries than it may, it splits in two by its next bit, and where it already uses as many bits as the directory,
-the directory doubles first. A bucket that still overflows with all directory bits used is left as a chain of
-overflow pages: it is processed all the same. The directory is worked out from a histogram of key prefixes that has
-2 ** bits cells whatever the input's size.
-
-The work. Copies are combined before any text is shuffled: tasks hash texts, chain equal hashes and compare the
-bytes (an aggregation whose key is the hash and the whole text), and so a text with a billion copies leaves each
-task once. Every distinct text then becomes an index entry, dealt to the owner of its bucket; owners hold disjoint
-ranges of keys, number the entries of a chain, and write their pages to the shared folder. Rows find their entry by
-hash and SHA-256; should two texts ever share both, their rows find it by the text itself.
+more keys than it may, it splits in two by its next bit, and where it already uses as many bits as the directory,
+the directory doubles first. A bucket that still overflows with all directory bits used keeps its overflow: it is
+processed all the same. The directory is worked out from a histogram of key prefixes that has 2 ** bits cells whatever
+the input's size.
+
+The work. A first pass writes each row's key and counts the rows of each. A second deals the texts to the owners of
+their buckets: an owner is one task and holds a range of buckets, cut so that owners hold about as many rows each. A key
+with many rows would swamp its owner, so the rows of such keys are combined where they are read, byte by byte, and
+leave each task once. Owners chain the texts of each key: equal bytes become one entry with its count and largest
+doc_id, texts that differ are told apart, and the entries of every bucket go to the shared folder. Rows read their verdict
+from the entry of their key; where a chain has several entries, from the one with their text's SHA-256; and should two
+texts ever share both, from the one with their text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import keep_one, lookup, materialize, text_digest
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of keys with this many copies are combined before they are dealt. The copies needed rise with the input so that
+#: at most MAX_HEAVY keys (8 bytes each) are broadcast for it.
+HEAVY_COPIES, MAX_HEAVY = 8, 400_000
 
 
 def normalised(text):
@@ -30,9 +37,9 @@ def normalised(text):
 
 
 def grow_directory(cells: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int, int, int]]:
-    """Buckets as (first cell, end cell, local depth, entries), in key order, from entries per prefix cell.
+    """Buckets as (first cell, end cell, local depth, keys), in key order, from keys per prefix cell.
 
-    Splitting starts from one bucket at depth 0 and stops at `capacity` entries or when all `bits` are used."""
+    Splitting starts from one bucket at depth 0 and stops at `capacity` keys or when all `bits` are used."""
     prefix = [0]
     for c in range(1 << bits):
         prefix.append(prefix[-1] + cells.get(c, 0))
@@ -49,94 +56,98 @@ def grow_directory(cells: dict[int, int], bits: int, capacity: int) -> list[tupl
 
 
 class ExtendibleIndex:
-    """entries: one row per distinct text (bucket, hash, chain, sha, keep_id, group_size), written by owner tasks;
-    rows: one row per document (doc_id, text_hash, hash, sha); directory: the buckets."""
+    """entries: one row per distinct text (bucket, owner, hash, chain, chain_length, same_digest, sha, keep_id, group_size),
+    written by owner tasks; rows: one row per document (doc_id, hash, and digest where asked for); directory: the
+    buckets; total: the number of documents."""
 
-    def __init__(self, rows: DataFrame, entries: DataFrame, directory: list[tuple[int, int, int, int]], bits: int):
-        self.rows, self.entries, self.directory, self.bits = rows, entries, directory, bits
+    def __init__(self, rows: DataFrame, entries: DataFrame, directory: list[tuple[int, int, int, int]], bits: int, total: int):
+        self.rows, self.entries, self.directory, self.bits, self.total = rows, entries, directory, bits, total
 
     @property
     def global_depth(self) -> int:
         return max(d for _, _, d, _ in self.directory)
 
 
-def build_index(docs: DataFrame, *, bits: int = 14, capacity: int = 1 << 18, owners: int | None = None, hash_bits: int = 64) -> ExtendibleIndex:
+def _keyed(docs: DataFrame, hash_bits: int) -> DataFrame:
+    """(doc_id, text, norm, hash) of each row."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), normalised(text).alias("norm"))
+    return rows.withColumn("hash", F.xxhash64("norm") if hash_bits == 64 else F.xxhash64("norm").bitwiseAND((1 << hash_bits) - 1))
+
+
+def build_index(docs: DataFrame, *, bits: int = 16, capacity: int = 512, owners: int | None = None, hash_bits: int = 64, digests: bool = False) -> ExtendibleIndex:
     """Index docs (doc_id, text; other columns are not read).
 
     bits bounds the directory at 2 ** bits cells (the histogram and the broadcast directory have no more rows);
-    hash_bits below 64 weakens the hash, for tests of chains."""
+    capacity is the number of keys that a bucket holds before it splits; hash_bits below 64 weakens the hash, for tests of
+    chains."""
     spark = docs.sparkSession
-    raw = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text_hash"), normalised(F.col("text")).alias("norm"))
-    key = F.xxhash64("norm") if hash_bits == 64 else F.xxhash64("norm").bitwiseAND((1 << hash_bits) - 1)
-    hashed = norm.withColumn("hash", key)
-    rows = materialize(hashed.select("doc_id", "text_hash", "hash", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
-    distinct = hashed.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    distinct = materialize(distinct.select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "exact-texts")
+    keyed = _keyed(docs, hash_bits)
+    rows = materialize(keyed.select("doc_id", "hash", *([text_digest(F.col("text")).alias("digest")] if digests else [])), "exact-rows")
+    total = rows.count()
+    keys = materialize(rows.groupBy("hash").agg(F.count("*").alias("n")), "exact-keys", rows=total)
     cell = F.shiftrightunsigned("hash", 64 - bits)
-    held = {r["cell"]: r["n"] for r in distinct.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # 2 ** bits rows at most
-    directory = grow_directory(held, bits, capacity)
+    copies = max(HEAVY_COPIES, math.ceil(total / MAX_HEAVY))
+    load = F.sum(F.when(F.col("n") < copies, F.col("n")).otherwise(1))  # combined keys are dealt about once
+    held = {r["cell"]: (r["keys"], r["load"]) for r in keys.groupBy(cell.alias("cell")).agg(F.count("*").alias("keys"), load.alias("load")).collect()}  # 2 ** bits rows at most
+    directory = grow_directory({c: n for c, (n, _) in held.items()}, bits, capacity)
     owners = owners or max(1, min(len(directory), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    share = max(1, sum(held.values())) / owners
-    cells, before = [], 0
-    for number, (lo, hi, _, n) in enumerate(directory):
-        owner = min(owners - 1, int(before / share))
-        cells += [(c, number, owner) for c in range(lo, hi) if c in held]
-        before += n
-    by_cell = spark.createDataFrame(cells, "cell long, bucket int, owner int")
-    placed = distinct.withColumn("cell", cell).join(F.broadcast(by_cell), "cell").drop("cell")
-    chain = Window.partitionBy("owner", "hash").orderBy("sha", "keep_id")
-    pages = placed.repartition(owners, "owner").withColumn("chain", F.row_number().over(chain).cast("int"))
-    pages = pages.withColumn("same_digest", F.count("*").over(Window.partitionBy("owner", "hash", "sha")))
-    entries = materialize(pages.select("bucket", "owner", "hash", "chain", "sha", "same_digest", "keep_id", "group_size"), "exact-index")
-    return ExtendibleIndex(rows, entries, directory, bits)
-
-
-def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id (largest doc_id with an equal text), group_size, kept, text_sha256,
-    text_hash (XXH64 of the text as it stands, to find the row again).
+    share, places, before = max(1, sum(n for _, n in held.values())) / owners, [], 0
+    for number, (lo, hi, _, _) in enumerate(directory):
+        own = [c for c in range(lo, hi) if c in held]
+        rows_in = sum(held[c][1] for c in own)
+        places += [(c, number, min(owners - 1, int((before + rows_in / 2) / share))) for c in own]
+        before += rows_in
+    by_cell = F.broadcast(spark.createDataFrame(places, "cell long, bucket int, owner int"))
+
+    heavy = F.broadcast(keys.filter(F.col("n") >= copies).select("hash"))
+    texts = keyed.select("hash", "norm", F.col("doc_id").alias("keep_id"))
+    dealt = texts.join(heavy, "hash", "left_anti").withColumn("group_size", F.lit(1).cast("long"))
+    many = texts.join(heavy, "hash", "left_semi").groupBy("hash", "norm").agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size"))
+    dealt = dealt.unionByName(many).withColumn("cell", cell).join(by_cell, "cell").drop("cell").repartitionById(owners, "owner")
+    # an owner holds all texts of its keys, so the rest happens in its task
+    entries = dealt.groupBy("owner", "bucket", "hash", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    entries = entries.withColumn("sha", F.unhex(F.sha2("norm", 256))).drop("norm")
+    chain = Window.partitionBy("owner", "hash")
+    entries = entries.withColumns({"chain": F.row_number().over(chain.orderBy("sha", "keep_id")).cast("int"), "chain_length": F.count("*").over(chain), "same_digest": F.count("*").over(Window.partitionBy("owner", "hash", "sha"))})
+    return ExtendibleIndex(rows, materialize(entries, "exact-index"), directory, bits, total)
+
+
+def _verdicts(docs: DataFrame, index: ExtendibleIndex, hash_bits: int) -> DataFrame:
+    """The rows of the index with keep_id, group_size and sha of their entry."""
+    entry = ["keep_id", "group_size", "sha"]
+    found = lookup(index.rows, index.entries.filter("chain_length = 1").select("hash", *entry), ["hash"], "group_size")
+    chained = index.entries.filter("chain_length > 1")
+    if chained.isEmpty():
+        return found
+    again = _keyed(docs, hash_bits).join(chained.select("hash").distinct(), "hash", "left_semi")
+    again = again.withColumns({"sha": F.unhex(F.sha2("norm", 256)), "digest": text_digest(F.col("text"))})
+    by_sha = lookup(again.drop("norm"), chained.filter("same_digest = 1").select("hash", *entry), ["hash", "sha"], "group_size").filter("group_size IS NOT NULL")
+    out = found.filter("group_size IS NOT NULL").unionByName(by_sha.select(*found.columns))
+    alike = chained.filter("same_digest > 1").select("hash", "sha").distinct()
+    if not alike.isEmpty():  # two texts with one hash and one SHA-256: told apart by their bytes
+        rest = again.join(alike, ["hash", "sha"], "left_semi")
+        groups = rest.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        out = out.unionByName(rest.join(groups, ["hash", "norm"]).select(*found.columns))
+    return out
+
+
+def exact_duplicates(docs: DataFrame, *, hash_bits: int = 64, **options) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id (largest doc_id with an equal text), group_size, kept, text_sha256 (of
+    the normalised text).
 
     Texts are equal when identical after lower-casing A-Z; a null text equals an empty one. A null doc_id sorts below
     every other and keeps its text only if all its copies lack an id. Rows that repeat a doc_id and its text are one
     document: each counts in group_size and each carries the document's verdict. Other columns, whatever their names,
     are ignored; an empty table gives an empty result."""
-    index = build_index(docs, **options)
-    found = lookup(index.rows, index.entries.filter("same_digest = 1").select("hash", "sha", "keep_id", "group_size"), ["hash", "sha"], "group_size")
-    out = found.select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), "text_hash")
-    clash = index.entries.filter("same_digest > 1")
-    if not clash.isEmpty():  # two texts with one hash and one SHA-256: told apart by their bytes
-        raw = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text_hash"), normalised(F.col("text")).alias("norm"))
-        norm = norm.withColumns({"hash": F.xxhash64("norm"), "sha": F.unhex(F.sha2("norm", 256))}).join(clash.select("hash", "sha").distinct(), ["hash", "sha"], "left_semi")
-        groups = norm.groupBy("hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        by_bytes = norm.join(groups, ["hash", "norm"]).select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"), "text_hash")
-        out = out.filter("keep_id IS NOT NULL OR group_size IS NOT NULL").unionByName(by_bytes)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_hash")
-
-
-#: Ids to drop are broadcast up to this many (16 bytes each); more of them are joined by a shuffle.
-MAX_BROADCAST = 400_000
-
-
-def without(docs: DataFrame, dropped: DataFrame, total: int | None = None) -> DataFrame:
-    """docs but for the rows whose doc_id and text hash are in dropped (doc_id, text_hash), at most `total` rows."""
-    gone = materialize(dropped.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), "dropped", rows=total)
-    few = gone.count() <= MAX_BROADCAST
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__cytoloom_hash"))
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were. Of rows that repeat a doc_id and its
-    text one stays."""
-    found = exact_duplicates(docs, **options)
-    total = docs.select("doc_id").count()
-    found = materialize(found, "exact-verdicts", rows=total)
-    out = without(docs, found.filter("NOT kept"), total)
-    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).filter("n > 1")
-    if again.isEmpty():
-        return out
-    rows = found.filter("kept").join(again.select(F.col("doc_id").alias("__cytoloom_id"), "text_sha256"), F.col("doc_id").eqNullSafe(F.col("__cytoloom_id")) & (found["text_sha256"] == again["text_sha256"]), "left_semi")
-    one = docs.join(rows.select(F.col("doc_id").alias("__cytoloom_id"), F.col("text_hash").alias("__cytoloom_hash")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__cytoloom_hash")))
-    one = one.withColumn("__cytoloom_norm", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["__cytoloom_id", "__cytoloom_norm"])
-    return without(out, rows, total).unionByName(one.select(*docs.columns))
+    found = _verdicts(docs, build_index(docs, hash_bits=hash_bits, **options), hash_bits)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, *, hash_bits: int = 64, **options) -> DataFrame:
+    """docs with exactly one row of each group of equal texts, all columns as they were: that with the largest doc_id. Where
+    several rows of a group have that id, or none has any, the one whose text as it stands has the least SHA-256 stays,
+    and of rows that repeat an id and a text any one."""
+    index = build_index(docs, hash_bits=hash_bits, digests=True, **options)
+    found = _verdicts(docs, index, hash_bits).withColumn("candidate", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return keep_one(docs, found, "sha", index.total)
