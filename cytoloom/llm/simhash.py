@@ -15,6 +15,7 @@ members within 2 bits of a variant that is within 1 bit of another member hang o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, map_arrow, map_pandas, materialize
+from .common import keep_one, lookup, map_arrow, map_pandas, materialize
 from .components import components
 
 BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -53,17 +54,24 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        found = [_signed(fingerprint(texts[i].as_py() or b"")) for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row of docs, with the SHA-256 of its text as digest where it is asked for; a null text is
+    empty and has fingerprint 0."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_binary())
+            fps, shas = [], []
+            for i in range(len(column)):
+                text = column[i].as_py() or b""
+                fps.append(_signed(fingerprint(text)))
+                if digests:
+                    shas.append(sha256(text).digest())
+            more = [pa.array(shas, pa.binary())] if digests else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], names=["doc_id", "fp", "digest"][: 2 + len(more)])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of docs; a null text is empty and has fingerprint 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, _fingerprints, "doc_id long, fp long")
+    return map_arrow(rows, work, "doc_id long, fp long" + ", digest binary" * digests)
 
 
 def _masks() -> list[tuple[int, int]]:
@@ -137,6 +145,19 @@ def near_links(fps: DataFrame, radius: int = 3, group_limit: int = 256) -> DataF
     return links
 
 
+def _classes(docs: DataFrame, group_limit: int, digests: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, fp, root, component_id) of each row of docs, with digest where it is asked for, and the number of rows;
+    root is the fingerprint that names the class."""
+    rows = materialize(fingerprints(docs, digests), "fingerprints")
+    total = rows.count()
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints", rows=total)
+    rooted = components(near_links(fps.select("fp"), group_limit=group_limit)).withColumnRenamed("node", "fp")
+    labelled = fps.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps"))
+    labelled = materialize(lookup(labelled, least, ["root"], "fps").select("fp", "n", "root", "component_id"), "classes", rows=total)
+    return lookup(rows, labelled, ["fp"], "n"), total
+
+
 def near_duplicate_classes(docs: DataFrame, group_limit: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id (least doc_id reachable
     over links of 3 or fewer differing bits, itself included).
@@ -144,26 +165,14 @@ def near_duplicate_classes(docs: DataFrame, group_limit: int = 256) -> DataFrame
     Null and wordless texts have fingerprint zero and are linked like any other. A null doc_id is never a
     component_id unless nothing in its component has an id. Repeated rows each get a row. Only doc_id and text are
     read; an empty table gives an empty result."""
-    rows = materialize(fingerprints(docs), "fingerprints")
-    total = rows.count()
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints", rows=total)
-    rooted = components(near_links(fps.select("fp"), group_limit=group_limit)).withColumnRenamed("node", "fp")
-    labelled = fps.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps"))
-    labelled = materialize(lookup(labelled, least, ["root"], "fps").select("fp", "n", "component_id"), "classes", rows=total)
-    found = lookup(rows, labelled, ["fp"], "n")
+    found, _ = _classes(docs, group_limit)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Ids to drop are broadcast up to this many (8 bytes each); more of them are joined by a shuffle.
-MAX_BROADCAST = 400_000
-
-
 def deduplicated(docs: DataFrame, group_limit: int = 256) -> DataFrame:
-    """docs with one row of each near-duplicate class, that with the least doc_id, all columns as they were. Rows without
-    a doc_id go where their class has a row with one, and stay where it has none."""
-    total = docs.select("doc_id").count()
-    found = materialize(near_duplicate_classes(docs, group_limit), "near-verdicts", rows=total)
-    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__cytoloom_id")).distinct(), "near-dropped", rows=total)
-    few = gone.count() <= MAX_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__cytoloom_id")), "left_anti")
+    """docs with exactly one row of each near-duplicate class, all columns as they were: that with the least doc_id. A row
+    without an id stays only where its class has no row with one. Where several rows of a class have that id, or none
+    has any, the one whose text has the least SHA-256 stays, and of rows that repeat an id and a text any one. Rows
+    of other classes stay, whatever ids they share."""
+    found, total = _classes(docs, group_limit, digests=True)
+    return keep_one(docs, found.withColumn("candidate", F.col("doc_id").eqNullSafe(F.col("component_id"))), "root", total)

@@ -1,10 +1,11 @@
+import hashlib
 import random
 import re
 
 import pytest
 import xxhash
 
-from cytoloom.llm import components, exact_dedup, simhash
+from cytoloom.llm import common, components, exact_dedup, simhash
 
 from .helpers import DOCS, EDGE, docs
 
@@ -44,12 +45,109 @@ def test_index_buckets_are_disjoint_ranges(spark):
     assert [b for *_, b in spans] == sorted(by_bucket)
 
 
-def test_deduplicated_keeps_columns_and_one_row(spark):
-    df = docs(spark, EDGE)
-    out = exact_dedup.deduplicated(df)
+def test_owners_tell_texts_of_one_key_apart(spark):
+    rows = docs(spark, [(i, f"t{i % 40}") for i in range(400)])
+    index = exact_dedup.build_index(rows, bits=6, capacity=2, owners=3, hash_bits=2)
+    entries = index.entries.collect()
+    assert len(entries) == 40 and all(e.group_size == 10 for e in entries) and max(e.chain_length for e in entries) > 4
+    by_hash = {}
+    for e in entries:
+        by_hash.setdefault(e.hash, []).append(e)
+    assert all({e.owner for e in own} == {own[0].owner} and sorted(e.chain for e in own) == list(range(1, len(own) + 1)) for own in by_hash.values())
+
+
+def test_owners_share_the_rows(spark):
+    rows = docs(spark, [(i, f"t{i}") for i in range(600)] + [(1000 + i, "again and again") for i in range(300)])
+    index = exact_dedup.build_index(rows, bits=8, capacity=16, owners=4)
+    held = [r["count"] for r in index.entries.groupBy("owner").count().collect()]
+    assert len(held) == 4 and max(held) <= 200  # the 300 copies leave their tasks combined
+
+
+MIXED = EDGE + [(3, "alpha beta gamma"), (5, "alpha beta gamma"), (5, "quite another text"), (1, "alpha BETA gamma"), (None, "ALPHA beta gamma"), (None, "no id at all"), (None, "no id at ALL"), (None, "lone"), (7, "lone id 7"), (40, "Same"), (40, "same"), (40, "same"), (40, "other")]
+
+
+def survivors(rows, groups, best):
+    """Indexes of one row a group: the best id, then the least SHA-256 of the text, then any of equal rows."""
+    out = []
+    for own in groups:
+        ids = [rows[i][0] for i in own if rows[i][0] is not None]
+        may = [i for i in own if rows[i][0] == (best(ids) if ids else None)]
+        out.append(min(may, key=lambda i: hashlib.sha256((rows[i][1] or "").encode()).digest()))
+    return sorted(((str(rows[i][0]), rows[i][1] or "") for i in out))
+
+
+@pytest.mark.parametrize("hash_bits", [64, 2])
+def test_exact_deduplicated_keeps_one_row_of_each_group(spark, hash_bits):
+    df = docs(spark, MIXED)
+    groups = {}
+    for i, (_, t) in enumerate(MIXED):
+        groups.setdefault(lowered(t), []).append(i)
+    out = exact_dedup.deduplicated(df, hash_bits=hash_bits)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == survivors(MIXED, groups.values(), max)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_near_deduplicated_keeps_one_row_of_each_class(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "MAX_DROPPED", limit)
+    df = docs(spark, MIXED)
+    own, groups = classes([slow_fingerprint(t) for _, t in MIXED]), {}
+    for i, c in enumerate(own):
+        groups.setdefault(c, []).append(i)
+    out = simhash.deduplicated(df)
     assert out.columns == df.columns
-    assert sorted(r.doc_id for r in out.collect()) == [3, 5, 7, 8, 9] or sorted(r.doc_id for r in out.collect()) == [2, 3, 5, 7, 8, 9]
-    assert len({lowered(r.text) for r in out.collect()}) == out.count() == len({lowered(t) for _, t in EDGE})
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == survivors(MIXED, groups.values(), min)
+    assert simhash.deduplicated(spark.createDataFrame([], DOCS)).count() == 0 == exact_dedup.deduplicated(spark.createDataFrame([], DOCS)).count()
+
+
+def test_whole_near_duplicate_result_matches_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(12):
+        text = [rng.choice(words) for _ in range(300)]
+        for j in range(6):
+            changed = list(text)
+            for _ in range(j):
+                changed[rng.randrange(300)] = rng.choice(words)
+            rows.append((rng.choice([None, 100 * i + j, 7]), " ".join(changed)))
+    fps = [slow_fingerprint(t) for _, t in rows]
+    own = classes(fps)
+    assert len(set(own)) < len(set(fps))
+    least = {c: min((r[0] for r, d in zip(rows, own, strict=True) if d == c and r[0] is not None), default=None) for c in set(own)}
+    want = sorted((str(i), f"{f:016x}", str(least[c])) for (i, _), f, c in zip(rows, fps, own, strict=True))
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicate_classes(docs(spark, rows)).collect()) == want
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Jvm:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class Option:
+                            @staticmethod
+                            def isDefined():
+                                return False
+
+                        return Option
+
+                return Jvm
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        common.work_dir(Session)
 
 
 def test_empty_tables(spark):
