@@ -5,19 +5,23 @@ pages that have it, the presentation styles seen below it (runs of its child ele
 Importance follows the entropies, to base m, the number of the node's pages. A node whose pages lay it out in many
 ways has a high presentation entropy and matters. A content that many of the pages share has a high entropy over the
 pages and matters little; contents found on one page each matter most. A node's importance joins its own presentation
-entropy with the importance of all contents below it, presentation weighing more the more styles there are.
-
-What a page keeps. The tree decides for each of a host's nodes, and a page loses every branch that starts at a
-removed node: nodes whose elements say that they are not content (nav, footer, form, script; class, id or role words
-such as ad, sidebar, cookie, comments), which count as having no importance at all, and nodes of a low importance. The
-running text of a declared article (its headings, paragraphs, lists and quotations) keeps its place even when the host
-repeats it, since copied articles are still articles. Entropies of fewer than MIN_PAGES pages say nothing and remove
-nothing. Where a page has an article or main element, the rest of the page is not its main text.
-
-At scale: the tree is a table (host, path, ...), summed where pages are before it is shuffled, so a host with a third
-of all pages costs no task more than its own. Pages are read twice and not shuffled: the removed nodes
-are broadcast if they are MAX_BROADCAST at most. If there are more, each page's own list of them is found by a join on
-host and node, and pages are joined to their lists.
+entropy with the importance of the contents up to REACH levels below it, presentation weighing more the more styles
+there are.
+
+What a page keeps. The tree decides for each of a host's nodes, and a page loses every branch that starts at a node
+whose importance falls below LEAST_IMPORTANCE. m pages can tell log2(m) bits, so that is what the entropies weigh; what
+an element says of itself is a prior that weighs some bits of its own (PRIORS). Most elements are taken to matter until
+their repetition shows otherwise. Elements that say they are not content (nav, footer, form, dialog; class, id or role
+words such as ad, sidebar, cookie, comments) are taken not to; reader comments and adverts differ from page to page, so no
+entropy could find them. The running text of a declared article (its headings, paragraphs, lists and quotations), and
+whatever holds such an article, yields to the strongest repetition only, since copied articles are still articles.
+Beside a declared article little repetition is enough. Nothing depends on a least number of pages: one page
+tells no bits, and then the prior stands alone. Scripts, styles and the head are not text.
+
+At scale: the tree is a table (host, node, ...), a node being the hash of its path, summed where pages are before it is
+shuffled, so a host with a third of all pages costs no task more than its own. Pages are read twice and not shuffled:
+the removed nodes are broadcast if they are MAX_BROADCAST at most. If there are more, each page's own list of them is
+found by a join on host and node, and pages are joined to their lists by the digest of their url and html.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import lookup, map_arrow, materialize
 
-GAMMA, LEAST_IMPORTANCE, MIN_PAGES, MAX_BROADCAST = 0.9, 0.3, 8, 50_000
+GAMMA, LEAST_IMPORTANCE, REACH, MAX_BROADCAST = 0.9, 0.85, 64, 50_000
+#: What elements say of themselves: (importance, bits that it weighs).
+PRIORS = {"marked": (0.0, 8.0), "declared": (1.0, 64.0), "beside": (1.0, 2.0), "plain": (1.0, 8.0)}
+MARKED, DECLARED, BESIDE = 1, 2, 4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -51,25 +57,46 @@ _SIBLING = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({
 _P_SCOPE = {"td", "th", "button", "object", "table"}
 
 
-class _Node:
-    __slots__ = ("tag", "path", "out", "own", "running", "children")
+def node_id(parent: int, name: str) -> int:
+    """The node `name` below `parent` (0: the root), as a signed 64-bit hash of the whole path."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(name.encode("utf-8", "surrogatepass"), parent + (1 << 63)) - (1 << 63)
+
+
+def _value(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
 
-    def __init__(self, tag: str, path: str, out: bool, own: bool, running: bool):
-        self.tag, self.path, self.out, self.own, self.running, self.children = tag, path, out, own, running, []
+def _words(raw: str) -> str:
+    return " ".join(html.unescape(raw).split())
+
+
+class _Element:
+    __slots__ = ("tag", "node", "block", "out", "own", "running", "children")
+
+    def __init__(self, tag: str, node: int, block: int, out: bool, own: bool, running: bool):
+        self.tag, self.node, self.block, self.out, self.own, self.running, self.children = tag, node, block, out, own, running, []
 
 
 class Page:
-    """A parsed page: blocks of text in order, each (path, in an article, text); the styles of its nodes; the nodes that
-    their elements mark as no content; the nodes of an article's running text."""
+    """A parsed page: its blocks of text in order, each a list of (node, text) runs, one unless an inline element is marked
+    as no content; parents of its nodes; the styles of its nodes; nodes marked as no content; nodes of declared running
+    text and what holds it; nodes beside a declared article. Time and memory grow with the page's length, however
+    deep its elements are nested."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str]] = []
-        self.styles: set[tuple[str, str]] = set()
-        self.marked: set[str] = set()
-        self.running: set[str] = set()
-        self.has_article = False
-        self._stack = [_Node("", "", False, False, True)]
-        self._parts: list[str] = []
+        self.blocks: list[list[tuple[int, str]]] = []
+        self.parents: dict[int, int] = {}
+        self.styles: set[tuple[int, int]] = set()
+        self.marked: set[int] = set()
+        self.declared: set[int] = set()
+        self._articles = 0
+        self._stack = [_Element("", 0, 0, False, False, True)]
+        self._opened: Counter = Counter()
+        self._parts: list[tuple[int, str]] = []
         at, end = 0, len(source)
         lower = None
         while at < end:
@@ -77,52 +104,54 @@ class Page:
             if not found:
                 break
             if found.start() > at:
-                self._parts.append(source[at : found.start()])
+                self._parts.append((self._stack[-1].block, source[at : found.start()]))
             at = found.end()
-            tag = found[2]
+            slash, tag, rest = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
             if not tag:
                 continue
             tag = tag.lower()
-            if found[1]:
+            if slash:
                 self._close(tag)
                 continue
-            self._open(tag, found[3])
-            if tag in _RAW and not found[3].endswith("/"):
+            self._open(tag, rest)
+            if tag in _RAW and not rest.endswith("/"):
                 lower = source.lower() if lower is None else lower
                 stop = lower.find(f"</{tag}", at)
-                if self._stack[-1].tag == tag and stop < 0:
-                    at = end
-                elif stop >= 0:
-                    at = stop
+                at = end if stop < 0 else stop
         if at < end:
-            self._parts.append(source[at:])
+            self._parts.append((self._stack[-1].block, source[at:]))
         self._flush()
-        while len(self._stack) > 1:
-            self._pop()
+        self._pop_to(1)
 
     def _flush(self) -> None:
         if self._parts:
-            node = self._stack[-1]
-            text = " ".join(html.unescape("".join(self._parts)).split())
+            if all(node == self._parts[0][0] for node, _ in self._parts):
+                text = _words("".join(part for _, part in self._parts))
+                if text:
+                    self.blocks.append([(self._parts[0][0], text)])
+            else:
+                runs: list[tuple[int, str]] = []
+                for node, part in self._parts:
+                    if runs and runs[-1][0] == node:
+                        runs[-1] = (node, runs[-1][1] + part)
+                    else:
+                        runs.append((node, part))
+                self.blocks.append(runs)
             self._parts.clear()
-            if text:
-                while node.tag in _INLINE:
-                    node = self._stack[self._stack.index(node) - 1]
-                self.blocks.append((node.path, node.own, text))
-
-    def _pop(self) -> None:
-        node = self._stack.pop()
-        if node.children:
-            runs = [c for i, c in enumerate(node.children) if not i or c != node.children[i - 1]]
-            self.styles.add((node.path, " ".join(runs)))
 
     def _pop_to(self, i: int) -> None:
         if any(n.tag not in _INLINE for n in self._stack[i:]):
             self._flush()
         while len(self._stack) > i:
-            self._pop()
+            element = self._stack.pop()
+            self._opened[element.tag] -= 1
+            if element.children:
+                runs = [c for i, c in enumerate(element.children) if not i or c != element.children[i - 1]]
+                self.styles.add((element.node, _value(" ".join(runs))))
 
     def _close(self, tag: str) -> None:
+        if not self._opened[tag]:
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i].tag == tag:
                 self._pop_to(i)
@@ -130,26 +159,33 @@ class Page:
             if tag in _INLINE and self._stack[i].tag not in _INLINE:
                 return
 
-    def _open(self, tag: str, rest: str) -> None:
-        if tag in _VOID:
-            self._parts.append(" ") if tag == "br" else tag == "hr" and self._flush()
-            return
-        if tag not in _INLINE:
-            stack = self._stack
+    def _end_implied(self, tag: str) -> None:
+        """Close what the opening of a block element ends: a paragraph, or an element of its own kind."""
+        stack = self._stack
+        if self._opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     self._pop_to(i)
                     break
                 if stack[i].tag in _P_SCOPE:
                     break
-            if tag in _SIBLING:
-                same, scope = _SIBLING[tag]
+        if tag in _SIBLING:
+            same, scope = _SIBLING[tag]
+            if any(self._opened[x] for x in same):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in scope:
                         break
                     if stack[i].tag in same:
                         self._pop_to(i)
                         break
+
+    def _open(self, tag: str, rest: str) -> None:
+        if tag in _VOID:
+            self._parts.append((self._stack[-1].block, " ")) if tag == "br" else tag == "hr" and self._flush()
+            return
+        inline = tag in _INLINE
+        if not inline:
+            self._end_implied(tag)
             self._flush()
         over, name, words = self._stack[-1], tag, ()
         if "=" in rest:
@@ -157,29 +193,70 @@ class Page:
                 value = (m[2] or m[3] or m[4] or "").lower()
                 words = [*words, *_WORDS.findall(value)]
                 name += {"class": ".", "id": "#"}.get(m[1].lower(), "@") + "_".join(value.split())
-        own = over.own or tag in ("article", "main") or "main" in words and "@main" in name
-        self.has_article |= own
+        article = tag in ("article", "main") or "main" in words and "@main" in name
+        own = over.own or article
         out = over.out or tag in _OUT or tag == "header" and not over.own or not _OUT_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
-        if tag not in _INLINE:
+        if not inline:
             over.children.append(name)
-        running = over.running and (tag in _RUNNING or tag in _INLINE)
-        path = f"{over.path}/{name}" if tag not in _INLINE or out and not over.out else over.path
-        if out:
-            self.marked.add(path)
-        elif own and running:
-            self.running.add(path)
-        self._stack.append(_Node(tag, path, out, own, running))
-
-    def text(self, removed: set[str]) -> str:
-        """The main text without the branches that start at a removed path."""
-        known: dict[str, bool] = {"": False}
-
-        def gone(path: str) -> bool:
-            if path not in known:
-                known[path] = path in removed or gone(path.rpartition("/")[0])
-            return known[path]
-
-        return "\n".join(text for path, own, text in self.blocks if (own or not self.has_article) and not gone(path))
+        running = over.running and (inline or tag in _RUNNING)
+        block = node = over.node if inline else node_id(over.node, name)
+        if inline:
+            block = over.block if over.out or not out else node_id(over.block, name)
+            if block != over.block:
+                self.parents.setdefault(block, over.block)
+                self.marked.add(block)
+        else:
+            self.parents.setdefault(node, over.node)
+            if out:
+                self.marked.add(node)
+            elif own and running:
+                self.declared.add(node)
+            if article and not out and not over.own:
+                self._articles += 1
+                self.declared.update(x.node for x in self._stack if x.node and not x.out)
+        self._opened[tag] += 1
+        self._stack.append(_Element(tag, node, block, out, own, running))
+
+    def up(self, node: int, levels: int = REACH) -> list[int]:
+        """node and the nodes above it, nearest first, the root left out."""
+        found = []
+        while node and len(found) < levels:
+            found.append(node)
+            node = self.parents[node]
+        return found
+
+    def flags(self) -> dict[int, int]:
+        """What the page's elements say of its nodes; 0 is left out."""
+        own = {n: MARKED for n in self.marked}
+        for n in self.declared:
+            own[n] = own.get(n, 0) | DECLARED
+        if self._articles:
+            for n in self.parents:
+                own.setdefault(n, BESIDE)
+        return own
+
+    def text(self, removed: set[int]) -> str:
+        """The main text without the branches that start at a removed node."""
+        known: dict[int, bool] = {0: False}
+
+        def gone(node: int) -> bool:
+            below = []
+            while node not in known and node not in removed:
+                below.append(node)
+                node = self.parents[node]
+            verdict = known.setdefault(node, True)
+            known.update(dict.fromkeys(below, verdict))
+            return verdict
+
+        out = []
+        for runs in self.blocks:
+            if len(runs) == 1:
+                text = "" if gone(runs[0][0]) else runs[0][1]
+            else:
+                text = _words("".join(part for node, part in runs if not gone(node)))
+            if text:
+                out.append(text)
+        return "\n".join(out)
 
 
 def host_of(url: str | None) -> str:
@@ -191,24 +268,21 @@ def host_of(url: str | None) -> str:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh64_intdigest
-
-    signed = lambda s: xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
     for batch in batches:
         seen: Counter = Counter()
         for i in range(batch.num_rows):
             page, host = Page(batch.column(2)[i].as_py() or ""), host_of(batch.column(1)[i].as_py())
-            rows = {("style", path, signed(style)) for path, style in page.styles}
-            rows |= {("content", path, signed(text)) for path, _, text in page.blocks}
-            paths = {path for _, path, _ in rows} | page.marked
-            rows |= {("page", "/".join(parts), 0) for parts in {tuple(p.split("/")[:n]) for p in paths for n in range(1, p.count("/") + 2)}}
-            rows |= {("marked", path, 0) for path in page.marked} | {("running", path, 0) for path in page.running}
+            rows = {("style", node, style) for node, style in page.styles}
+            held = {(node, _words(text)) for runs in page.blocks for node, text in runs}
+            rows |= {("content", node, _value(text)) for node, text in held if text}
+            rows |= {("up", node, above) for node in {n for n, text in held if text} for above in page.up(node)}
+            rows |= {("page", node, 0) for node in page.parents} | {("flags", *x) for x in page.flags().items()}
             seen.update((host, *r) for r in rows)
         rows = [(*k, n) for k, n in seen.items()]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=["host", "kind", "path", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=["host", "kind", "node", "value", "n"])
 
 
 def _own_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +290,8 @@ def _own_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i in range(batch.num_rows):
             page, host = Page(batch.column(2)[i].as_py() or ""), host_of(batch.column(1)[i].as_py())
-            nodes = {"/".join(b[0].split("/")[:n]) for b in page.blocks for n in range(1, b[0].count("/") + 2)}
-            rows += [(batch.column(0)[i].as_py(), host, path) for path in nodes]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "host", "path"])
+            rows += [(batch.column(0)[i].as_py(), host, node) for node in page.parents]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["key", "host", "node"])
 
 
 def _source(pages: DataFrame) -> DataFrame:
@@ -226,55 +299,62 @@ def _source(pages: DataFrame) -> DataFrame:
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """(host, kind, path, value, n), counted within batches: pages that have a node, its styles and its contents, and
-    whether it is marked as no content or is running text."""
-    return materialize(map_arrow(_source(pages), _observe, "host string, kind string, path string, value long, n long"), "style-observations")
+    """(host, kind, node, value, n), counted within batches: pages that have a node, its styles and its contents, the nodes
+    it hangs on, and what its elements say of it."""
+    return materialize(map_arrow(_source(pages), _observe, "host string, kind string, node long, value long, n long"), "style-observations")
 
 
 def style_tree(observed: DataFrame) -> DataFrame:
-    """One row per host and node: pages, styles, presentation, content and importance, each between 0 and 1; marked and running
-    are what elements say of the node. A marked node has no importance."""
-    counted = observed.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("k"))
+    """One row per host and node: pages, styles, presentation, content and entropy (the node's importance by the entropies
+    alone), each between 0 and 1; says (a key of PRIORS, by what any of its elements says) and importance, which joins
+    entropy and prior by the bits they weigh."""
+    counted = materialize(observed.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("k")), "style-counts")
     k = F.col("k").cast("double")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    nodes = counted.groupBy("host", "path").agg(of("page", k).alias("pages"), of("style", k).alias("sk"), of("style", k * F.log(k)).alias("sl"), F.count(F.when(F.col("kind") == "style", 1)).alias("styles"), of("content", k).alias("ck"), of("content", k * F.log(k)).alias("cl"), F.max(F.col("kind") == "marked").alias("marked"), F.max(F.col("kind") == "running").alias("running"))
+    nodes = counted.filter("kind <> 'up'").groupBy("host", "node").agg(of("page", k).alias("pages"), of("style", k).alias("sk"), of("style", k * F.log(k)).alias("sl"), F.count(F.when(F.col("kind") == "style", 1)).alias("styles"), of("content", k).alias("ck"), of("content", k * F.log(k)).alias("cl"), F.coalesce(F.bit_or(F.when(F.col("kind") == "flags", F.col("value"))), F.lit(0)).alias("flags"))
     nodes = materialize(nodes, "style-nodes")
-    up = F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
-    below = nodes.filter("ck > 0").select("host", F.explode(up).alias("path"), "ck", "cl").groupBy("host", "path").agg(F.sum("ck").alias("ck"), F.sum("cl").alias("cl"))
-    tree = nodes.drop("ck", "cl").join(below, ["host", "path"], "left")
+    up = counted.filter("kind = 'up'").select("host", "node", F.col("value").alias("above"))
+    below = nodes.filter("ck > 0").join(up, ["host", "node"]).groupBy("host", F.col("above").alias("node")).agg(F.sum("ck").alias("ck"), F.sum("cl").alias("cl"))
+    tree = nodes.drop("ck", "cl").join(below, ["host", "node"], "left")
     m = F.log(F.col("pages"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("pages") > 1, (F.log("sk") - F.col("sl") / F.col("sk")) / m).otherwise(1.0)))
     shared = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((F.col("pages") > 1) & (F.col("ck") > 0), 1 - F.col("cl") / F.col("ck") / m).otherwise(1.0)))
     tree = tree.withColumns({"presentation": F.coalesce(share, F.lit(0.0)), "content": shared})
     keep = F.pow(F.lit(GAMMA), F.col("styles").cast("double"))
-    importance = F.when(F.col("marked"), 0.0).otherwise((1 - keep) * F.col("presentation") + keep * F.col("content"))
-    return tree.select("host", "path", F.col("pages").cast("long").alias("pages"), "styles", "presentation", "content", "marked", "running", importance.alias("importance"))
+    tree = tree.withColumn("entropy", (1 - keep) * F.col("presentation") + keep * F.col("content"))
+    has = lambda flag: F.col("flags").bitwiseAND(F.lit(flag)) > 0
+    tree = tree.withColumn("says", F.when(has(MARKED), "marked").when(has(DECLARED), "declared").when(has(BESIDE), "beside").otherwise("plain"))
+    given, weighs = (F.create_map(*(F.lit(x) for name, prior in PRIORS.items() for x in (name, prior[i])))[F.col("says")] for i in (0, 1))
+    bits = F.log2(F.col("pages"))
+    importance = (weighs * given + bits * F.col("entropy")) / (weighs + bits)
+    return tree.select("host", "node", F.col("pages").cast("long").alias("pages"), "styles", "presentation", "content", "entropy", "says", importance.alias("importance"))
 
 
 def removed_nodes(tree: DataFrame) -> DataFrame:
-    """(host, path) of the branches that pages lose."""
-    low = (F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE) & ~F.col("running") & (F.col("path") != "")
-    return tree.filter(F.col("marked") | low).select("host", "path")
+    """(host, node) of the branches that pages lose."""
+    return tree.filter(F.col("importance") < LEAST_IMPORTANCE).select("host", "node")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text (blocks in page order, joined by a line end; empty if none), n_chars.
 
     A null html is an empty page; a null or broken url belongs to a host named ''. Character references are decoded,
-    white space within a block becomes one space, and a br counts as white space. Repeated rows each get a row; rows
-    that share a page_id share their removed branches. Other columns are not read; an empty table gives an empty result."""
+    white space within a block becomes one space, and a br counts as white space. A tag whose quotes don't close ends at
+    its first >. Elements may be nested to any depth. Each row, repeated or not and whatever its page_id, is judged by its
+    own url and html. Other columns are not read; an empty table gives an empty result."""
     removed = materialize(removed_nodes(style_tree(observations(pages))), "style-removed")
     rows = _source(pages)
-    by_host: dict[str, set[str]] | None = None
+    by_host: dict[str, set[int]] | None = None
     if removed.count() <= MAX_BROADCAST:
         by_host = {}
         for r in removed.collect():
-            by_host.setdefault(r["host"], set()).add(r["path"])
-        rows = rows.withColumn("removed", F.lit(None).cast("array<string>"))
+            by_host.setdefault(r["host"], set()).add(r["node"])
+        rows = rows.withColumn("removed", F.lit(None).cast("array<long>"))
     else:
-        own = map_arrow(rows, _own_nodes, "page_id long, host string, path string").join(removed, ["host", "path"])
-        lists = own.groupBy("page_id").agg(F.collect_set("path").alias("removed"))  # a page's own nodes
-        rows = rows.join(lists, "page_id", "left")
+        rows = rows.withColumn("key", F.sha2(F.concat_ws("\x00", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256))
+        own = map_arrow(rows.select("key", "url", "html"), _own_nodes, "key string, host string, node long").groupBy("key", "host", "node").agg(F.count("*").alias("n"))
+        lists = own.join(removed, ["host", "node"]).groupBy("key").agg(F.collect_set("node").alias("removed"), F.max("n").alias("n"))  # a page's own nodes
+        rows = lookup(rows, materialize(lists, "style-lists"), ["key"], "n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,7 @@
+import collections
 import hashlib
+import math
+import random
 
 import pytest
 
@@ -20,30 +23,122 @@ def test_text_of_a_messy_page():
     assert page.text(page.marked) == "Head & tail\none two\nthree <3!\na\nb"
 
 
+def test_broken_and_deep_pages_are_read():
+    own = lambda source: (page := html_extraction.Page(source)).text(page.marked)
+    assert own('<p class="x>text</p><p>more') == "text\nmore"
+    assert own('<p>a <span class="ad">Buy <i>now</i></span> b</p>') == "a b"
+    assert own("<div>" * 5000 + "deep") == "deep" == own("<b>" * 5000 + "deep") == own("<ul><li>" * 5000 + "deep")
+    assert own("<div>x" * 3000) == "\n".join("x" * 3000)
+    assert own("<nav>" + "<div>x" * 3000) == ""
+
+
 def test_cases_without_an_article(spark):
-    rows = [(1, "http://a.org/1", None), (2, None, ""), (3, "http://[bad", "plain  text"), (4, "http://a.org/2", "<p>x</p><!-- no --><p>y &am"), (4, "http://a.org/2", "<p>x</p>"), (None, "http://a.org", "<div>" * 300 + "deep")]
+    rows = [(1, "http://a.org/1", None), (2, None, ""), (3, "http://[bad", "plain  text"), (4, "http://a.org/2", "<p>x</p><!-- no --><p>y &am"), (4, "http://a.org/2", "<p>x</p>"), (None, "http://a.org", "<div>" * 5000 + "deep")]
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in html_extraction.main_text(pages(spark, rows)).collect())
     assert got == sorted([("1", "", 0), ("2", "", 0), ("3", "plain text", 10), ("4", "x\ny &am", 7), ("4", "x", 1), ("None", "deep", 4)])
     assert html_extraction.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def repeated(spark):
-    body = "<div class=share-it><span>Send this to all</span></div><div class=tale>Tale {0} of {0}</div>"
-    return pages(spark, [(i, f"http://h{i % 2}.org/{i}", body.format(i)) for i in range(40)])
+def site(n, host="h.org", menu="", article=True):
+    """Pages with an unmarked box and menu that repeat, and a body of their own, in an article or not."""
+    box = "<div class=box><span>Send this to all</span></div><table><tr><td>Home {0}<td>News {0}</table>"
+    body = "<h1>Tale {1}</h1><p>Once {1} and <b>again</b> {1}.</p>"
+    return [(i, f"http://{host}/{i}", box.format(i % 3) + menu + (f"<article>{body}</article>" if article else f"<div class=tale>{body}</div>").format(0, i)) for i in range(n)]
+
+
+def tale(i):
+    return f"Tale {i}\nOnce {i} and again {i}."
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_entropy_removes_what_no_word_marks(spark, monkeypatch, article):
+    rows = site(60, article=article)
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert got == {i: tale(i) for i in range(60)}
+    monkeypatch.setattr(html_extraction, "LEAST_IMPORTANCE", 0.01)  # the tree switched off: only marked elements would go
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Send this to all\nHome {i % 3}\nNews {i % 3}\n{tale(i)}" for i in range(60)}
+
+
+def test_menus_go_by_entropy_where_words_say_nothing(spark, monkeypatch):
+    menu = "<nav><ul><li>Go {0}<li>Come {0}</ul></nav><div class=ad>Buy {0}</div>"
+    rows = [(i, u, h.replace("<article>", menu.format(i % 20) + "<article>")) for i, u, h in site(400)]
+    monkeypatch.setitem(html_extraction.PRIORS, "marked", html_extraction.PRIORS["plain"])
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert got == {i: tale(i) for i in range(400)}
+
+
+def test_text_beside_an_article_is_judged_by_the_tree(spark):
+    rows = [(i, f"http://h.org/{i}", f"<article class=teaser>See also {i % 2}</article><div class=content><p>Story {i} begins.</p></div>") for i in range(30)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert all(f"Story {i} begins." in got[i] for i in range(30))
+
+
+def test_copied_articles_stay(spark):
+    rows = [(i, f"http://h.org/{i}", "<nav>menu</nav><article><p>The same tale on every page.</p></article>") for i in range(50)]
+    rows += [(100 + i, "http://two.org", "<p>Copied without a frame.") for i in range(2)]
+    assert {r.text for r in html_extraction.main_text(pages(spark, rows)).collect()} == {"The same tale on every page.", "Copied without a frame."}
 
 
 @pytest.mark.parametrize("limit", [10**6, 0])
-def test_low_importance_branches_go(spark, monkeypatch, limit):
+def test_rows_are_judged_by_their_own_url_and_page(spark, monkeypatch, limit):
     monkeypatch.setattr(html_extraction, "MAX_BROADCAST", limit)
-    got = {r.page_id: r.text for r in html_extraction.main_text(repeated(spark)).collect()}
-    assert got == {i: f"Tale {i} of {i}" for i in range(40)}
+    rows = site(60) + site(60, "other.org", menu="<p>Not on h.org {0}</p>", article=False)
+    rows += [(None, "http://h.org/n", "<div class=box><span>Send this to all</span></div><article><p>body</article>")] * 3
+    rows += [(5, "http://lone.org", "<div class=box><span>Send this to all</span></div><p>alone</p>"), (6, None, "<nav>menu</nav>body")]
+    got = html_extraction.main_text(pages(spark, rows)).collect()
+    assert sorted((str(r.page_id), r.url or "", r.text) for r in got) == slow_main_text(rows)
+    assert [r.text for r in got if r.page_id is None] == ["body"] * 3 and "Send this to all\nalone" in {r.text for r in got if r.page_id == 5}
+
+
+def slow_main_text(rows):
+    """The same by dictionaries, host by host and node by node."""
+    read = [(i, u, html_extraction.host_of(u), html_extraction.Page(h or "")) for i, u, h in rows]
+    gone = {}
+    for host in {x[2] for x in read}:
+        own = [p for *_, h, p in read if h == host]
+        contents, styles, below = {}, {}, {}
+        for p in own:
+            for node, text in {(n, " ".join(t.split())) for runs in p.blocks for n, t in runs}:
+                contents.setdefault(node, collections.Counter())[text] += 1
+                for above in p.up(node):
+                    below.setdefault(above, set()).add(node)
+            for node, style in p.styles:
+                styles.setdefault(node, collections.Counter())[style] += 1
+        for node in {n for p in own for n in p.parents}:
+            m = sum(node in p.parents for p in own)
+            ks = [k for n in below.get(node, ()) for k in contents[n].values()]
+            content = 1 - sum(k * math.log(k) for k in ks) / sum(ks) / math.log(m) if m > 1 and ks else 1.0
+            seen = list(styles.get(node, {}).values())
+            shown = (-sum(k / sum(seen) * math.log(k / sum(seen)) for k in seen) / math.log(m) if m > 1 else 1.0) if seen else float(m <= 1)
+            keep = html_extraction.GAMMA ** len(seen)
+            flag = 0
+            for p in own:
+                flag |= p.flags().get(node, 0)
+            given, bits = html_extraction.PRIORS["marked" if flag & 1 else "declared" if flag & 2 else "beside" if flag & 4 else "plain"]
+            value = (bits * given + math.log2(m) * ((1 - keep) * shown + keep * max(0.0, min(1.0, content)))) / (bits + math.log2(m))
+            if value < html_extraction.LEAST_IMPORTANCE:
+                gone.setdefault(host, set()).add(node)
+    return sorted((str(i), u or "", p.text(gone.get(h, set()))) for i, u, h, p in read)
+
+
+def test_texts_match_a_slow_style_tree(spark):
+    rng = random.Random(3)
+    parts = ["<nav><li>{0}</nav>", "<div class=x><p>{1}</div>", "<div class=y>{2}</div>", "<section><h2>{2}</h2><p>{1}</section>", "<article><p>{1}<p>{2}</article>", "<p>{0} <span class=ads>{2}</span></p>", "<aside>{1}</aside>", "<ul><li>{0}<li>{2}</ul>"]
+    rows = [(i, f"http://h{rng.randrange(3)}.org/{i}", "".join(p.format(rng.randrange(3), rng.randrange(10**6), rng.randrange(12)) for p in rng.sample(parts, rng.randrange(1, 6)))) for i in range(150)]
+    got = html_extraction.main_text(pages(spark, rows)).collect()
+    assert sorted((str(r.page_id), r.url or "", r.text) for r in got) == slow_main_text(rows)
 
 
 def test_importance_follows_entropy(spark):
     rows = [(i, "http://h.org", f"<div class=same>all the same</div><div class=own>only {i}</div><div class=half>half {i // 2}</div>") for i in range(16)]
-    tree = {r.path: r for r in html_extraction.style_tree(html_extraction.observations(pages(spark, rows))).collect()}
-    assert tree["/div.same"].content == 0 and tree["/div.own"].content == 1 and abs(tree["/div.half"].content - 0.75) < 1e-9
-    assert tree["/div.same"].pages == 16 and {r.path for r in html_extraction.removed_nodes(html_extraction.style_tree(html_extraction.observations(pages(spark, rows)))).collect()} == {"/div.same"}
+    found = html_extraction.style_tree(html_extraction.observations(pages(spark, rows)))
+    tree = {r.node: r for r in found.collect()}
+    same, own, half = (tree[html_extraction.node_id(0, f"div.{x}")] for x in ("same", "own", "half"))
+    assert same.content == 0 and own.content == 1 and abs(half.content - 0.75) < 1e-9
+    assert same.pages == 16 and [r.node for r in html_extraction.removed_nodes(found).collect()] == [same.node]
+    one = html_extraction.style_tree(html_extraction.observations(pages(spark, rows[:1]))).collect()
+    assert {r.importance for r in one} == {1.0}  # one page tells no bits
 
 
 @pytest.mark.parametrize(("compression", "limit"), [("none", 10**6), ("gzip", 0)])
