@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -97,6 +98,61 @@ def test_tree_splits_exactly():
     assert big.sum() == 10**9 and abs(big[0] / 10**9 - 2 / 3) < 1e-3
 
 
+def test_large_draws_are_hypergeometric(monkeypatch):
+    monkeypatch.setattr(mixing, "EXACT_DRAW", 0)
+    rng = np.random.default_rng(9)
+    got = np.bincount([mixing.hypergeometric(12, 8, 7, rng) for _ in range(4000)], minlength=8) / 4000
+    want = [math.comb(12, k) * math.comb(8, 7 - k) / math.comb(20, 7) for k in range(8)]
+    assert np.abs(got - want).max() < 0.03
+    assert [mixing.hypergeometric(*x, rng) for x in ((0, 5, 3), (5, 0, 3), (5, 5, 0), (5, 5, 10))] == [0, 3, 0, 5]
+    assert sum(mixing.draw(np.array([5, 0, 9, 3]), 11, rng)) == 11
+
+
+def slow_mix(rows, block_words, seed, spark):
+    """Words taken of each row: by source, blocks pass after pass in the order of their hash, while the target's nearer."""
+    keyed = docs(spark, rows).select("doc_id", "source", "text", mixing.word_count(F.col("text")).alias("size"), mixing.text_digest(F.col("text")).alias("digest"))
+    size = sum(r["size"] for r in keyed.collect())
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    own = {s: sum(len(WORD.findall(t or "")) for _, t, _, x in rows if x == s) for s in names}
+    target = dict(zip(names, mixing.target_sizes([own[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    assert abs(sum(target.values()) - min(size, 3 * size)) < 1e-6
+    n = F.ceil(F.col("size") / block_words).cast("int")
+    units = keyed.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("epoch"), n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    units = units.select("doc_id", "source", "size", "epoch", "block", F.xxhash64(F.lit(seed), "epoch", "block", "doc_id", "size", "source", "digest").alias("order")).collect()
+    taken = collections.Counter()
+    for s in names:
+        sofar = 0
+        for u in sorted((u for u in units if u.source == s), key=lambda u: (u.epoch, u.order % (1 << 64))):
+            words = min(block_words, u["size"] - u.block * block_words)
+            if sofar + words / 2 <= target[s]:
+                taken[u.doc_id] += words
+            sofar += words
+    return taken
+
+
+def test_mix_matches_a_slow_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 300))), "en", [None, "b", "a", "c", "é"][int(rng.integers(0, 5)) if i % 3 else 1]) for i in range(250)] + [(900, None, "en", "a")]
+    want = slow_mix(rows, 64, 7, spark)
+    got = mixing.mixed_words(mixing.mix(docs(spark, rows), block_words=64, shard_blocks=50, bucket_blocks=10)).collect()
+    assert {r.doc_id: r.taken for r in got} == {i: want[i] for i, *_ in rows}
+
+
+def test_the_tree_decides_the_shards(spark, monkeypatch):
+    rows = [(i, "w " * 50, "en", "abc"[i % 3]) for i in range(300)]
+    plan = mixing.mix(docs(spark, rows), shard_blocks=20)
+    mine = {(d.rid, d.epoch, d.block): d.shard for d in plan.draws.collect()}
+    held = collections.Counter((d.shard, d.sidx) for d in plan.draws.collect())
+    leaves = {lo: q for lo, _, q in mixing.grow(plan.sources["quota"].to_numpy(), 0, plan.shards, plan.shards, 7)}
+    assert all(held[k, j] == q for k, own in leaves.items() for j, q in enumerate(own.tolist()))
+    slots = {}
+    for d in plan.draws.collect():
+        slots.setdefault(d.shard, []).append(d.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    other = mixing.mix(docs(spark, rows), shard_blocks=20, seed=8)
+    assert mine != {(d.rid, d.epoch, d.block): d.shard for d in other.draws.collect()}
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 400))), "en", [None, "b", "a", "c"][i % 4]) for i in range(400)] + [(900, None, "en", "a"), (901, "", "en", "z"), (5, "twice", "en", "b"), (5, "twice", "en", "b")]
@@ -124,6 +180,13 @@ def test_mixed_documents_are_whole(spark):
     plan = mixing.mix(df, block_words=0)
     out = mixing.mixed_documents(plan, df).collect()
     assert {(r.doc_id, r.text) for r in out} <= {(i, t) for i, t, *_ in rows} and len(out) == plan.draws.count()
+    assert [(r.mix_shard, r.mix_slot) for r in out] == sorted((d.shard, d.slot) for d in plan.draws.collect()) and plan.shards == 8
+    draws = collections.Counter((d.doc_id, d.epoch, d.shard, d.slot) for d in plan.draws.collect())
+    assert draws == collections.Counter((r.doc_id, r.mix_epoch, r.mix_shard, r.mix_slot) for r in out)
+    alike = docs(spark, [(None, "same words", "en", None)] * 3 + [(None, "other words", "en", None), (1, "same words", "en", "a")])
+    plan = mixing.mix(alike, block_words=0)
+    texts = collections.Counter((r.doc_id, r.text) for r in mixing.mixed_documents(plan, alike).collect())
+    assert sum(texts.values()) == plan.draws.count() and set(texts) <= {(None, "same words"), (None, "other words"), (1, "same words")}
     assert mixing.mixed_words(mixing.mix(spark.createDataFrame([], DOCS))).count() == 0
 
 
