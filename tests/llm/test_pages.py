@@ -1,4 +1,5 @@
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -145,7 +146,10 @@ def test_importance_follows_entropy(spark):
 def test_archives_round_trip(spark, tmp_path, monkeypatch, compression, limit):
     monkeypatch.setattr(warc, "MAX_BROADCAST", limit)
     rows = [(3, "http://a", "same é\r\n\r\nWARC/1.1"), (1, "http://b", "same é\r\n\r\nWARC/1.1"), (2, None, None), (9, "http://c\r\nX: y", ""), (4, "u", "x" * 200_000), (None, "n", "own"), (None, "n", "")]
-    path = warc.write_archives(pages(spark, rows), f"file://{tmp_path}/w", compression=compression)
+    rows += [(40 + i, "http://big", f"{i}" * 70_000) for i in range(6)]
+    path = warc.write_archives(pages(spark, rows).coalesce(1), f"file://{tmp_path}/w", compression=compression, file_bytes=150_000, date="2030-01-02T03:04:05Z")
+    sizes = sorted(len(data if data[:2] != b"\x1f\x8b" else gzip.decompress(data)) for f in (tmp_path / "w").glob("*/part-*") for data in [f.read_bytes()])
+    assert len(sizes) >= 4 and sizes[-1] > 200_000 and all(x <= 150_000 for x in sizes[:-1])  # only the record of 200,000 bytes is larger
     got = {(r.page_id, r.payload_bytes): r for r in warc.read_archives(spark, path).collect()}
     assert len(got) == len(rows)
     first = {}
@@ -157,7 +161,9 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch, compression, limit):
         p, r = (h or "").encode(), got[i, len((h or "").encode())]
         assert r.payload_digest == warc.digest_of(p)
         assert (r.record_type, r.refers_to) == (("response", None) if first.get(p, i) == i else ("revisit", first[p]))
-        assert r.payload == (p.decode() if r.record_type == "response" else None)
+        assert r.payload == (p.decode() if r.record_type == "response" else None) and r.date == "2030-01-02T03:04:05Z"
+        uri = next((u for j, u, _ in rows if j == r.refers_to and j is not None), None)
+        assert (r.refers_uri, r.refers_date) == ((None, None) if r.refers_to is None else (uri or "about:blank", "2030-01-02T03:04:05Z"))
     empty = spark.createDataFrame([], PAGES)
     assert warc.archived_records(empty).count() == 0
 
