@@ -178,10 +178,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int
     unit = unit.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
     words = F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words) if block_words else F.col("size")
     order = F.xxhash64(F.lit(seed), "epoch", "block", "doc_id", "size", "source", "digest")
-    unit = unit.withColumns({"n_words": words, "order": order})
+    unit = unit.withColumns({"n_words": words, "order": order}).withColumn("rank", F.expr("order ^ (-9223372036854775807L - 1)"))  # order as an unsigned number
     within_epoch = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(order, 64 - bits)")).otherwise(F.lit(0)).cast("long")
     unit = unit.withColumn("bucket", F.expr("shiftleft(CAST(epoch AS BIGINT), bits)") + within_epoch)  # along all passes
-    unit = unit.select("rid", "doc_id", "sidx", "target", "epoch", "bucket", "order", "block", "n_words")
+    unit = unit.select("rid", "doc_id", "sidx", "target", "epoch", "bucket", "rank", "block", "n_words")
 
     n_buckets = int(sum(e << b for e, b in zip(per["epochs"], per["bits"], strict=True)))
     sums = unit.groupBy("sidx", "bucket").agg(F.count("*").alias("blocks"), F.sum("n_words").alias("words"))
@@ -192,7 +192,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int
     ranges = ranges.select("sidx", "range", ahead("rb", upto("sidx", "range")).alias("rb"), ahead("rw", upto("sidx", "range")).alias("rw"))
     sums = sums.join(ranges, ["sidx", "range"])
     sums = sums.select("sidx", "bucket", (F.col("rb") + ahead("blocks", upto("sidx", "range", "bucket"))).alias("off"), (F.col("rw") + ahead("words", upto("sidx", "range", "bucket"))).alias("wb"))
-    within = Window.partitionBy("sidx", "bucket").orderBy("order", "rid", "block")
+    within = Window.partitionBy("sidx", "bucket").orderBy("rank", "rid", "block")
     ranked = unit.withColumns({"nth": F.row_number().over(within) - 1, "sofar": F.sum("n_words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words")})
     kept = ranked.join(sums, ["sidx", "bucket"]).filter(F.col("wb") + F.col("sofar") + F.col("n_words") / F.lit(2.0) <= F.col("target"))
     most = MAX_REPEATS * int(per["blocks"].fillna(0).sum())

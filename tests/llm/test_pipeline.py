@@ -1,11 +1,18 @@
+import collections
+import hashlib
+import math
+
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from cytoloom.llm import mixing
+from cytoloom.llm import bpe, mixing, quality_classifier
 from cytoloom.llm.common import HEAVY_SHARE, lookup
 
+from .helpers import DOCS, EDGE
+from .helpers import docs as helper_docs
 from .test_dedup import lowered
-from .test_text import labelled
+from .test_text import labelled, slow_mix, slow_quality
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +45,35 @@ def test_stages_keep_their_promises(spark, corpus):
     own = classes([slow_fingerprint(exact[i].text) for i in ids])
     assert set(near) == {min(i for i, c in zip(ids, own, strict=True) if c == k) for k in set(own)}
     assert set(mix) <= set(near)
+    counts = collections.Counter(r.doc_id for r in docs.collect())
+    weighed = [(i, r.text, "en", r.source) for i, r in near.items()]
+    words = {i: len(r.text.split()) for i, r in near.items()}
+    assert {i: n * words[i] for i, n in counts.items()} == {i: n for i, n in slow_mix(weighed, 1 << 40, 7, spark).items() if n}
+    scorer = quality_classifier.train(spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()}
+    assert set(good) == {i for i, t in texts.items() if 1 / (1 + math.exp(-slow_quality(scorer, t))) >= 0.3}
+    path, pattern = bpe.default_vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    tokens = collections.Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.STAGES[4][1](spark, docs, corpus).collect())
+    assert tokens == collections.Counter({(i, len(own.encode_ordinary(near[i].text)), hashlib.sha256(near[i].text.encode()).hexdigest()): n for i, n in counts.items()})
+
+
+@pytest.mark.parametrize("rows", [[], EDGE, [(None, "a text without an id " * 30)] * 3 + [(None, None), (1, "A text " * 40), (1, "A text " * 40), (1, "another text " * 40)]])
+@pytest.mark.parametrize("labelled_rows", [[], [(1, 1, 0), (None, 1, 1), (2, None, None)]])
+def test_stages_take_edge_cases(spark, tmp_path, rows, labelled_rows):
+    """Nulls anywhere, empty and long texts, repeated rows, empty tables and labels, further columns."""
+    given = helper_docs(spark, rows) if rows else spark.createDataFrame([], DOCS)
+    spark.createDataFrame(labelled_rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, columns = given, given.columns
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, now, str(tmp_path))
+        assert number == 4 or found.columns == columns
+        found.write.parquet(f"{tmp_path}/{number}")
+        now = spark.read.parquet(f"{tmp_path}/{number}")
+        if number in (1, 2):
+            texts = [lowered(r.text) for r in now.collect()]
+            assert len(texts) == len(set(texts))
+    assert now.count() >= (1 if rows else 0)
 
 
 def test_whole_run_counts_the_mix(spark, corpus):

@@ -298,6 +298,71 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
     assert sum(r.predicted for r in good) == quality_classifier.accepted(df, quality_classifier.train(df, labels)).count()
 
 
+def slow_toxicity(model, text):
+    """The logit by trying every feature on the text."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    total = model.bias
+    for name, weight in zip(model.names, model.weights, strict=True):
+        plain = name.removesuffix("+")
+        n = sum(len(w) > len(plain) - 1 and w.startswith(plain[:-1]) for w in words) if plain.endswith("-") else words.count(plain)
+        total += weight * (n >= (2 if name.endswith("+") else 1))
+    return total
+
+
+def slow_quality(model, text):
+    """The logit by counting byte by byte, word by word."""
+    raw = (text or "").encode()
+    words, n = raw.split(), len(raw.split())
+    kinds = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b"\n", b".,;:'\"()-?"]
+    counts = [0] * 10
+    for b in raw:
+        kind = next((k for k, chars in enumerate(kinds) if b in chars), 6)
+        counts[7 if b == ord("!") else 8 if 128 <= b < 192 else 9 if b >= 192 else kind] += 1
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    triples = {tuple(words[i : i + 3]) for i in range(n - 2)}
+    x = [c / max(1, len(raw)) for c in counts]
+    x += [len(triples) / (n - 2) if n > 2 else 1.0, len(set(words)) / n * max(1, n) ** 0.5 / 10 if n else 0.1, sum(words[i] == words[i + 1] for i in range(n - 1)) / n if n else 0.0]
+    x += [len(set(lines)) / len(lines) if lines else 1.0, len(raw) / max(1, n), math.log1p(n), max(map(len, words), default=0) / 50]
+    return model.bias + sum(weights[sum(value >= c for c in cuts)] for value, cuts, weights in zip(x, model.cuts, model.weights, strict=True))
+
+
+def test_scores_match_slow_scorers(spark):
+    rows, labels = labelled(spark, 300)
+    df = docs(spark, rows)
+    t, q = toxicity.train(df, labels), quality_classifier.train(df, labels)
+    assert t.names and len(q.cuts) == quality_classifier.MEASURES
+    rows = rows[::9] + EDGE + [(500, "zzvilea " * 20_000), (501, "ZZVILEA zzvileb\n\nzzvileb!"), (502, "!" * 100_000)]
+    edge = docs(spark, rows)
+    for model, module, slow, cut in ((t, toxicity, slow_toxicity, 0.5), (q, quality_classifier, slow_quality, 0.3)):
+        got = sorted(((str(r.doc_id), r.score, r.predicted) for r in module.score(edge, model).collect()), key=lambda r: (r[0], r[1]))
+        want = sorted(((str(i), 1 / (1 + math.exp(-slow(model, x)))) for i, x in rows), key=lambda r: (r[0], r[1]))
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all(math.isclose(g[1], w[1], rel_tol=1e-6, abs_tol=1e-9) and g[2] == int(w[1] >= cut) for g, w in zip(got, want, strict=True))
+
+
+def test_scores_at_the_threshold_count(spark):
+    one = docs(spark, [(1, "any"), (2, None)])
+    assert {r.predicted for r in toxicity.score(one, toxicity.Model([], np.zeros(0), 0.0, 0.5)).collect()} == {1}
+    cuts = np.zeros((quality_classifier.MEASURES, 1))
+    model = quality_classifier.Model(cuts, np.zeros((quality_classifier.MEASURES, 2)), math.log(0.3 / 0.7) + 1e-12, 0.5)
+    assert {r.predicted for r in quality_classifier.score(one, model).collect()} == {1}
+
+
+def test_fit_descends_the_non_negative_risk():
+    rng = np.random.default_rng(2)
+    xp, xu, prior = rng.normal(1, 1, (200, 3)), np.vstack([rng.normal(1, 1, (90, 3)), rng.normal(-1, 1, (210, 3))]), 0.3
+
+    def risk(w):
+        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        loss = lambda z, y: sum(math.log1p(math.exp(-y * v)) for v in z) / len(z)
+        return prior * loss(zp, 1) + max(0.0, loss(zu, -1) - prior * loss(zp, -1)) + 5e-5 * float(w[:-1] @ w[:-1])
+
+    w = pu.fit(xp, xu, prior, steps=2000)
+    best = risk(w)
+    assert best < 0.5 * risk(np.zeros(4))
+    assert all(risk(w + 0.3 * d) >= best - 1e-6 for d in rng.normal(size=(40, 4)))
+
+
 def test_scorers_on_edge_cases(spark):
     rows, labels = labelled(spark, 120)
     df = docs(spark, rows)
