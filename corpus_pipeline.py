@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality classifier, exact and near deduplication, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of documents."""
+columns of docs, whatever further columns it has; only doc_id, text and source are read. Null texts are empty, empty texts
+are scored and deduplicated like any other and never mixed, null ids and repeated rows are told apart by their texts, and
+an empty table passes through every stage as one."""
 
 from __future__ import annotations
 
@@ -13,25 +15,26 @@ from cytoloom.shipping import ship
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; all of them where labels confirm none."""
     ship(spark)
     return quality_classifier.accepted(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, that with the largest doc_id; a null id is the least."""
     ship(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that with the least doc_id; one without an id where none has any."""
     ship(spark)
     return simhash.deduplicated(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn so that each source comes near its target; a document stands as often as it was drawn."""
+    """Whole documents drawn so that each source comes near its target, shard by shard, each shard in its shuffled order; a
+    document stands as often as it was drawn. The written partitions are runs of shards."""
     ship(spark)
     plan = mixing.mix(docs, block_words=0)
     return mixing.mixed_documents(plan, docs).select(*docs.columns)
@@ -51,7 +54,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", tokenised),
 ]
 
-#: The classifier and the draws have no SQL form; tests hold each stage against a brute-force version.
+#: The classifier and the draws have no SQL form; tests/llm/test_pipeline.py holds each stage against a slow version.
 ORACLE_SQL = None
 
 
