@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.special import t_two_sided
+from ..sources.work import cut
 from .features import region_of, type_of
+from .spatial import null_summary
 
 LEAST_ROWS = 10
 
@@ -85,6 +87,29 @@ def partial_spearman(rows: DataFrame, by: Sequence[str], covariates: Sequence[st
     return rows.select(*by, x, y, *covariates).groupBy(*by).applyInPandas(work, f"{fields}, n long, rho double, p double").select(*by, "n", F.nanvl("rho", F.lit(None)).alias("rho"), F.nanvl("p", F.lit(None)).alias("p"))
 
 
+def mean_abs_alignment(rows: DataFrame, by: Sequence[str], feature: str = "feature", covariates: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """(by, features, v): over a set's features, the mean absolute rank correlation of x and y given the covariates. Features
+    whose correlation is undefined don't count; v is null where none is left."""
+    keys = [*by, feature]
+    if len(covariates) > 1:
+        found = partial_spearman(rows, keys, covariates, least=least)
+    else:
+        found = partial_spearman_one(rows, keys, c=covariates[0], least=least) if covariates else spearman(rows, keys, least=least)
+    return found.groupBy(*by).agg(F.count("rho").alias("features"), F.avg(F.abs("rho")).alias("v"))
+
+
+def null_alignment(real: DataFrame, surrogates: DataFrame, y: DataFrame, unit: str, covariates: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """One row (real, features, p, z, mean, sd, median, surrogates): the mean absolute alignment of real features with y
+    against that of surrogate sets. real: (feature, unit, x); surrogates: the same with s, the set; y: (unit, y, covariates).
+    All sets go through one plan."""
+    rows = real.select(F.lit(-1).alias("s"), "feature", unit, "x").unionByName(surrogates.select(F.col("s").cast("int").alias("s"), "feature", unit, "x"))
+    found = cut(mean_abs_alignment(rows.join(F.broadcast(y), unit), ["s"], covariates=covariates, least=least))
+    own = found.filter("s = -1").select(F.lit(1).alias("one"), F.col("v").alias("real"), "features")
+    null = found.filter("s >= 0").select(F.lit(1).alias("one"), "v")
+    out = null_summary(null, own.select("one", "real"), ["one"]).join(null.groupBy("one").agg(F.count("v").alias("surrogates")), "one")
+    return out.join(own.select("one", "features"), "one").drop("one")
+
+
 def rule_covariate(means: DataFrame, rule_genes: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, lr_name, value): mean expression of a rule's ligand and receptor genes, each counted once."""
     genes = rule_genes.select("lr_name", "gene").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.resample import shuffled_labels
+from ..functions.resample import axis, shuffled_labels
 from ..sources.work import cut
 
 METHODS = ("default", "hill", "minmean")
@@ -65,41 +65,50 @@ def signalling(expr: DataFrame, rules: DataFrame) -> DataFrame:
     return own.join(F.broadcast(most)).select("cell_id", "gene", F.when(F.col("most") > 0, F.col("value") / F.col("most")).otherwise(F.col("value")).alias("value"))
 
 
-def group_expression(expr: DataFrame, labels: DataFrame, how: str = "triquartile", by: Sequence[str] = ()) -> DataFrame:
+def group_expression(expr: DataFrame, labels: DataFrame, how: str = "triquartile", by: Sequence[str] = (), dense: bool = True) -> DataFrame:
     """(by, node, gene, value) from expr (cell_id, gene, value) and labels (by, cell_id, node).
 
     Zeros are not stored: each node and gene gets one weighted zero for its cells without a row, so quantiles count them
-    and no dense table is made."""
+    and no dense table of cells is made. Without dense, nodes have no row for genes that none of their cells has."""
     if how not in ("triquartile", "mean"):
         raise ValueError(f"unknown mean {how!r}")
     seen = labels.join(expr, "cell_id").groupBy(*by, "node", "gene", "value").agg(F.count("*").alias("w"))
     sizes = labels.groupBy(*by, "node").agg(F.count("*").alias("size"))
-    genes = expr.select("gene").distinct()
-    grid = sizes.join(F.broadcast(genes))
     held = seen.groupBy(*by, "node", "gene").agg(F.sum("w").alias("held"))
-    zeros = grid.join(held, [*by, "node", "gene"], "left").select(*by, "node", "gene", F.lit(0.0).alias("value"), (F.col("size") - F.coalesce("held", F.lit(0))).alias("w")).filter("w > 0")
+    there = sizes.crossJoin(expr.select("gene").distinct()).join(held, [*by, "node", "gene"], "left") if dense else held.join(sizes, [*by, "node"])
+    zeros = there.select(*by, "node", "gene", F.lit(0.0).alias("value"), (F.col("size") - F.coalesce("held", F.lit(0))).alias("w")).filter("w > 0")
     rows = seen.unionByName(zeros)
     value = S.tri_quartile("value", "w") if how == "triquartile" else F.sum(F.col("value") * F.col("w")) / F.sum("w")
     return rows.groupBy(*by, "node", "gene").agg(value.alias("value"))
 
 
-def side_scores(grouped: DataFrame, rules: DataFrame, method: str = "default", k: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+def side_scores(grouped: DataFrame, rules: DataFrame, method: str = "default", k: float = 0.5, by: Sequence[str] = (), panel: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(by, lr_name, side, node, score) for all rules at once from (by, node, gene, value).
 
     default: mean of each group's genes, a group without any counts 1, then the geometric mean of the groups with each
-    taken as often as its coefficient says; any zero gives zero. hill: geometric mean of the genes. minmean: the least."""
+    taken as often as its coefficient says; any zero gives zero. hill: geometric mean of the genes. minmean: the least.
+    Where grouped isn't dense, panel (gene) says which genes there are, and nodes (by, node) which nodes; only default
+    takes them."""
     genes = F.broadcast(rule_genes(rules))
     rows = grouped.join(genes, "gene")
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
     if method == "minmean":
         return rows.groupBy(*by, "lr_name", "side", "node").agg(F.min("value").alias("score"))
     if method == "hill":
         safe = F.when(F.col("value") > 0, F.log("value"))
         return rows.groupBy(*by, "lr_name", "side", "node").agg(F.when(F.min("value") <= 0, F.lit(0.0)).otherwise(F.exp(F.avg(safe))).alias("score"))
-    if method != "default":
-        raise ValueError(f"unknown method {method!r}")
-    groups = rows.groupBy(*by, "lr_name", "side", "node", "grp").agg(F.avg("value").alias("x"))
-    nodes = grouped.select(*by, "node").distinct().join(F.broadcast(rule_coefficients(rules)))
-    full = nodes.join(groups, [*by, "lr_name", "side", "node", "grp"], "left").withColumn("x", F.coalesce("x", F.lit(1.0)))
+    groups = rows.groupBy(*by, "lr_name", "side", "node", "grp").agg(F.sum("value").alias("x"), F.count("*").alias("n"))
+    nodes = grouped.select(*by, "node").distinct() if nodes is None else nodes
+    coefficients = rule_coefficients(rules)
+    if panel is not None:
+        sizes = rule_genes(rules).join(panel.select("gene").distinct(), "gene").groupBy("lr_name", "side", "grp").agg(F.count("*").alias("known"))
+        coefficients = coefficients.join(sizes, ["lr_name", "side", "grp"], "left")
+    full = nodes.crossJoin(F.broadcast(coefficients)).join(groups, [*by, "lr_name", "side", "node", "grp"], "left")  # the rules are a small table
+    if panel is None:
+        full = full.withColumn("x", F.coalesce(F.col("x") / F.col("n"), F.lit(1.0)))
+    else:
+        full = full.withColumn("x", F.when(F.col("known").isNull(), 1.0).otherwise(F.coalesce("x", F.lit(0.0)) / F.col("known")))
     weight = F.sum("coeff").cast("double")
     log = F.sum(F.when(F.col("coeff") > 0, F.col("coeff") * F.log(F.when(F.col("x") > 0, F.col("x")))))
     zero = F.max(((F.col("coeff") > 0) & (F.col("x") <= 0)).cast("int")) == 1
@@ -125,19 +134,54 @@ def observed_network(scores: DataFrame, method: str = "default", k: float = 0.5,
     return lig.join(rec, [*by, "lr_name"]).select(*by, "lr_name", "sender", "receiver", combine(F.col("lig"), F.col("rec"), method, k).alias("prob"))
 
 
-def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, observed: DataFrame, m: int, seed: int, how: str = "triquartile", method: str = "default", k: float = 0.5) -> DataFrame:
-    """observed with pvalue: the share of m label shuffles whose score is above, strictly. One shuffle serves all rules.
-    Rules that are zero everywhere, and all rules when m is 0, get none."""
+def permuted_labels(labels: DataFrame, m: int, seed: int, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None) -> DataFrame:
+    """(perm, cell_id, node): m shuffles of labels (cell_id, node). Where senders or receivers are named, cells of the
+    receivers trade labels among themselves, the other cells of the senders take theirs from a shuffle of all cells of the
+    senders, and all other cells keep their own."""
+    if senders is None and receivers is None:
+        return shuffled_labels(labels, "cell_id", "node", m, seed)
+    of = lambda nodes: F.lit(True) if nodes is None else F.col("node").isin(list(nodes))
+    sent, received = of(senders), of(receivers)
+    own = lambda rows, at: shuffled_labels(rows, "cell_id", "node", m, at)
+    keep = labels.filter(sent & ~received).select("cell_id")
+    rest = axis(labels.filter(~sent & ~received), m, "perm").select("perm", "cell_id", "node")
+    return own(labels.filter(received), seed + 1).unionByName(own(labels.filter(sent), seed).join(keep, "cell_id", "left_semi").select("perm", "cell_id", "node")).unionByName(rest)
+
+
+def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, observed: DataFrame, m: int, seed: int, how: str = "triquartile", method: str = "default", k: float = 0.5, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None) -> DataFrame:
+    """observed with pvalue: the share of m label shuffles (see permuted_labels) whose score is above, strictly. One shuffle
+    serves all rules. Rules that are zero everywhere, and all rules when m is 0, get none.
+
+    The null scores of a rule's side at a node are one array of m numbers, so pairs of nodes are shuffled once and not m
+    times: each observed pair meets its two arrays and counts."""
     if m == 0:
         return observed.withColumn("pvalue", F.lit(None).cast("double"))
-    observed, expr = cut(observed), cut(expr)
-    alive = observed.groupBy("lr_name").agg(F.max("prob").alias("top")).filter("top > 0").select("lr_name")
-    shuffles = shuffled_labels(labels, "cell_id", "node", m, seed)
-    grouped = group_expression(expr, shuffles, how, by=["perm"])
-    null = observed_network(side_scores(grouped, rules, method, k, by=["perm"]), method, k, by=["perm"]).withColumnRenamed("prob", "null_prob")
-    tested = observed.join(F.broadcast(alive), "lr_name", "left_semi")
-    above = null.join(tested, ["lr_name", "sender", "receiver"]).groupBy("lr_name", "sender", "receiver").agg((F.sum((F.col("null_prob") > F.col("prob") * (1 + 1e-12)).cast("long")) / float(m)).alias("pvalue"))
-    return observed.join(above, ["lr_name", "sender", "receiver"], "left")
+    observed = cut(observed)
+    alive = rules.join(observed.filter("prob > 0").select("lr_name").distinct(), "lr_name", "left_semi")
+    expr = cut(expr.join(F.broadcast(rule_genes(alive).select("gene").distinct()), "gene", "left_semi"))
+    shuffles = permuted_labels(labels.select("cell_id", "node"), m, seed, senders, receivers)
+    sparse = method == "default"
+    grouped = group_expression(expr, shuffles, how, by=["perm"], dense=not sparse)
+    more = {"panel": expr, "nodes": shuffles.select("perm", "node").distinct()} if sparse else {}
+    scores = side_scores(grouped, alive, method, k, by=["perm"], **more)
+    own = scores.groupBy("lr_name", "side", "node").agg(F.map_from_entries(F.collect_list(F.struct("perm", "score"))).alias("by_perm"))
+    own = own.select("lr_name", "side", "node", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.col("by_perm")[i]).alias("null"))
+    lig = own.filter("side = 'lig'").select("lr_name", F.col("node").alias("sender"), F.col("null").alias("null_lig"))
+    rec = own.filter("side = 'rec'").select("lr_name", F.col("node").alias("receiver"), F.col("null").alias("null_rec"))
+    above = F.zip_with("null_lig", "null_rec", lambda a, b: F.when(combine(a, b, method, k) > F.col("prob") * (1 + 1e-12), 1).otherwise(0))
+    share = F.aggregate(above, F.lit(0), lambda total, x: total + x) / float(m)
+    return observed.join(lig, ["lr_name", "sender"], "left").join(rec, ["lr_name", "receiver"], "left").select(*observed.columns, share.alias("pvalue"))
+
+
+def run_inference(expr: DataFrame, labels: DataFrame, rules: DataFrame, *, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, m: int = 100, fdr: float = 0.05, k: float = 0.5, method: str = "default", how: str = "triquartile", strict: int = 1, seed: int = 42) -> DataFrame:
+    """(lr_name, sender, receiver, prob, pvalue, net) from raw expression (cell_id, gene, value) and labels (cell_id, node):
+    scaled signal, eligible rules, group expression, side scores, network, m shuffles and the place-by-place filter."""
+    signal = cut(signalling(expr, rules))
+    fine = eligible_rules(rules, signal.select("gene"), strict).filter("eligible")
+    own = rules.join(fine, "lr_name", "left_semi")
+    scores = side_scores(group_expression(signal, labels, how), own, method, k)
+    observed = observed_network(scores, method, k, senders=senders, receivers=receivers)
+    return filtered_network(permutation_pvalues(signal, labels, own, observed, m, seed, how, method, k, senders, receivers), fdr)
 
 
 def filtered_network(tested: DataFrame, fdr: float = 0.05) -> DataFrame:

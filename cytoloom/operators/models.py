@@ -67,6 +67,34 @@ def parameter_draws(n: int, seed: int) -> list[dict]:
     return [{"depth": int(rng.integers(2, 6)), "rate": float(np.exp(rng.uniform(np.log(0.03), np.log(0.3)))), "rounds": int(rng.integers(10, 40))} for _ in range(n)]
 
 
+TRIAL = "trial int, depth int, rate double, rounds int, metric string, micro double, macro double, folds int"
+
+
+def search_parameters(rows: DataFrame, features: Sequence[str], folds: Sequence[str], journal: str, *, n: int, seed: int, metric: str = "mae", loss: str = "squared", y: str = "y_t", most: int | None = None) -> DataFrame:
+    """The journal of a parameter search, a written table of TRIAL: each of n draws is trained and evaluated on every fold,
+    and its row appended when it's done. Trials that the journal has already are not run again, so a search that was
+    broken off goes on where it stopped; most bounds the trials of this call."""
+    from . import validation as val
+
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    done = {r["trial"] for r in spark.read.schema(TRIAL).parquet(journal).select("trial").collect()} if held else set()
+    todo = [(i, draw) for i, draw in enumerate(parameter_draws(n, seed)) if i not in done]
+    for i, draw in todo[:most]:
+        predictions, _ = region_folds(rows, features, folds, y, loss=loss, **draw)
+        per_fold = val.metrics(predictions, ["fold"], y=y)
+        found = val.micro_macro(per_fold, metric).first()
+        row = (i, draw["depth"], draw["rate"], draw["rounds"], metric, found["micro"], found["macro"], len(folds))
+        spark.createDataFrame([row], TRIAL).coalesce(1).write.mode("append").parquet(journal)
+    return spark.read.schema(TRIAL).parquet(journal)
+
+
+def best_trial(journal: DataFrame, by: str = "macro") -> DataFrame:
+    """The trial of the journal with the least error, the first of equals."""
+    return journal.orderBy(by, "trial").limit(1)
+
+
 def chosen_regions(regions: DataFrame, n: int, seed: int) -> DataFrame:
     """n regions in hash order, all where there are no more."""
     return regions.select("region").distinct().withColumn("_k", hash_key(seed, "region")).orderBy("_k", "region").limit(n).select("region")
@@ -193,40 +221,52 @@ def _tree(node) -> dict:
     return {"n": float(node.impurityStats().count()), "f": int(s.featureIndex()), "t": float(s.threshold()), "l": _tree(node.leftChild()), "r": _tree(node.rightChild())}
 
 
-def _expected(node: dict, x: np.ndarray, known: frozenset) -> float:
+def _leaves(node: dict, path: tuple = ()) -> list[tuple[float, dict]]:
+    """(value, {feature: (share of rows, [(threshold, left)])}) of each leaf: of a feature's conditions on the way there,
+    the share of rows that took all of them, each counted among the rows that reached it."""
     if "v" in node:
-        return node["v"]
-    if node["f"] in known:
-        return _expected(node["l"] if x[node["f"]] <= node["t"] else node["r"], x, known)
-    return (node["l"]["n"] * _expected(node["l"], x, known) + node["r"]["n"] * _expected(node["r"], x, known)) / node["n"]
-
+        own: dict[int, tuple[float, list]] = {}
+        for f, threshold, left, share in path:
+            z, tests = own.get(f, (1.0, []))
+            own[f] = (z * share, [*tests, (threshold, left)])
+        return [(node["v"], own)]
+    step = lambda child, left: _leaves(child, (*path, (node["f"], node["t"], left, child["n"] / node["n"])))
+    return step(node["l"], True) + step(node["r"], False)
+
+
+def shapley_values(tree: dict, x: np.ndarray) -> np.ndarray:
+    """Exact Shapley values of one tree for the rows of x, path-dependent: what a tree doesn't know is averaged by the rows
+    that went either way. A leaf is reached by a set of known features with a probability that is a product over the
+    features on its way, so the sum over all sets has a polynomial's coefficients: d^3 steps for d features, for all
+    rows at once."""
+    from math import factorial
 
-def _used(node: dict) -> set[int]:
-    return set() if "v" in node else {node["f"]} | _used(node["l"]) | _used(node["r"])
+    phi = np.zeros(x.shape)
+    for value, own in _leaves(tree):
+        features, d = list(own), len(own)
+        known = {f: np.all([(x[:, f] <= t) == left for t, left in tests], axis=0).astype(float) for f, (_, tests) in own.items()}
+        for f in features:
+            sizes = np.zeros((d, len(x)))  # by the size of the set: sum over sets of the other features
+            sizes[0] = 1.0
+            for g in features:
+                if g != f:
+                    sizes[1:], sizes[0] = sizes[1:] * own[g][0] + sizes[:-1] * known[g], sizes[0] * own[g][0]
+            weights = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+            phi[:, f] += value * (known[f] - own[f][0]) * (weights @ sizes)
+    return phi
 
 
 def tree_shap(model, rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """(keys, feature, value, effect): exact Shapley values of a boosted-tree model, path-dependent: what a tree doesn't know
-    is averaged by the rows that went either way. A tree's values are summed over subsets of its own few features."""
-    from itertools import combinations
-    from math import factorial
-
+    """(keys, feature, value, effect): exact Shapley values of a boosted-tree model (see shapley_values)."""
     trees = [(_tree(t._call_java("rootNode")), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    packed = json.dumps([[t, w, sorted(_used(t))] for t, w in trees])
+    packed = json.dumps(trees)
 
     def work(batches):
         own = json.loads(packed)
         for pdf in batches:
-            x, phi = pdf[list(features)].to_numpy(float), np.zeros((len(pdf), len(features)))
-            for i in range(len(x)):
-                for tree, w, used in own:
-                    m = len(used)
-                    seen = {s: _expected(tree, x[i], frozenset(s)) for r in range(m + 1) for s in combinations(used, r)}
-                    for s, v in seen.items():
-                        for f in set(used) - set(s):
-                            phi[i, f] += w * factorial(len(s)) * factorial(m - len(s) - 1) / factorial(m) * (seen[tuple(sorted((*s, f)))] - v)
-            long = [pdf[list(keys)].assign(feature=f, value=x[:, j], effect=phi[:, j]) for j, f in enumerate(features)]
-            yield pd.concat(long)
+            x = pdf[list(features)].to_numpy(float)
+            phi = sum((w * shapley_values(tree, x) for tree, w in own), np.zeros(x.shape))
+            yield pd.concat([pdf[list(keys)].assign(feature=f, value=x[:, j], effect=phi[:, j]) for j, f in enumerate(features)])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
     return rows.select(*keys, *(F.col(f).cast("double") for f in features)).mapInPandas(work, f"{kinds}, feature string, value double, effect double")

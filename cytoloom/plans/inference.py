@@ -179,6 +179,32 @@ def net_bh(spark, sf_dir):
     return infer.filtered_network(tested(spark, sf_dir)).select("lr_name", "sender", "receiver", r6("net").alias("net"))
 
 
+SENDERS, RECEIVERS = ("ASIA::BUILDING", "EUROPE::MACHINERY", "AFRICA::FURNITURE"), ("ASIA::BUILDING", "AMERICA::FURNITURE", "EUROPE::AUTOMOBILE")
+
+
+def _trade(name: str, nodes: tuple[str, ...], seed: int) -> str:
+    """A shuffle of the labels of the cells of some nodes, as SQL."""
+    own = f"SELECT * FROM cells WHERE node IN {nodes}"
+    return f"""{name}_plain AS (SELECT node, row_number() OVER (ORDER BY md5('{seed}_-1_' || cell_id), cell_id) AS r FROM ({own})),
+        {name}_drawn AS (SELECT perm, cell_id, node AS was, row_number() OVER (PARTITION BY perm ORDER BY md5('{seed}_' || perm || '_' || cell_id), cell_id) AS r FROM ({own}) CROSS JOIN range({PERMUTATIONS}) p(perm)),
+        {name} AS (SELECT perm, cell_id, was, p.node FROM {name}_drawn JOIN {name}_plain p USING (r))"""
+
+
+RESTRICTED = (
+    TESTED.replace("FROM drawn d JOIN plain p USING (r) CROSS JOIN", "FROM labelled d JOIN labelled p USING (perm, cell_id) CROSS JOIN")
+    .replace(f"{BASE},", f"""{BASE}, {_trade('sent', SENDERS, SEED)}, {_trade('received', RECEIVERS, SEED + 1)},
+    labelled AS (SELECT perm, cell_id, node FROM received UNION ALL SELECT perm, cell_id, node FROM sent WHERE was NOT IN {RECEIVERS}
+                 UNION ALL SELECT perm, cell_id, node FROM cells CROSS JOIN range({PERMUTATIONS}) p(perm) WHERE node NOT IN {SENDERS} AND node NOT IN {RECEIVERS}),""")
+    .replace("FROM net0 n JOIN pscored a", f"FROM (SELECT * FROM net0 WHERE sender IN {SENDERS} AND receiver IN {RECEIVERS}) n JOIN pscored a")
+)
+
+
+@query("inference_run", RESTRICTED + " SELECT lr_name, sender, receiver, round(prob + 1e-10, 6) AS prob, round(CAST(pvalue AS DOUBLE), 6) AS pvalue, round(net + 1e-10, 6) AS net FROM kept")
+def inference_run(spark, sf_dir):
+    out = infer.run_inference(domain.expression(spark, sf_dir), domain.cells(spark, sf_dir).select("cell_id", "node"), domain.rule_table(spark), senders=SENDERS, receivers=RECEIVERS, m=PERMUTATIONS, seed=SEED)
+    return out.select("lr_name", "sender", "receiver", r6(F.col("prob") + 1e-10).alias("prob"), r6("pvalue").alias("pvalue"), r6(F.col("net") + 1e-10).alias("net"))
+
+
 def _aggregation(value: str) -> str:
     return BASE + f""", t AS (SELECT lr_name, sum(prob) AS total, quantile_cont(prob, 0.05) AS lim FROM net0 GROUP BY 1),
         a AS (SELECT n.lr_name, sum(CASE WHEN prob > lim THEN 1 ELSE 0 END) AS above FROM net0 n JOIN t USING (lr_name) GROUP BY 1)

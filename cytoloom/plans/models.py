@@ -50,6 +50,17 @@ def tree_shap_directions(spark, sf_dir):
     return directionality(effects).select("feature", r6("mean_abs").alias("mean_abs"), r6("r").alias("r"), "direction")
 
 
+@query("parameter_search")
+def parameter_search(spark, sf_dir):
+    """Four trials over five regions, as the reference searches over a subset of its regions; then the best."""
+    from ..sources.work import shared_folder
+
+    some = [r["region"] for r in models.chosen_regions(regions(spark, sf_dir).select("region"), 5, 42).collect()]
+    rows = fold_rows(spark, sf_dir).filter(F.col("fold").isin(some))
+    journal = models.search_parameters(rows, FEATURES, some, f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}", n=4, seed=42)
+    return models.best_trial(journal).select("trial", "depth", r6("rate").alias("rate"), "rounds", "metric", r6("micro").alias("micro"), r6("macro").alias("macro"), "folds")
+
+
 def _subjects(spark, sf_dir):
     own = domain.table(spark, sf_dir, "customer").join(F.broadcast(domain.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     own = own.groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("y"), F.count("*").cast("double").alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))

@@ -88,7 +88,16 @@ def _sets(spark, sf_dir):
     return domain.table(spark, sf_dir, "part").select(F.concat_ws("_", "p_type", F.col("p_size") % 3).alias("set_name"), F.col("p_partkey").cast("string").alias("gene"))
 
 
-@query("ora")
+ORA = """WITH u AS (SELECT CAST(p_partkey AS VARCHAR) AS gene, p_type || '_' || (p_size % 3) AS set_name, p_brand IN ('Brand#11', 'Brand#23') AS hit FROM part),
+    c AS (SELECT count(*) AS n_all, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS n_hits FROM u),
+    f AS (SELECT set_name, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS k, count(*) AS size FROM u GROUP BY 1 HAVING sum(CASE WHEN hit THEN 1 ELSE 0 END) > 0),
+    i AS (SELECT set_name, k, size, n_all, n_hits, unnest(range(CAST(k AS BIGINT), CAST(least(size, n_hits) AS BIGINT) + 1)) AS i FROM f CROSS JOIN c WHERE n_hits >= 3),
+    p AS (SELECT set_name, any_value(k) AS k, any_value(size) AS size, least(1.0, sum(CASE WHEN n_hits - i <= n_all - size THEN exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(n_all - size + 1) - lgamma(n_hits - i + 1) - lgamma(n_all - size - n_hits + i + 1) - lgamma(n_all + 1) + lgamma(n_hits + 1) + lgamma(n_all - n_hits + 1)) ELSE 0 END)) AS p FROM i GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY p, set_name) AS nth, count(*) OVER () AS n FROM p)
+    SELECT set_name, CAST(k AS BIGINT) AS k, size, round(p, 6) AS p, round(least(1.0, min(p * n / nth) OVER (ORDER BY p, set_name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r"""
+
+
+@query("ora", ORA)
 def ora(spark, sf_dir):
     part = domain.table(spark, sf_dir, "part")
     hits = part.filter("p_brand IN ('Brand#11', 'Brand#23')").select(F.col("p_partkey").cast("string").alias("gene"))
@@ -187,7 +196,14 @@ def network_global(spark, sf_dir):
     return graph.global_measures(net(spark, sf_dir)).withColumn("density", r6("density"))
 
 
-@query("network_clustering")
+CLUSTERING = NET + """, pr AS (SELECT least(sender, receiver) AS a, greatest(sender, receiver) AS b, max(weight) AS weight FROM net WHERE sender <> receiver GROUP BY 1, 2),
+    und AS (SELECT a, b, weight / (SELECT max(weight) FROM pr) AS w FROM pr), sides AS (SELECT a, b, w FROM und UNION ALL SELECT b, a, w FROM und),
+    t AS (SELECT x.a AS v, sum(cbrt(x.w * y.w * z.w)) AS t FROM sides x JOIN sides y ON x.a = y.a AND x.b < y.b JOIN und z ON z.a = x.b AND z.b = y.b GROUP BY 1),
+    k AS (SELECT a AS v, count(*) AS k FROM sides GROUP BY 1), n AS (SELECT sender AS v FROM net UNION SELECT receiver FROM net)
+    SELECT round(avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END), 6) AS clustering FROM n LEFT JOIN k USING (v) LEFT JOIN t USING (v)"""
+
+
+@query("network_clustering", CLUSTERING)
 def network_clustering(spark, sf_dir):
     return graph.clustering(net(spark, sf_dir)).withColumn("clustering", r6("clustering"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.resample import shuffled_labels
 from ..functions.stats import r6
 from ..operators import association as assoc
 from ..operators import infer
 from ..operators import preprocess as pre
 from ..sources import domain
+from ..sources.work import cut
 from .inference import ELIGIBLE, NETWORK, RULES, SIGNAL, _scores, inputs
 from .registry import CELLS, EXPR, query
 
@@ -75,6 +77,53 @@ def partial_spearman_k2(spark, sf_dir):
     return out.withColumns({"rho": r6("rho"), "p": r6("p")})
 
 
+def _partial(a: str, b: str, c: str) -> str:
+    return f"({a} - {b} * {c}) / nullif(sqrt((1 - {b} * {b}) * (1 - {c} * {c})), 0)"
+
+
+TWO_COVARIATES = RANKED.replace("y, c FROM feat", "y, c, c2 FROM feat") + f""", k2 AS (SELECT *, rank() OVER (PARTITION BY lr_name, ct_s, ct_r ORDER BY c2) + (count(*) OVER (PARTITION BY lr_name, ct_s, ct_r, c2) - 1) / 2.0 AS rd FROM k),
+    r AS (SELECT lr_name, ct_s, ct_r, count(*) AS n, {_corr('rx', 'ry')} AS xy, {_corr('rx', 'rc')} AS xc, {_corr('ry', 'rc')} AS yc, {_corr('rx', 'rd')} AS xd, {_corr('ry', 'rd')} AS yd, {_corr('rc', 'rd')} AS cd FROM k2 GROUP BY 1, 2, 3),
+    g AS (SELECT *, {_partial('xy', 'xc', 'yc')} AS xyc, {_partial('xd', 'xc', 'cd')} AS xdc, {_partial('yd', 'yc', 'cd')} AS ydc FROM r)"""
+
+
+@query("partial_spearman_k2_rho", BASE + f", {TWO_COVARIATES} SELECT lr_name, ct_s, ct_r, n, round({_partial('xyc', 'xdc', 'ydc')}, 6) AS rho FROM g")
+def partial_spearman_k2_rho(spark, sf_dir):
+    return assoc.partial_spearman(observations(spark, sf_dir), ["lr_name", "ct_s", "ct_r"], ["c", "c2"]).select("lr_name", "ct_s", "ct_r", "n", r6("rho").alias("rho"))
+
+
+SURROGATES, SEED = 100, 42
+#: A feature is a segment, its profile over nations the mean balance; a surrogate set gives every nation another's values.
+ALIGNMENT = f"""WITH u AS (SELECT n_name AS unit FROM nation), f AS (SELECT c_mktsegment AS feature, n_name AS unit, round(avg(c_acctbal), 6) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+    o AS (SELECT n_name AS unit, round(avg(o_totalprice), 4) AS y, CAST(count(*) AS DOUBLE) AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+    plain AS (SELECT unit AS lab, row_number() OVER (ORDER BY md5('{SEED}_-1_' || unit), unit) AS r FROM u),
+    drawn AS (SELECT s, unit, row_number() OVER (PARTITION BY s ORDER BY md5('{SEED}_' || s || '_' || unit), unit) AS r FROM u CROSS JOIN range({SURROGATES}) p(s)),
+    a AS (SELECT -1 AS s, feature, unit, x FROM f UNION ALL SELECT s, feature, unit, x FROM drawn JOIN plain USING (r) JOIN f ON f.unit = lab),
+    a2 AS (SELECT s, feature, a.unit, x, y, c FROM (SELECT s, feature, unit, x FROM a) a JOIN o ON o.unit = a.unit)"""
+
+
+def _alignment_sql() -> str:
+    rank = lambda v, out: f"rank() OVER (PARTITION BY s, feature ORDER BY {v}) + (count(*) OVER (PARTITION BY s, feature, {v}) - 1) / 2.0 AS {out}"
+    sets = ALIGNMENT.replace("SELECT s, feature, unit, x FROM drawn JOIN plain USING (r) JOIN f ON f.unit = lab", "SELECT s, feature, drawn.unit, x FROM drawn JOIN plain USING (r) JOIN f ON f.unit = lab")
+    return f"""{sets}, k AS (SELECT s, feature, {rank('x', 'rx')}, {rank('y', 'ry')}, {rank('c', 'rc')} FROM a2),
+    r AS (SELECT s, feature, {_corr('rx', 'ry')} AS xy, {_corr('rx', 'rc')} AS xc, {_corr('ry', 'rc')} AS yc FROM k GROUP BY 1, 2),
+    v AS (SELECT s, avg(abs({_partial('xy', 'xc', 'yc')})) AS v, count(*) AS features FROM r GROUP BY 1),
+    t AS (SELECT (SELECT v FROM v WHERE s = -1) AS real, (SELECT features FROM v WHERE s = -1) AS features, (sum(CASE WHEN v >= (SELECT v FROM v WHERE s = -1) - 1e-12 THEN 1 ELSE 0 END) + 1) / (count(*) + 1.0) AS p, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS median, count(*) AS surrogates FROM v WHERE s >= 0)
+    SELECT round(real, 6) AS real, features, round(CAST(p AS DOUBLE), 6) AS p, round(mean, 6) AS mean, round(sd, 6) AS sd, round(median, 6) AS median, round((real - mean) / sd, 4) AS z, surrogates FROM t"""
+
+
+@query("null_alignment", _alignment_sql())
+def null_alignment(spark, sf_dir):
+    nation = domain.table(spark, sf_dir, "nation")
+    owners = domain.table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    real = cut(owners.groupBy(F.col("c_mktsegment").alias("feature"), F.col("n_name").alias("unit")).agg(F.round(F.avg("c_acctbal"), 6).alias("x")))
+    orders = domain.table(spark, sf_dir, "orders").join(owners.select("c_custkey", "n_name"), F.col("o_custkey") == F.col("c_custkey"))
+    y = cut(orders.groupBy(F.col("n_name").alias("unit")).agg(F.round(F.avg("o_totalprice"), 4).alias("y"), F.count("*").cast("double").alias("c")))
+    moved = shuffled_labels(nation.select(F.col("n_name").alias("unit"), F.col("n_name").alias("lab")), "unit", "lab", SURROGATES, SEED)
+    surrogates = moved.join(F.broadcast(real.withColumnRenamed("unit", "lab")), "lab").select(F.col("perm").alias("s"), "feature", "unit", "x")
+    out = assoc.null_alignment(real, surrogates, y, "unit", ["c"])
+    return out.select(*(r6(c).alias(c) for c in ("real", "p", "mean", "sd", "median")), "features", F.round("z", 4).alias("z"), "surrogates")
+
+
 @query("lr_expression_covariate", f"WITH {CELLS}, {EXPR}, {RULES}, n AS (SELECT subject, region, count(*) AS size FROM cells GROUP BY 1, 2), m AS (SELECT subject, region, gene, sum(ln(1 + value)) / any_value(size) AS value FROM expr JOIN cells USING (cell_id) JOIN n USING (subject, region) GROUP BY 1, 2, 3) SELECT subject, region, lr_name, round(avg(value), 6) AS value FROM m JOIN (SELECT DISTINCT lr_name, gene FROM lr_gene) g USING (gene) GROUP BY 1, 2, 3")
 def lr_expression_covariate(spark, sf_dir):
     means = pre.region_means(domain.expression(spark, sf_dir), domain.cells(spark, sf_dir).select("cell_id", "subject", "region"), ["subject", "region"], "before")

@@ -309,6 +309,68 @@ def test_shap_adds_up_to_the_prediction(spark):
     assert np.ptp([r.base for r in both]) < 1e-6
 
 
+def test_shap_is_the_sum_over_all_sets(spark):
+    from itertools import combinations
+    from math import factorial
+
+    rng = np.random.default_rng(4)
+    names = list("abcdef")
+    rows = frame(spark, [(i, *map(float, x), float(x[0] * x[1] + np.sin(3 * x[2]) + x[3] * (x[4] > 0))) for i, x in enumerate(rng.normal(size=(300, 6)))], "id long, " + ", ".join(f"{c} double" for c in names) + ", y double")
+    model = models.train_trees(rows, names, "y", rounds=3, depth=5, valid=None)
+    got = {(r.id, r.feature): r.effect for r in models.tree_shap(model, rows.limit(20), names, ["id"]).collect()}
+
+    def expected(node, x, known):
+        if "v" in node:
+            return node["v"]
+        if node["f"] in known:
+            return expected(node["l"] if x[node["f"]] <= node["t"] else node["r"], x, known)
+        return sum(c["n"] * expected(c, x, known) for c in (node["l"], node["r"])) / node["n"]
+
+    trees = [(models._tree(t._call_java("rootNode")), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
+    for r in rows.limit(20).collect():
+        x = [r[c] for c in names]
+        for f, name in enumerate(names):
+            others = [g for g in range(6) if g != f]
+            want = sum(w * factorial(len(s)) * factorial(5 - len(s)) / factorial(6) * (expected(t, x, {*s, f}) - expected(t, x, set(s))) for t, w in trees for n in range(6) for s in combinations(others, n))
+            assert abs(got[r.id, name] - want) < 1e-9
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    rows = [(f"r{i % 3}", i, float(i % 7), float(i % 5), float(i % 7 + i % 5), i % 9 < 3) for i in range(90)]
+    rows = frame(spark, rows, "fold string, edge_idx long, a double, b double, y_t double, is_test boolean")
+    search = lambda most=None: models.search_parameters(rows, ["a", "b"], ["r0", "r1", "r2"], f"file://{tmp_path}/trials", n=3, seed=5, most=most)
+    assert [r.trial for r in search(1).collect()] == [0]
+    ran = []
+    kept = models.region_folds
+    monkeypatch.setattr(models, "region_folds", lambda *a, **o: ran.append(o["depth"]) or kept(*a, **o))
+    found = {r.trial: r for r in search().collect()}
+    draws = models.parameter_draws(3, 5)
+    assert sorted(found) == [0, 1, 2] and ran == [d["depth"] for d in draws[1:]] and all(found[i].rounds == d["rounds"] for i, d in enumerate(draws))
+    assert search().count() == 3 and len(ran) == 2
+    assert models.best_trial(search()).first().trial == min(found, key=lambda i: (found[i].macro, i))
+
+
+def test_restricted_shuffles_trade_within_their_sets(spark):
+    nodes = {c: "abcd"[c % 4] for c in range(80)}
+    labels = frame(spark, list(nodes.items()), "cell_id long, node string")
+    got = {(r.perm, r.cell_id): r.node for r in infer.permuted_labels(labels, 3, 9, senders=["a", "b"], receivers=["b", "c"]).collect()}
+    assert len(got) == 240
+    for p in range(3):
+        assert all(got[p, c] == "d" for c, n in nodes.items() if n == "d")
+        assert sorted(got[p, c] for c, n in nodes.items() if n in "bc") == sorted(n for n in nodes.values() if n in "bc")
+        assert {got[p, c] for c, n in nodes.items() if n == "a"} <= {"a", "b"}
+        assert any(got[p, c] != n for c, n in nodes.items())
+
+
+def test_alignment_of_sets(spark):
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=12)
+    real = [("f", u, float(y[u])) for u in range(12)] + [("g", u, float(-y[u])) for u in range(12)] + [("flat", u, 1.0) for u in range(12)]
+    other = [(s, f, u, float(v)) for s in range(19) for f in "fg" for u, v in enumerate(rng.normal(size=12))]
+    out = association.null_alignment(frame(spark, real, "feature string, unit long, x double"), frame(spark, other, "s long, feature string, unit long, x double"), frame(spark, [(u, float(v)) for u, v in enumerate(y)], "unit long, y double"), "unit").first()
+    assert out.real == 1 and out.features == 2 and out.p == 0.05 and out.surrogates == 19 and 0 < out.mean < 1 and out.z > 2
+
+
 def test_readers(spark, tmp_path):
     rules = infer.add_rule(domain.rule_table(spark), "A_first", ["x"], ["y"])
     (tmp_path / "db.json").write_text(readers.rules_to_json(rules))
