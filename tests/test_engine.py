@@ -368,7 +368,7 @@ def test_alignment_of_sets(spark):
     real = [("f", u, float(y[u])) for u in range(12)] + [("g", u, float(-y[u])) for u in range(12)] + [("flat", u, 1.0) for u in range(12)]
     other = [(s, f, u, float(v)) for s in range(19) for f in "fg" for u, v in enumerate(rng.normal(size=12))]
     out = association.null_alignment(frame(spark, real, "feature string, unit long, x double"), frame(spark, other, "s long, feature string, unit long, x double"), frame(spark, [(u, float(v)) for u, v in enumerate(y)], "unit long, y double"), "unit").first()
-    assert out.real == 1 and out.features == 2 and out.p == 0.05 and out.surrogates == 19 and 0 < out.mean < 1 and out.z > 2
+    assert abs(out.real - 1) < 1e-9 and out.features == 2 and out.p == 0.05 and out.surrogates == 19 and 0 < out.mean < 1 and out.z > 2
 
 
 def test_readers(spark, tmp_path):
