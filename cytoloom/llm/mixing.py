@@ -156,7 +156,7 @@ def _sources(sized: DataFrame, blocks_of: Column, weights: Sequence[float], max_
     return per
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int = 256, shard_blocks: int = 1 << 16, least_shards: int = 8, bucket_blocks: int = 2_000, seed: int = 7, max_repeats: int = MAX_REPEATS) -> Mix:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, *, block_words: int = 256, shard_blocks: int = 1 << 14, least_shards: int = 8, bucket_blocks: int = 2_000, seed: int = 7, max_repeats: int = MAX_REPEATS) -> Mix:
     """Plan a mix of docs (doc_id, source, text) and write its shards. Sources take the weights in turn by code point, null
     last.
 
