@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, as in tests, a temporary folder is made and set."""
+    """The session's spark.checkpoint.dir. Where that is unset and the session is local, as in tests, a temporary folder of
+    this machine is made and set; a cluster must name one."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     at = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
     if not held.isDefined():
         context.setCheckpointDir(at)

@@ -389,3 +389,14 @@ def test_readers(spark, tmp_path):
         readers.expand("${NOT_THERE_AT_ALL}", {})
     old, new = frame(spark, [(1, "a"), (2, "b")], "k long, v string"), frame(spark, [(2, "c")], "k long, v string")
     assert sorted(tuple(r) for r in readers.upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as Space
+
+    from cytoloom.sources.work import shared_folder
+
+    unset = Space(getCheckpointDir=lambda: Space(isDefined=lambda: False))
+    session = Space(sparkContext=Space(_jsc=Space(sc=lambda: unset), master="spark://host:7077"), conf=Space(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
