@@ -83,9 +83,9 @@ def top_celltype_pairs(spark, sf_dir):
     return char.top_pairs(summed(spark, sf_dir), labels(spark, sf_dir), "cell_type", 7).withColumn("mean", r6("mean"))
 
 
-@query("top_lr", BASE + " SELECT row_number() OVER (ORDER BY mean DESC, lr_name DESC) AS rank, lr_name, n_positive, round(mean, 6) AS mean, CAST(1 AS DOUBLE) AS p, CAST(1 AS DOUBLE) AS q, '' AS sig FROM (SELECT lr_name, coalesce(avg(CASE WHEN prob > 0 THEN prob END), 0) AS mean, count(CASE WHEN prob > 0 THEN 1 END) AS n_positive FROM net0 GROUP BY 1) ORDER BY mean DESC, lr_name DESC LIMIT 2")
+@query("top_lr", BASE + " SELECT row_number() OVER (ORDER BY mean DESC, lr_name DESC) AS rank, lr_name, n_positive, round(mean, 6) AS mean, CASE WHEN n_positive >= 10 THEN CAST(1 AS DOUBLE) END AS p, CASE WHEN n_positive >= 10 THEN CAST(1 AS DOUBLE) END AS q, CASE WHEN n_positive >= 10 THEN '' ELSE 'n<10' END AS sig FROM (SELECT lr_name, coalesce(avg(CASE WHEN prob > 0 THEN prob END), 0) AS mean, count(CASE WHEN prob > 0 THEN 1 END) AS n_positive FROM net0 GROUP BY 1) ORDER BY mean DESC, lr_name DESC LIMIT 20")
 def top_lr(spark, sf_dir):
-    out = char.ranked_rules(network(spark, sf_dir), 2)
+    out = char.ranked_rules(network(spark, sf_dir), 20)
     return out.select(F.col("rank").cast("long").alias("rank"), "lr_name", "n_positive", r6("mean").alias("mean"), "p", "q", "sig")
 
 
