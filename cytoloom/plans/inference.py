@@ -223,10 +223,11 @@ for _how, _value in (("weight", "prob"), ("count", "CASE WHEN prob > 0 THEN 1 EL
     _aggregated(_how, _value)
 
 
-@query("merge_runs", f"WITH {CELLS}, {EXPR}, m AS (SELECT cell_id, gene, value, 'asia' AS datasets FROM expr WHERE cell_id IN (SELECT cell_id FROM cells WHERE region = 'ASIA') UNION ALL SELECT cell_id, gene, value, 'europe' FROM expr WHERE cell_id IN (SELECT cell_id FROM cells WHERE region = 'EUROPE')) SELECT datasets, gene, count(*) AS cells, round(sum(value), 6) AS total FROM m GROUP BY 1, 2")
+@query("merge_runs", f"WITH {CELLS}, {EXPR} SELECT lower(region) AS datasets, gene, count(*) AS cells, round(sum(value), 6) AS total FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2")
 def merge_runs(spark, sf_dir):
     expr, cells = domain.expression(spark, sf_dir), domain.cells(spark, sf_dir)
-    runs = {name.lower(): expr.join(cells.filter(F.col("region") == name).select("cell_id"), "cell_id", "left_semi") for name in ("ASIA", "EUROPE")}
+    names = sorted(r["r_name"] for r in domain.table(spark, sf_dir, "region").select("r_name").collect())
+    runs = {name.lower(): expr.join(cells.filter(F.col("region") == name).select("cell_id"), "cell_id", "left_semi") for name in names}
     return infer.merge_runs(runs).groupBy("datasets", "gene").agg(F.count("*").alias("cells"), r6(F.sum("value")).alias("total"))
 
 

@@ -71,16 +71,18 @@ def topk_jaccard(spark, sf_dir):
     return bio.top_overlap(*two_tables(spark, sf_dir), "group_name", "importance_rel", 12).withColumn("jaccard", r6("jaccard"))
 
 
-@query("genes_by_category", TWO + ", g2 AS (SELECT c.category, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genes FROM cat c JOIN part ON p_brand = group_name WHERE p_size < 4 GROUP BY 1) SELECT t.category, coalesce(genes, '') AS genes FROM (VALUES ('SC-biased'), ('FC-biased'), ('Balanced')) t(category) LEFT JOIN g2 USING (category)")
+def genes(spark, sf_dir):
+    return domain.table(spark, sf_dir, "part").select(F.col("p_brand").alias("lr_name"), F.col("p_type").alias("gene")).distinct()
+
+
+@query("genes_by_category", TWO + ", g2 AS (SELECT c.category, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genes FROM cat c JOIN part ON p_brand = group_name GROUP BY 1) SELECT t.category, coalesce(genes, '') AS genes FROM (VALUES ('SC-biased'), ('FC-biased'), ('Balanced')) t(category) LEFT JOIN g2 USING (category)")
 def genes_by_category(spark, sf_dir):
-    genes = domain.table(spark, sf_dir, "part").filter("p_size < 4").select(F.col("p_brand").alias("lr_name"), F.col("p_type").alias("gene"))
-    return bio.category_genes(imp.categorised(*two_tables(spark, sf_dir)), genes).select("category", F.array_join("genes", ",").alias("genes"))
+    return bio.category_genes(imp.categorised(*two_tables(spark, sf_dir)), genes(spark, sf_dir)).select("category", F.array_join("genes", ",").alias("genes"))
 
 
-@query("gene_ranking", TWO + " SELECT p_type AS gene, round(avg(ln(ratio) / ln(2)), 4) AS score, count(*) AS n FROM cat JOIN (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 9) ON p_brand = group_name GROUP BY 1")
+@query("gene_ranking", TWO + " SELECT p_type AS gene, round(avg(ln(ratio) / ln(2)), 4) AS score, count(*) AS n FROM cat JOIN (SELECT DISTINCT p_brand, p_type FROM part) ON p_brand = group_name GROUP BY 1")
 def gene_ranking(spark, sf_dir):
-    genes = domain.table(spark, sf_dir, "part").filter("p_size < 9").select(F.col("p_brand").alias("lr_name"), F.col("p_type").alias("gene")).distinct()
-    return bio.gene_ranking(imp.categorised(*two_tables(spark, sf_dir)), genes).withColumn("score", F.round("score", 4))
+    return bio.gene_ranking(imp.categorised(*two_tables(spark, sf_dir)), genes(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 #: Gene sets: parts by type; hits: the parts of some brands; scores: retail prices.

@@ -54,14 +54,14 @@ def usable_targets(spark, sf_dir):
     return own.filter(val.usable("y", "SC", 0.5)).agg(F.count("*").alias("n")).select(F.lit("SC").alias("data_type"), "n").unionByName(own.filter(val.usable("y", "FC")).agg(F.count("*").alias("n")).select(F.lit("FC").alias("data_type"), "n"))
 
 
-@query("log1p_shift", FOLDS + " SELECT fold, edge_idx, round(y - least(0, min(y) OVER (PARTITION BY fold)), 6) AS y_raw, round(ln(1 + y - least(0, min(y) OVER (PARTITION BY fold))), 6) AS y_t FROM f WHERE fold <= 'NATION_12'")
+@query("log1p_shift", FOLDS + " SELECT fold, edge_idx, round(y - least(0, min(y) OVER (PARTITION BY fold)), 6) AS y_raw, round(ln(1 + y - least(0, min(y) OVER (PARTITION BY fold))), 6) AS y_t FROM f")
 def log1p_shift(spark, sf_dir):
-    return val.transformed(folds(spark, sf_dir).filter("fold <= 'NATION_12'"), "log1p").select("fold", "edge_idx", r6("y_raw").alias("y_raw"), r6("y_t").alias("y_t"))
+    return val.transformed(folds(spark, sf_dir), "log1p").select("fold", "edge_idx", r6("y_raw").alias("y_raw"), r6("y_t").alias("y_t"))
 
 
-@query("ecdf", FOLDS + ", h AS (SELECT fold, edge_idx, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (PARTITION BY fold ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (PARTITION BY fold) AS b FROM f WHERE fold <= 'NATION_12') SELECT fold, edge_idx, round(CAST(a AS DOUBLE) / b, 6) AS y_t FROM h")
+@query("ecdf", FOLDS + ", h AS (SELECT fold, edge_idx, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (PARTITION BY fold ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, sum(CASE WHEN is_test THEN 0 ELSE 1 END) OVER (PARTITION BY fold) AS b FROM f) SELECT fold, edge_idx, round(CAST(a AS DOUBLE) / b, 6) AS y_t FROM h")
 def ecdf(spark, sf_dir):
-    return val.transformed(folds(spark, sf_dir).filter("fold <= 'NATION_12'"), "ecdf").select("fold", "edge_idx", r6("y_t").alias("y_t"))
+    return val.transformed(folds(spark, sf_dir), "ecdf").select("fold", "edge_idx", r6("y_t").alias("y_t"))
 
 
 @query("assign_unique_edges", UNIQUE + " SELECT edge_idx, fold, round(y, 4) AS y FROM u")
@@ -121,14 +121,14 @@ def fold_bootstrap(spark, sf_dir):
     return rounded(val.fold_bootstrap(candidates(spark, sf_dir), N, SEED))
 
 
-#: Three runs per region: segments' mean balances.
-RUNS = "runs AS (SELECT n_name AS region, c_mktsegment AS subset, round(avg(c_acctbal) + 1e-7, 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') GROUP BY 1, 2)"
+#: Runs of a region: its segments' mean balances.
+RUNS = "runs AS (SELECT n_name AS region, c_mktsegment AS subset, round(avg(c_acctbal) + 1e-7, 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
 
 
 def runs(spark, sf_dir):
     nation = domain.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
-    own = domain.table(spark, sf_dir, "customer").filter("c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY')")
-    return own.join(F.broadcast(nation), "c_nationkey").groupBy("region", F.col("c_mktsegment").alias("subset")).agg(F.round(F.avg("c_acctbal") + 1e-7, 2).alias("value"))
+    own = domain.table(spark, sf_dir, "customer").join(F.broadcast(nation), "c_nationkey")
+    return own.groupBy("region", F.col("c_mktsegment").alias("subset")).agg(F.round(F.avg("c_acctbal") + 1e-7, 2).alias("value"))
 
 
 @query("wilcoxon_w", f"WITH {RUNS}, d AS (SELECT a.subset AS run_a, b.subset AS run_b, round(a.value - b.value, 12) AS d FROM runs a JOIN runs b ON a.region = b.region AND a.subset < b.subset), k AS (SELECT *, rank() OVER (PARTITION BY run_a, run_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run_a, run_b, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) SELECT run_a, run_b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_minus FROM k GROUP BY 1, 2")
@@ -229,10 +229,14 @@ def group_ci(spark, sf_dir):
     return _interval(imp.group_interval(own.select("fold", "feature", "gain"), meta(spark, sf_dir), "ct_l"))
 
 
-@query("lr_fold_matrix", ALL + " SELECT lr_name, round(sum(CASE WHEN fold = 'NATION_0' THEN rel END) * 100, 6) AS NATION_0, round(sum(CASE WHEN fold = 'NATION_7' THEN rel END) * 100, 6) AS NATION_7 FROM x GROUP BY 1")
+_FOLD_SUMS = ", ".join(f"round(sum(CASE WHEN fold = 'NATION_{i}' THEN rel END) * 100, 6) AS NATION_{i}" for i in range(25))
+
+
+@query("lr_fold_matrix", ALL + f" SELECT lr_name, {_FOLD_SUMS} FROM x GROUP BY 1")
 def lr_fold_matrix(spark, sf_dir):
-    out = imp.fold_matrix(complete_gains(spark, sf_dir).select("fold", "feature", "gain"), meta(spark, sf_dir), ["NATION_0", "NATION_7"])
-    return out.select("lr_name", r6(F.col("NATION_0") * 100).alias("NATION_0"), r6(F.col("NATION_7") * 100).alias("NATION_7"))
+    names = sorted(r["region"] for r in regions(spark, sf_dir).collect())
+    out = imp.fold_matrix(complete_gains(spark, sf_dir).select("fold", "feature", "gain"), meta(spark, sf_dir), names)
+    return out.select("lr_name", *(r6(F.col(n) * 100).alias(n) for n in names))
 
 
 #: Two importance tables: even and odd nations, with some rules in one only.

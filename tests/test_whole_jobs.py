@@ -57,11 +57,11 @@ def test_trees_hold_out_every_region(spark, monkeypatch, name):
 @pytest.mark.parametrize(
     ("name", "column", "table", "key"),
     [
-        ("log1p_shift_all", "fold", "nation", "n_name"),
-        ("ecdf_all", "fold", "nation", "n_name"),
-        ("lr_fold_matrix_all", None, "nation", "n_name"),
-        ("merge_runs_all", "datasets", "region", "lower(r_name)"),
-        ("gene_ranking_all", "gene", "part", "p_type"),
+        ("log1p_shift", "fold", "nation", "n_name"),
+        ("ecdf", "fold", "nation", "n_name"),
+        ("lr_fold_matrix", None, "nation", "n_name"),
+        ("merge_runs", "datasets", "region", "lower(r_name)"),
+        ("gene_ranking", "gene", "part", "p_type"),
     ],
 )
 def test_nothing_is_left_out(spark, name, column, table, key):
@@ -72,6 +72,6 @@ def test_nothing_is_left_out(spark, name, column, table, key):
 
 def test_every_segment_is_a_run(spark):
     segments = {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_mktsegment").distinct().collect()}
-    pairs = {(r.run_a, r.run_b) for r in plans.QUERIES["wilcoxon_p_all"](spark, DATA).collect()}
+    pairs = {(r.run_a, r.run_b) for r in plans.QUERIES["wilcoxon_p"](spark, DATA).collect()}
     assert pairs == {(a, b) for a in segments for b in segments if a < b}
-    assert {r.subset for r in plans.QUERIES["relative_metric_all"](spark, DATA).collect()} == segments - {"BUILDING"}
+    assert {r.subset for r in plans.QUERIES["relative_metric"](spark, DATA).collect()} == segments - {"BUILDING"}
