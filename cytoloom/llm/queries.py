@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, html_extraction, mixing, quality_classifier, quality_rules, simhash, toxicity, warc
+from . import bpe, chat, clustering, exact_dedup, html_extraction, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -66,9 +74,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
+
+def _clustering_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Lloyd's rounds written out: centroids c0, c1, ..., and the assignments a0, a1, ... to them."""
+    nearest = "SELECT rid, cluster, distance FROM (SELECT l.rid, c.cluster, CAST(sum((l.x - c.x) * (l.x - c.x)) AS BIGINT) AS distance FROM long l JOIN c{0} c USING (dim) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1"
+    moved = "SELECT c.cluster, c.dim, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (SELECT cluster, dim, CAST((s - (s % n + n) % n) // n AS BIGINT) AS x FROM (SELECT a.cluster, l.dim, sum(l.x) AS s, count(*) AS n FROM a{0} a JOIN long l USING (rid) GROUP BY 1, 2)) m USING (cluster, dim)"
+    steps = "".join(f", a{t} AS MATERIALIZED ({nearest.format(t)}), c{t + 1} AS MATERIALIZED ({moved.format(t)})" for t in range(rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        long AS MATERIALIZED (SELECT rid, CAST(i AS INTEGER) AS dim, v[i] AS x FROM kept CROSS JOIN range(1, 65) r(i)),
+        f AS (SELECT rid, CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS INTEGER) AS cluster FROM kept),
+        c0 AS MATERIALIZED (SELECT cluster, dim, x FROM f JOIN long USING (rid) WHERE cluster < {k}){steps},
+        a AS MATERIALIZED ({nearest.format(rounds)}),
+        h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a JOIN kept USING (rid) JOIN h USING (cluster)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustering_sql(),
     "op3_warc_revisits": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         s AS (SELECT page_id, h, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
