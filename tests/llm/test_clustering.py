@@ -9,10 +9,12 @@ from cytoloom.llm import clustering
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cluster int, distance string, ids string, vectors int"
 
+
 def table(spark, rows):
     """embeddings with further columns whose names clash with the operator's own."""
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 1, 2, "d", "i", 3) for i, v in rows], SCHEMA)
 
+
 def lloyd(rows, k=8, rounds=10, seed=3):
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) sorted, by the contract, on Python integers."""
     kept = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
@@ -27,19 +29,23 @@ def lloyd(rows, k=8, rounds=10, seed=3):
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in at]
     return sorted(((i, c, d, inertia[c], sum(inertia), sha[c]) for i, c, d in found), key=str)
 
+
 def got(spark, rows, **options):
     return sorted(map(tuple, clustering.clustered(table(spark, rows), **options).collect()), key=str)
 
+
 def vectors(n, seed, spread=0.05, groups=5):
     rng = np.random.default_rng(seed)
     middles = rng.normal(size=(groups, 64))
     return [(i, (middles[i % groups] + rng.normal(size=64) * spread).tolist()) for i in range(n)]
 
+
 @pytest.mark.parametrize("spread", [0.0, 0.05, 1.0])
 def test_agrees_with_plain_rounds(spark, spread):
     rows = vectors(700, 1, spread)
     assert got(spark, rows) == lloyd(rows)
 
+
 def test_bad_rows_go_and_odd_ones_stay(spark):
     nan, inf = float("nan"), float("inf")
     base = vectors(40, 2, 0.5)
@@ -47,26 +53,31 @@ def test_bad_rows_go_and_odd_ones_stay(spark):
     out = got(spark, rows)
     assert len(out) == 45 and out == lloyd(rows)
 
+
 @pytest.mark.parametrize("n", [0, 1, 3, 8])
 def test_few_vectors(spark, n):
     rows = vectors(n, 3)
     assert got(spark, rows) == lloyd(rows)
 
+
 def test_equal_first_vectors_leave_empty_clusters(spark):
     rows = [(i, [0.5] * 64) for i in range(30)] + [(99, [0.25] * 64)]
     out = got(spark, rows)
     assert out == lloyd(rows) and len({r[1] for r in out}) <= 2
 
+
 def test_result_does_not_depend_on_blocks(spark):
     rows = clustering.integer_vectors(table(spark, vectors(900, 4, 0.8)))
     start = clustering.first_centroids(rows)
     steps = [clustering._step(clustering.trees(rows.repartition(parts), block, leaf), start) for parts, block, leaf in ((1, 512, 16), (5, 7, 1), (3, 100, 100))]
     assert steps[0] == steps[1] == steps[2]
 
+
 def test_large_components_are_refused(spark):
     with pytest.raises(Exception, match="would not fit"):
         clustering.clustered(table(spark, [(1, [1e6] * 64)])).collect()
 
+
 @pytest.mark.parametrize("leaf", [1, 8])
 def test_tree_holds_counts_sums_and_boxes_and_assigns_whole_nodes(leaf):
     rng = np.random.default_rng(5)

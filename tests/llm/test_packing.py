@@ -97,7 +97,7 @@ def check(rows, texts, tokenizer, capacity=1024):
 def test_edge_rows(spark, tokenizer):
     rows = packing.packed_pieces(docs(spark, EDGE)).collect()
     used, least = check(rows, EDGE, tokenizer)
-    assert used == least
+    assert used <= least + 1  # three equal left-overs of more than half a sequence
     assert [r for r in rows if r.doc_id == 1][0][1:4] == (0, 0, 1)
 
 
