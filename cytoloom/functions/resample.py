@@ -28,12 +28,12 @@ def hash_ranked(df: DataFrame, by: Sequence[str], key: str, ties: Sequence[str],
     return bucketed.join(before, [*by, "_b"]).withColumn(out, (within + F.col("_o")).cast("long")).drop("_b", "_o")
 
 
-def shuffled_labels(df: DataFrame, unit: str, label: str, n: int, seed: int) -> DataFrame:
-    """(perm, unit, label): n shuffles of the labels over the units. The unit with hash rank r gets the label of the unit
-    with plain rank r; plain order is by md5 of the unit under permutation -1."""
-    plain = hash_ranked(df.select(unit, label).withColumn("_k", hash_key(seed, -1, unit)), [], "_k", [unit], "_r")
-    drawn = hash_ranked(axis(df.select(unit), n, "perm").withColumn("_k", hash_key(seed, "perm", unit)), ["perm"], "_k", [unit], "_r")
-    return drawn.select("perm", unit, "_r").join(plain.select("_r", label), "_r").select("perm", unit, label)
+def shuffled_labels(df: DataFrame, unit: str, label: str, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, perm, unit, label): n shuffles of the labels over the units, within `by`. The unit with hash rank r gets the label
+    of the unit with plain rank r; plain order is by md5 of the unit under permutation -1."""
+    plain = hash_ranked(df.select(*by, unit, label).withColumn("_k", hash_key(seed, -1, unit)), by, "_k", [unit], "_r")
+    drawn = hash_ranked(axis(df.select(*by, unit), n, "perm").withColumn("_k", hash_key(seed, "perm", unit)), [*by, "perm"], "_k", [unit], "_r")
+    return drawn.select(*by, "perm", unit, "_r").join(plain.select(*by, "_r", label), [*by, "_r"]).select(*by, "perm", unit, label)
 
 
 def bootstrap_means(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str], n: int, seed: int) -> DataFrame:

@@ -58,24 +58,30 @@ def eligible_rules(rules: DataFrame, panel: DataFrame, strict: int = 1) -> DataF
     return sides.groupBy("lr_name").agg(((F.min("there") == 1) & (F.count("*") == 2)).alias("eligible"))
 
 
-def signalling(expr: DataFrame, rules: DataFrame) -> DataFrame:
-    """Expression of the rules' genes over its greatest value; left as it is where nothing is above zero."""
+def signalling(expr: DataFrame, rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, cell_id, gene, value): expression of the rules' genes over its greatest value within `by`; left as it is where
+    nothing is above zero."""
     own = expr.join(F.broadcast(rule_genes(rules).select("gene").distinct()), "gene", "left_semi")
-    most = own.agg(F.max("value").alias("most"))
-    return own.join(F.broadcast(most)).select("cell_id", "gene", F.when(F.col("most") > 0, F.col("value") / F.col("most")).otherwise(F.col("value")).alias("value"))
+    if by:
+        scaled = own.join(own.groupBy(*by).agg(F.max("value").alias("most")), list(by))
+    else:
+        scaled = own.join(F.broadcast(own.agg(F.max("value").alias("most"))))
+    return scaled.select(*by, "cell_id", "gene", F.when(F.col("most") > 0, F.col("value") / F.col("most")).otherwise(F.col("value")).alias("value"))
 
 
-def group_expression(expr: DataFrame, labels: DataFrame, how: str = "triquartile", by: Sequence[str] = (), dense: bool = True) -> DataFrame:
+def group_expression(expr: DataFrame, labels: DataFrame, how: str = "triquartile", by: Sequence[str] = (), dense: bool = True, panel: DataFrame | None = None) -> DataFrame:
     """(by, node, gene, value) from expr (cell_id, gene, value) and labels (by, cell_id, node).
 
     Zeros are not stored: each node and gene gets one weighted zero for its cells without a row, so quantiles count them
-    and no dense table of cells is made. Without dense, nodes have no row for genes that none of their cells has."""
+    and no dense table of cells is made. Without dense, nodes have no row for genes that none of their cells has; with it,
+    they have one for each gene of panel (gene, each once), or of expr where no panel is given."""
     if how not in ("triquartile", "mean"):
         raise ValueError(f"unknown mean {how!r}")
     seen = labels.join(expr, "cell_id").groupBy(*by, "node", "gene", "value").agg(F.count("*").alias("w"))
     sizes = labels.groupBy(*by, "node").agg(F.count("*").alias("size"))
     held = seen.groupBy(*by, "node", "gene").agg(F.sum("w").alias("held"))
-    there = sizes.crossJoin(expr.select("gene").distinct()).join(held, [*by, "node", "gene"], "left") if dense else held.join(sizes, [*by, "node"])
+    genes = expr.select("gene").distinct() if panel is None else panel.select("gene")
+    there = sizes.crossJoin(genes).join(held, [*by, "node", "gene"], "left") if dense else held.join(sizes, [*by, "node"])
     zeros = there.select(*by, "node", "gene", F.lit(0.0).alias("value"), (F.col("size") - F.coalesce("held", F.lit(0))).alias("w")).filter("w > 0")
     rows = seen.unionByName(zeros)
     value = S.tri_quartile("value", "w") if how == "triquartile" else F.sum(F.col("value") * F.col("w")) / F.sum("w")
@@ -134,43 +140,48 @@ def observed_network(scores: DataFrame, method: str = "default", k: float = 0.5,
     return lig.join(rec, [*by, "lr_name"]).select(*by, "lr_name", "sender", "receiver", combine(F.col("lig"), F.col("rec"), method, k).alias("prob"))
 
 
-def permuted_labels(labels: DataFrame, m: int, seed: int, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None) -> DataFrame:
-    """(perm, cell_id, node): m shuffles of labels (cell_id, node). Where senders or receivers are named, cells of the
-    receivers trade labels among themselves, the other cells of the senders take theirs from a shuffle of all cells of the
-    senders, and all other cells keep their own."""
+def permuted_labels(labels: DataFrame, m: int, seed: int, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, perm, cell_id, node): m shuffles of labels (by, cell_id, node) within `by`. Where senders or receivers are named,
+    cells of the receivers trade labels among themselves, the other cells of the senders take theirs from a shuffle of all
+    cells of the senders, and all other cells keep their own."""
     if senders is None and receivers is None:
-        return shuffled_labels(labels, "cell_id", "node", m, seed)
+        return shuffled_labels(labels, "cell_id", "node", m, seed, by)
     of = lambda nodes: F.lit(True) if nodes is None else F.col("node").isin(list(nodes))
     sent, received = of(senders), of(receivers)
-    own = lambda rows, at: shuffled_labels(rows, "cell_id", "node", m, at)
+    own = lambda rows, at: shuffled_labels(rows, "cell_id", "node", m, at, by)
     keep = labels.filter(sent & ~received).select("cell_id")
-    rest = axis(labels.filter(~sent & ~received), m, "perm").select("perm", "cell_id", "node")
-    return own(labels.filter(received), seed + 1).unionByName(own(labels.filter(sent), seed).join(keep, "cell_id", "left_semi").select("perm", "cell_id", "node")).unionByName(rest)
+    names = [*by, "perm", "cell_id", "node"]
+    rest = axis(labels.filter(~sent & ~received), m, "perm").select(*names)
+    return own(labels.filter(received), seed + 1).unionByName(own(labels.filter(sent), seed).join(keep, "cell_id", "left_semi").select(*names)).unionByName(rest)
 
 
-def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, observed: DataFrame, m: int, seed: int, how: str = "triquartile", method: str = "default", k: float = 0.5, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None) -> DataFrame:
+def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, observed: DataFrame, m: int, seed: int, how: str = "triquartile", method: str = "default", k: float = 0.5, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, by: Sequence[str] = (), panel: DataFrame | None = None) -> DataFrame:
     """observed with pvalue: the share of m label shuffles (see permuted_labels) whose score is above, strictly. One shuffle
-    serves all rules. Rules that are zero everywhere, and all rules when m is 0, get none.
+    serves all rules. Rules that are zero everywhere (within `by`), and all rules when m is 0, get none.
 
     The null scores of a rule's side at a node are one array of m numbers, so pairs of nodes are shuffled once and not m
-    times: each observed pair meets its two arrays and counts."""
+    times: each observed pair meets its two arrays and counts. panel (gene) says which genes there are, those of expr where
+    it isn't given."""
     if m == 0:
         return observed.withColumn("pvalue", F.lit(None).cast("double"))
     observed = cut(observed)
-    alive = rules.join(observed.filter("prob > 0").select("lr_name").distinct(), "lr_name", "left_semi")
+    living = observed.filter("prob > 0").select(*by, "lr_name").distinct()
+    alive = rules.join(living.select("lr_name").distinct(), "lr_name", "left_semi")
     expr = cut(expr.join(F.broadcast(rule_genes(alive).select("gene").distinct()), "gene", "left_semi"))
-    shuffles = permuted_labels(labels.select("cell_id", "node"), m, seed, senders, receivers)
-    sparse = method == "default"
-    grouped = group_expression(expr, shuffles, how, by=["perm"], dense=not sparse)
-    more = {"panel": expr, "nodes": shuffles.select("perm", "node").distinct()} if sparse else {}
-    scores = side_scores(grouped, alive, method, k, by=["perm"], **more)
-    own = scores.groupBy("lr_name", "side", "node").agg(F.map_from_entries(F.collect_list(F.struct("perm", "score"))).alias("by_perm"))
-    own = own.select("lr_name", "side", "node", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.col("by_perm")[i]).alias("null"))
-    lig = own.filter("side = 'lig'").select("lr_name", F.col("node").alias("sender"), F.col("null").alias("null_lig"))
-    rec = own.filter("side = 'rec'").select("lr_name", F.col("node").alias("receiver"), F.col("null").alias("null_rec"))
+    shuffles = permuted_labels(labels.select(*by, "cell_id", "node"), m, seed, senders, receivers, by)
+    sparse, keys = method == "default", [*by, "perm"]
+    grouped = group_expression(expr, shuffles, how, by=keys, dense=not sparse, panel=panel)
+    more = {"panel": expr if panel is None else panel, "nodes": shuffles.select(*keys, "node").distinct()} if sparse else {}
+    scores = side_scores(grouped, alive, method, k, by=keys, **more)
+    if by:
+        scores = scores.join(living, [*by, "lr_name"], "left_semi")
+    own = scores.groupBy(*by, "lr_name", "side", "node").agg(F.map_from_entries(F.collect_list(F.struct("perm", "score"))).alias("by_perm"))
+    own = own.select(*by, "lr_name", "side", "node", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.col("by_perm")[i]).alias("null"))
+    lig = own.filter("side = 'lig'").select(*by, "lr_name", F.col("node").alias("sender"), F.col("null").alias("null_lig"))
+    rec = own.filter("side = 'rec'").select(*by, "lr_name", F.col("node").alias("receiver"), F.col("null").alias("null_rec"))
     above = F.zip_with("null_lig", "null_rec", lambda a, b: F.when(combine(a, b, method, k) > F.col("prob") * (1 + 1e-12), 1).otherwise(0))
     share = F.aggregate(above, F.lit(0), lambda total, x: total + x) / float(m)
-    return observed.join(lig, ["lr_name", "sender"], "left").join(rec, ["lr_name", "receiver"], "left").select(*observed.columns, share.alias("pvalue"))
+    return observed.join(lig, [*by, "lr_name", "sender"], "left").join(rec, [*by, "lr_name", "receiver"], "left").select(*observed.columns, share.alias("pvalue"))
 
 
 def run_inference(expr: DataFrame, labels: DataFrame, rules: DataFrame, *, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, m: int = 100, fdr: float = 0.05, k: float = 0.5, method: str = "default", how: str = "triquartile", strict: int = 1, seed: int = 42) -> DataFrame:
@@ -184,10 +195,31 @@ def run_inference(expr: DataFrame, labels: DataFrame, rules: DataFrame, *, sende
     return filtered_network(permutation_pvalues(signal, labels, own, observed, m, seed, how, method, k, senders, receivers), fdr)
 
 
-def filtered_network(tested: DataFrame, fdr: float = 0.05) -> DataFrame:
-    """tested with net: prob where the place-by-place filter of its rule keeps it, else 0; rules without p keep all."""
-    place = F.row_number().over(Window.partitionBy("lr_name").orderBy("pvalue", "receiver", "sender"))
-    limit = F.lit(fdr) * place / F.count("*").over(Window.partitionBy("lr_name"))
+def run_by_subject(expr: DataFrame, cells: DataFrame, rules: DataFrame, panel: DataFrame, *, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, m: int = 100, fdr: float = 0.05, k: float = 0.5, method: str = "default", how: str = "triquartile", strict: int = 1, seed: int = 42) -> DataFrame:
+    """(subject, lr_name, sender, receiver, prob, pvalue, net): run_inference of every subject of cells (subject, cell_id, node)
+    by itself, all in one plan with the subject as a leading key of scaling, group expression, shuffles and filter.
+
+    A subject's result depends on its own cells, the rules and panel (gene: what was measured, for all subjects alike), never
+    on which other subjects run with it. Cells without subject or node take no part; cell ids are unique across subjects.
+    A gene of the panel that a subject lacks counts as zero there. Which subjects run is the caller's choice
+    (subjects_to_run)."""
+    by = ["subject"]
+    labels = cut(cells.filter("subject IS NOT NULL AND node IS NOT NULL").select("subject", "cell_id", "node"))
+    own = rules.join(eligible_rules(rules, panel, strict).filter("eligible"), "lr_name", "left_semi")
+    measured = F.broadcast(panel.select("gene").distinct())
+    raw = expr.join(labels.select("subject", "cell_id"), "cell_id").join(measured, "gene", "left_semi")
+    signal = cut(signalling(raw, rules, by).select("cell_id", "gene", "value"))
+    used = panel.select("gene").distinct().join(F.broadcast(rule_genes(own).select("gene").distinct()), "gene", "left_semi")
+    grouped = group_expression(signal, labels, how, by, panel=used)
+    observed = observed_network(side_scores(grouped, own, method, k, by), method, k, by, senders, receivers)
+    return filtered_network(permutation_pvalues(signal, labels, own, observed, m, seed, how, method, k, senders, receivers, by, used), fdr, by)
+
+
+def filtered_network(tested: DataFrame, fdr: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """tested with net: prob where the place-by-place filter of its rule (within `by`) keeps it, else 0; rules without p
+    keep all."""
+    place = F.row_number().over(Window.partitionBy(*by, "lr_name").orderBy("pvalue", "receiver", "sender"))
+    limit = F.lit(fdr) * place / F.count("*").over(Window.partitionBy(*by, "lr_name"))
     return tested.withColumn("net", F.when(F.col("pvalue").isNull() | (F.col("pvalue") < limit), F.col("prob")).otherwise(0.0))
 
 

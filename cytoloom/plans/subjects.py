@@ -11,7 +11,7 @@ from ..operators import infer
 from ..operators import preprocess as pre
 from ..sources import domain
 from ..sources.work import cut
-from .inference import ELIGIBLE, NETWORK, RULES, SIGNAL, _scores, inputs
+from .inference import ELIGIBLE, NETWORK, PERMUTATIONS, RULES, SIGNAL, TRI, _scores, inputs
 from .registry import CELLS, EXPR, query
 
 SDENSE = "sdense AS (SELECT c.subject AS perm, c.cell_id, c.node, g.gene, coalesce(s.value, 0) AS value FROM cells c CROSS JOIN (SELECT DISTINCT gene FROM signal) g LEFT JOIN signal s ON s.cell_id = c.cell_id AND s.gene = g.gene), grouped AS (SELECT perm, node, gene, avg(value) AS value FROM sdense GROUP BY 1, 2, 3)"
@@ -47,6 +47,40 @@ def feature_names(spark, sf_dir):
     return named.select("feature", lr.alias("lr"), sender.alias("sender"), receiver.alias("receiver"))
 
 
+RUN_SEED = 42
+#: Inference of each subject by itself: perm is the subject, and subject#number for its shuffles.
+BY_SUBJECT = f"""WITH {CELLS.replace("cells AS (", "all_cells AS (")}, {EXPR}, {RULES},
+    panel AS (SELECT DISTINCT p_brand AS gene FROM part), used AS (SELECT DISTINCT gene FROM lr_gene WHERE gene IN (SELECT gene FROM panel)),
+    cells AS (SELECT * FROM all_cells WHERE subject IN (SELECT subject FROM all_cells GROUP BY 1 HAVING count(*) >= 10 AND count(DISTINCT node) >= 2)),
+    signal AS (SELECT subject, cell_id, gene, value / max(value) OVER (PARTITION BY subject) AS value FROM expr JOIN cells USING (cell_id) WHERE gene IN (SELECT gene FROM used)),
+    dense AS (SELECT c.subject AS perm, c.node, g.gene, coalesce(s.value, 0) AS value FROM cells c CROSS JOIN used g LEFT JOIN signal s ON s.cell_id = c.cell_id AND s.gene = g.gene),
+    grouped AS (SELECT perm, node, gene, {TRI} AS value FROM dense GROUP BY 1, 2, 3), {ELIGIBLE.replace("FROM expr", "FROM panel")}, {_scores('perm, ')}, {SNET},
+    plain AS (SELECT subject, node, row_number() OVER (PARTITION BY subject ORDER BY md5('{RUN_SEED}_-1_' || cell_id), cell_id) AS r FROM cells),
+    drawn AS (SELECT subject, perm, cell_id, row_number() OVER (PARTITION BY subject, perm ORDER BY md5('{RUN_SEED}_' || perm || '_' || cell_id), cell_id) AS r FROM cells CROSS JOIN range({PERMUTATIONS}) p(perm)),
+    pdense AS (SELECT d.subject || '#' || d.perm AS perm, p.node, g.gene, coalesce(s.value, 0) AS value FROM drawn d JOIN plain p USING (subject, r) CROSS JOIN used g LEFT JOIN signal s ON s.cell_id = d.cell_id AND s.gene = g.gene),
+    pgrouped AS (SELECT perm, node, gene, {TRI} AS value FROM pdense GROUP BY 1, 2, 3),
+    {_scores('perm, ', 'pgrouped').replace('gx AS', 'pgx AS').replace('gx x', 'pgx x').replace('scored AS', 'pscored AS')},
+    null_score AS (SELECT *, split_part(perm, '#', 1) AS subject FROM pscored),
+    pv AS (SELECT n.subject, n.lr_name, n.sender, n.receiver, n.prob, CASE WHEN any_value(n.alive) THEN sum(CASE WHEN a.score * b.score > n.prob * (1 + 1e-12) THEN 1 ELSE 0 END) / {PERMUTATIONS}.0 END AS pvalue
+           FROM (SELECT *, max(prob) OVER (PARTITION BY subject, lr_name) > 0 AS alive FROM net0) n
+           JOIN null_score a ON a.subject = n.subject AND a.lr_name = n.lr_name AND a.side = 'lig' AND a.node = n.sender
+           JOIN null_score b ON b.subject = n.subject AND b.lr_name = n.lr_name AND b.side = 'rec' AND b.node = n.receiver AND b.perm = a.perm GROUP BY 1, 2, 3, 4, 5),
+    kept AS (SELECT *, CASE WHEN pvalue IS NULL OR pvalue < 0.05 * row_number() OVER (PARTITION BY subject, lr_name ORDER BY pvalue, receiver, sender) / count(*) OVER (PARTITION BY subject, lr_name) THEN prob ELSE 0 END AS net FROM pv)
+    SELECT subject, lr_name, sender, receiver, round(prob + 1e-10, 6) AS prob, round(CAST(pvalue AS DOUBLE), 6) AS pvalue, round(net + 1e-10, 6) AS net FROM kept"""
+
+
+def rounded(out):
+    return out.select("subject", "lr_name", "sender", "receiver", r6(F.col("prob") + 1e-10).alias("prob"), r6("pvalue").alias("pvalue"), r6(F.col("net") + 1e-10).alias("net"))
+
+
+@query("inference_by_subject", BY_SUBJECT)
+def inference_by_subject(spark, sf_dir):
+    cells = domain.cells(spark, sf_dir)
+    due = cells.join(infer.subjects_to_run(cells, cells.select("subject").limit(0)).select("subject"), "subject", "left_semi")
+    panel = domain.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene")).distinct()
+    return rounded(infer.run_by_subject(domain.expression(spark, sf_dir), due, domain.rule_table(spark), panel, m=PERMUTATIONS, seed=RUN_SEED))
+
+
 OUTCOMES = "outcome AS (SELECT subject, avg(balance) AS y, CAST(count(*) AS DOUBLE) AS c, min(balance) AS c2 FROM cells GROUP BY 1)"
 #: Values are rounded before they are ranked, so that sums taken in another order tie in the same way.
 RANKED = f"{FEATURES}, {OUTCOMES}, d AS (SELECT lr_name, ct_s, ct_r, round(value, 9) AS x, y, c FROM feat JOIN outcome USING (subject)), k AS (SELECT *, rank() OVER (PARTITION BY lr_name, ct_s, ct_r ORDER BY x) + (count(*) OVER (PARTITION BY lr_name, ct_s, ct_r, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY lr_name, ct_s, ct_r ORDER BY y) + (count(*) OVER (PARTITION BY lr_name, ct_s, ct_r, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY lr_name, ct_s, ct_r ORDER BY c) + (count(*) OVER (PARTITION BY lr_name, ct_s, ct_r, c) - 1) / 2.0 AS rc FROM d)"
