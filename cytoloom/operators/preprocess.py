@@ -16,9 +16,10 @@ def raw_count_check(expr: DataFrame, sample: int = 100, normalised_max: float =
     return block.agg(whole.alias("whole"), F.coalesce(F.max("value"), F.lit(0.0)).alias("most")).withColumn("raw", F.col("whole") & (F.col("most") > normalised_max))
 
 
-def log_normalise(expr: DataFrame, target: float = 1e4) -> DataFrame:
-    """log1p of values scaled so that each cell's total over all genes is target; cells without total stay zero."""
-    total = F.sum("value").over(Window.partitionBy("cell_id"))
+def log_normalise(expr: DataFrame, target: float = 1e4, total: str | None = None) -> DataFrame:
+    """log1p of values scaled so that each cell's total over all genes is target; cells without total stay zero. Where a
+    column holds each cell's total already, its name saves the shuffle by cell."""
+    total = F.sum("value").over(Window.partitionBy("cell_id")) if total is None else F.col(total)
     return expr.withColumn("value", F.when(total > 0, F.log1p(F.col("value") / total * target)).otherwise(0.0))
 
 
