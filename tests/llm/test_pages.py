@@ -93,34 +93,38 @@ def test_rows_are_judged_by_their_own_url_and_page(spark, monkeypatch, limit):
 
 
 def slow_main_text(rows):
-    """The same by dictionaries, host by host and node by node."""
+    """The same by dictionaries, host by host, element node by element node and text by text."""
     read = [(i, u, html_extraction.host_of(u), html_extraction.Page(h or "")) for i, u, h in rows]
     gone = {}
     for host in {x[2] for x in read}:
         own = [p for *_, h, p in read if h == host]
-        contents, styles, below = {}, {}, {}
+        contents, styles = {}, {}
         for p in own:
             for node, text in {(n, " ".join(t.split())) for runs in p.blocks for n, t in runs}:
-                contents.setdefault(node, collections.Counter())[text] += 1
-                for above in p.up(node):
-                    below.setdefault(above, set()).add(node)
+                if text:
+                    contents.setdefault(node, collections.Counter())[text] += 1
             for node, style in p.styles:
                 styles.setdefault(node, collections.Counter())[style] += 1
-        for node in {n for p in own for n in p.parents}:
-            m = sum(node in p.parents for p in own)
-            ks = [k for n in below.get(node, ()) for k in contents[n].values()]
-            content = 1 - sum(k * math.log(k) for k in ks) / sum(ks) / math.log(m) if m > 1 and ks else 1.0
+        for node in {n for p in own for n in p.nodes}:
+            m = sum(node in p.nodes for p in own)
             seen = list(styles.get(node, {}).values())
-            shown = (-sum(k / sum(seen) * math.log(k / sum(seen)) for k in seen) / math.log(m) if m > 1 else 1.0) if seen else float(m <= 1)
+            shown = (-sum(k / sum(seen) * math.log(k / sum(seen)) for k in seen) / math.log(m) if m > 1 else 1.0) if seen else 0.0
             keep = html_extraction.GAMMA ** len(seen)
             flag = 0
             for p in own:
                 flag |= p.flags().get(node, 0)
-            given, bits = html_extraction.PRIORS["marked" if flag & 1 else "declared" if flag & 2 else "beside" if flag & 4 else "plain"]
-            value = (bits * given + math.log2(m) * ((1 - keep) * shown + keep * max(0.0, min(1.0, content)))) / (bits + math.log2(m))
-            if value < html_extraction.LEAST_IMPORTANCE:
-                gone.setdefault(host, set()).add(node)
-    return sorted((str(i), u or "", p.text(gone.get(h, set()))) for i, u, h, p in read)
+            given, bits = html_extraction.PRIORS["marked" if flag & 1 else "worded" if flag & 8 else "declared" if flag & 2 else "beside" if flag & 4 else "plain"]
+            for text, k in contents.get(node, {}).items():
+                matters = 1 - math.log(k) / math.log(m) if m > 1 else 1.0
+                value = (bits * given + math.log2(m) * ((1 - keep) * shown + keep * matters)) / (bits + math.log2(m))
+                if value < html_extraction.LEAST_IMPORTANCE:
+                    gone.setdefault(host, set()).add((node, text))
+
+    def text_of(page, lost):
+        lines = lambda stays: "\n".join(t for runs in page.blocks if (t := " ".join("".join(x for n, x in runs if stays(n, " ".join(x.split()))).split())))
+        return lines(lambda n, x: (n, x) not in lost) or lines(lambda n, x: not page.flags().get(n, 0) & 9)
+
+    return sorted((str(i), u or "", text_of(p, gone.get(h, set()))) for i, u, h, p in read)
 
 
 def test_texts_match_a_slow_style_tree(spark):
@@ -133,13 +137,54 @@ def test_texts_match_a_slow_style_tree(spark):
 
 def test_importance_follows_entropy(spark):
     rows = [(i, "http://h.org", f"<div class=same>all the same</div><div class=own>only {i}</div><div class=half>half {i // 2}</div>") for i in range(16)]
-    found = html_extraction.style_tree(html_extraction.observations(pages(spark, rows)))
-    tree = {r.node: r for r in found.collect()}
-    same, own, half = (tree[html_extraction.node_id(0, f"div.{x}")] for x in ("same", "own", "half"))
-    assert same.content == 0 and own.content == 1 and abs(half.content - 0.75) < 1e-9
-    assert same.pages == 16 and [r.node for r in html_extraction.removed_nodes(found).collect()] == [same.node]
+    observed = html_extraction.observations(pages(spark, rows))
+    tree = {r.node: r for r in html_extraction.style_tree(observed).collect()}
+    ids = [html_extraction.node_id(0, f"div.{x}") for x in ("same", "own", "half")]
+    joined = [(8 + 4 * content) / 12 for content in (0, 1, 0.75)]
+    assert all(abs(tree[n].best - x) < 1e-9 and abs(tree[n].worst - x) < 1e-9 and tree[n].pages == 16 for n, x in zip(ids, joined, strict=True))
+    assert [r.branch for r in html_extraction.removed_branches(observed).collect()] == ids[:1]
     one = html_extraction.style_tree(html_extraction.observations(pages(spark, rows[:1]))).collect()
-    assert {r.importance for r in one} == {1.0}  # one page tells no bits
+    assert {r.best for r in one} == {1.0}  # one page tells no bits
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20, 40, 200, 1000, 10_000])
+@pytest.mark.parametrize("shared", ["<div class=line>One line</div>{}", "<div class=a>One</div><p>Two</p>{}<div class=b>Three</div>", "<div class=content>{}<p>In between</p></div>"])
+def test_hosts_of_any_size_keep_their_texts(spark, n, shared):
+    """No article anywhere: what all pages share goes, what is a page's own stays, whatever holds them both."""
+    own = lambda i: f"<div class=content><p>First of {i}.</p><p>Then of {i}.</p></div>"
+    rows = [(i, f"http://h.org/{i}", f"<html><body><div id=page>{shared.format(own(i))}</div></body></html>") for i in range(n)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    lines = {"One line", "One", "Two", "Three", "In between"}
+    for i in range(n):
+        assert [x for x in got[i].split("\n") if x not in lines] == [f"First of {i}.", f"Then of {i}."]
+        assert n < 5 or not lines & set(got[i].split("\n"))
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 3000])
+def test_copies_of_one_page_keep_their_text(spark, n):
+    rows = [(i, "http://h.org/", "<nav>menu</nav><div><p>Copied without</p><p>a frame.</p></div><div class=ad>Buy</div>") for i in range(n)]
+    assert {r.text for r in html_extraction.main_text(pages(spark, rows)).collect()} == {"Copied without\na frame."}
+
+
+def test_depth_is_no_limit(spark):
+    rows = [(i, "http://h.org/", "<div>" * 300 + "<p>same</p>" + "<div>" * 300 + f"<p>own {i}</p>") for i in range(30)]
+    assert {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()} == {i: f"own {i}" for i in range(30)}
+
+
+@pytest.mark.parametrize("n", [1, 30, 200])
+def test_words_do_not_take_an_articles_text(spark, n):
+    body = "<article><h1>Tale {0}</h1><div class=share-price><p>Prices rose {0}.</p></div><p class=comment>A remark {0}.</p><ul class=comments><li>First! {0}</ul><div class=ad-slot>Buy {0}</div></article>"
+    rows = [(i, "http://h.org/", body.format(i)) for i in range(n)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Tale {i}\nPrices rose {i}.\nA remark {i}." for i in range(n)}
+
+
+def test_entropies_overrule_words_that_may_mean_it(spark):
+    page = "<div id=search-results><p>Found {0} by search.</p></div><div class=share>Share {1}</div><div class=sidebar>Aside {0}</div><p>Text {0}.</p>"
+    for n, more in ((1, ""), (5, ""), (60, "Found {0} by search.\n")):
+        rows = [(i, "http://h.org/", page.format(i, i % 2)) for i in range(n)]
+        got = {r.page_id: r.text for r in html_extraction.main_text(pages(spark, rows)).collect()}
+        assert got == {i: more.format(i) + f"Text {i}." for i in range(n)}
 
 
 @pytest.mark.parametrize(("compression", "limit"), [("none", 10**6), ("gzip", 0)])
