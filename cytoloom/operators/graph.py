@@ -1,17 +1,15 @@
-"""The network of types: degrees, page rank, hubs and their tests; measures that need the whole small graph."""
+"""The network of types: degrees, page rank, hubs and their tests, shortest paths, communities. Everything is joins and
+aggregations of edges and nodes, in rounds that are cut from those before them; no task holds a graph."""
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.resample import shuffled_labels
 from ..functions.special import chi2_upper, fisher_two_sided
-from ..sources.work import cut
+from ..functions.stats import hash_key
+from ..sources.work import cut, stored
 
 
 def type_network(features: DataFrame, percentile: float = 80.0) -> DataFrame:
@@ -30,20 +28,27 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.withColumn("total_strength", F.col("in_strength") + F.col("out_strength"))
 
 
-def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after `rounds` rounds of weighted page rank; what dead ends hold is shared by all. The number of nodes
-    is folded in once; every round is one join and one aggregation, and is cut from the rounds before it."""
-    edges = cut(edges)
-    nodes = cut(edges.select(F.col("sender").alias("node")).union(edges.select("receiver")).distinct())
+def page_rank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, rounds: int = 100) -> DataFrame:
+    """(node, rank): weighted page rank, in rounds until the ranks' summed change falls below the number of nodes times
+    tolerance; more than `rounds` raise. What dead ends hold is shared by all. A round is one join and one aggregation."""
+    edges = stored(edges)
+    nodes = stored(edges.select(F.col("sender").alias("node")).union(edges.select("receiver")).distinct())
     n = nodes.count()
     total = edges.groupBy("sender").agg(F.sum("weight").alias("total"))
-    share = cut(edges.join(total, "sender").select("sender", "receiver", (F.col("weight") / F.col("total")).alias("share")))
-    dead = cut(nodes.join(total.withColumnRenamed("sender", "node"), "node", "left_anti"))
+    share = stored(edges.join(total, "sender").select("sender", "receiver", (F.col("weight") / F.col("total")).alias("share")))
+    dead = stored(nodes.join(total.withColumnRenamed("sender", "node"), "node", "left_anti"))
     rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for _ in range(rounds):
+    for _ in range(rounds if n else 0):
         moved = share.join(rank.withColumnRenamed("node", "sender"), "sender").groupBy(F.col("receiver").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         loose = rank.join(dead, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        rank = cut(nodes.join(moved, "node", "left").join(F.broadcast(loose)).select("node", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")))
+        new = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
+        step = stored(rank.join(moved, "node", "left").join(F.broadcast(loose)).select("node", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        rank = step.select("node", "rank")
+        if step.agg(F.sum("change")).first()[0] < n * tolerance:
+            break
+    else:
+        if n:
+            raise RuntimeError(f"page rank did not settle in {rounds} rounds")
     return rank
 
 
@@ -91,46 +96,53 @@ def contingency_test(table: DataFrame) -> dict[str, float | None]:
     return {"chi2": chi2, "dof": df, "p": chi2_upper(chi2, df) if df > 0 else 1.0, "p_fisher": fisher}
 
 
-def _whole(edges: DataFrame, work, schema: str) -> DataFrame:
-    """work(DataFrame of all edges): for graphs of types, which have at most some hundred nodes."""
-    return edges.withColumn("_graph", F.lit(0)).groupBy("_graph").applyInPandas(lambda pdf: work(pdf), schema)
+def _lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, node, d): the length of the shortest way from each source to each node that it reaches, itself included. A
+    round lets the ways that got shorter in the last one go on by an edge each."""
+    near = stored(nodes.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d")))
+    new = near
+    while not new.isEmpty():
+        on = new.join(edges, F.col("node") == F.col("sender")).groupBy("source", F.col("receiver").alias("node")).agg(F.min(F.col("d") + F.col("weight")).alias("to"))
+        both = stored(near.join(on, ["source", "node"], "full_outer").withColumn("shorter", F.col("to").isNotNull() & (F.col("d").isNull() | (F.col("to") < F.col("d") * (1 - 1e-12)))))
+        near = both.select("source", "node", F.when(F.col("shorter"), F.col("to")).otherwise(F.col("d")).alias("d"))
+        new = both.filter("shorter").select("source", "node", F.col("to").alias("d"))
+    return near
+
+
+def _spread(start: DataFrame, links: DataFrame, at: str, to: str, value: str) -> DataFrame:
+    """(source, node, value): start and all that links (source, at, to, share) hand on of it, round by round, until nothing
+    moves; the links of a source have no circles."""
+    out, moving = start, stored(start)
+    while True:
+        handed = moving.withColumnRenamed("node", at).join(links, ["source", at]).select("source", F.col(to).alias("node"), (F.col(value) * F.col("share")).alias(value))
+        moving = stored(handed.groupBy("source", "node").agg(F.sum(value).alias(value)))
+        if moving.isEmpty():
+            return stored(out.groupBy("source", "node").agg(F.sum(value).alias(value)))
+        out = out.unionByName(moving)
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(node, betweenness), normalised; edge weights are lengths, as in Brandes' algorithm. The whole graph is one task's."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = defaultdict(list)
-        for s, t, w in zip(pdf["sender"], pdf["receiver"], pdf["weight"], strict=True):
-            out[s].append((t, float(w)))
-        nodes = sorted({*pdf["sender"], *pdf["receiver"]})
-        score = dict.fromkeys(nodes, 0.0)
-        for source in nodes:
-            paths, near, before, order, done = {source: 1.0}, {source: 0.0}, defaultdict(list), [], set()
-            heap = [(0.0, source)]
-            while heap:
-                d, v = heapq.heappop(heap)
-                if v in done:
-                    continue
-                done.add(v)
-                order.append(v)
-                for t, w in out[v]:
-                    if t not in near or d + w < near[t] - 1e-15:
-                        near[t], paths[t], before[t] = d + w, paths[v], [v]
-                        heapq.heappush(heap, (d + w, t))
-                    elif t not in done and abs(d + w - near[t]) <= 1e-15:
-                        paths[t] += paths[v]
-                        before[t].append(v)
-            owed = dict.fromkeys(order, 0.0)
-            for v in reversed(order):
-                for u in before[v]:
-                    owed[u] += paths[u] / paths[v] * (1 + owed[v])
-                if v != source:
-                    score[v] += owed[v]
-        scale = 1 / ((len(nodes) - 1) * (len(nodes) - 2)) if len(nodes) > 2 else 1.0
-        return pd.DataFrame({"node": nodes, "betweenness": [score[v] * scale for v in nodes]})
-
-    return _whole(edges, work, "node string, betweenness double")
+    """(node, betweenness): share of the shortest ways between others that lead through a node, normalised by (n - 1)(n - 2).
+    Edge weights are lengths and must be above zero; ways whose lengths differ by under 1e-12 of them are equally short.
+
+    All sources advance together: lengths by rounds of relaxation, numbers of ways by handing them along the edges that
+    lie on shortest ways, dependencies by handing them back. State is a row for each source and node that it reaches."""
+    edges = stored(edges.groupBy("sender", "receiver").agg(F.min("weight").cast("double").alias("weight")))
+    if not edges.filter("weight <= 0 OR weight IS NULL").isEmpty():
+        raise ValueError("lengths must be above zero")
+    nodes = stored(edges.select(F.col("sender").alias("node")).union(edges.select("receiver")).distinct())
+    n = nodes.count()
+    near = _lengths(edges, nodes)
+    far = near.select("source", F.col("node").alias("receiver"), F.col("d").alias("far"))
+    ways = near.join(edges, F.col("node") == F.col("sender")).join(far, ["source", "receiver"]).filter("d + weight <= far * (1 + 1e-12)")
+    links = stored(ways.select("source", "sender", "receiver", F.lit(1.0).alias("share")))
+    count = _spread(nodes.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("k")), links, "sender", "receiver", "k")
+    ends = [count.select("source", F.col("node").alias(c), F.col("k").alias(f"k_{c}")) for c in ("sender", "receiver")]
+    shares = stored(links.drop("share").join(ends[0], ["source", "sender"]).join(ends[1], ["source", "receiver"]).select("source", "sender", "receiver", (F.col("k_sender") / F.col("k_receiver")).alias("share")))
+    first = stored(shares.groupBy("source", F.col("sender").alias("node")).agg(F.sum("share").alias("owed")))
+    owed = _spread(first, shares, "receiver", "sender", "owed").filter("source <> node").groupBy("node").agg(F.sum("owed").alias("owed"))
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return nodes.join(owed, "node", "left").select("node", (F.coalesce("owed", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def global_measures(edges: DataFrame) -> DataFrame:
@@ -155,35 +167,66 @@ def clustering(edges: DataFrame) -> DataFrame:
     return c.agg(F.avg("c").alias("clustering"))
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(node, community): greedy modularity moves on the undirected graph, nodes in name order, until none improves. The
-    whole graph is one task's; labels are numbered by their least node."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        w: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for s, t, x in zip(pdf["sender"], pdf["receiver"], pdf["weight"], strict=True):
-            w[s][t] += float(x)
-            w[t][s] += float(x)
-        nodes = sorted(w)
-        degree = {v: sum(w[v].values()) for v in nodes}
-        total = sum(degree.values()) or 1.0
-        own = {v: i for i, v in enumerate(nodes)}
-        held = {own[v]: degree[v] for v in nodes}
-        moved = True
-        while moved:
-            moved = False
-            for v in nodes:
-                held[own[v]] -= degree[v]
-                to: dict[int, float] = defaultdict(float)
-                for t, x in w[v].items():
-                    if t != v:
-                        to[own[t]] += x
-                gain = {c: to.get(c, 0.0) - degree[v] * held[c] / total for c in {*to, own[v]}}
-                best = max(sorted(gain), key=lambda c: gain[c])
-                if gain[best] > gain[own[v]] + 1e-12:
-                    own[v], moved = best, True
-                held[own[v]] += degree[v]
-        names = {c: i for i, c in enumerate(dict.fromkeys(own[v] for v in nodes))}
-        return pd.DataFrame({"node": nodes, "community": [names[own[v]] for v in nodes]})
-
-    return _whole(edges, work, "node string, community long")
+def modularity(edges: DataFrame, found: DataFrame) -> float:
+    """Of communities (node, community) of the undirected graph that edges (sender, receiver, weight) make."""
+    both = edges.select(F.col("sender").alias("u"), F.col("receiver").alias("v"), "weight").union(edges.select("receiver", "sender", "weight"))
+    return _modularity(both.groupBy("u", "v").agg(F.sum("weight").alias("w")), found.select("node", F.col("community").alias("com")))
+
+
+def _modularity(both: DataFrame, own: DataFrame) -> float:
+    ends = both.join(own.select(F.col("node").alias("u"), F.col("com").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("com").alias("b")), "v")
+    per = ends.groupBy(F.col("a").alias("com")).agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+    r = per.agg(F.sum("tot").alias("all"), F.sum("inside").alias("inside"), F.sum(F.col("tot") * F.col("tot")).alias("squares")).first()
+    return r["inside"] / r["all"] - r["squares"] / r["all"] ** 2 if r["all"] else 0.0
+
+
+def _moves(both: DataFrame, own: DataFrame, degree: DataFrame, total: float) -> DataFrame:
+    """(node, com, to, gain): the nodes that another community beside them suits better, the best one and by how much; the
+    lesser name of equals."""
+    held = own.join(degree, "node").groupBy("com").agg(F.sum("k").alias("tot"))
+    beside = both.filter("u <> v").join(own.select(F.col("node").alias("v"), "com"), "v").select(F.col("u").alias("node"), "com", "w")
+    tied = beside.unionByName(own.select("node", "com", F.lit(0.0).alias("w"))).groupBy("node", "com").agg(F.sum("w").alias("w"))
+    rows = tied.join(held, "com").join(own.select("node", F.col("com").alias("cur")), "node").join(degree, "node")
+    gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("com") == F.col("cur"), F.col("k")).otherwise(0.0)) / total
+    best = rows.withColumn("g", F.round(gain, 12)).groupBy("node", F.col("cur").alias("com")).agg(F.min(F.struct((-F.col("g")).alias("loss"), F.col("com").alias("to"))).alias("b"), F.max(F.when(F.col("com") == F.col("cur"), F.col("g"))).alias("stay"))
+    return best.select("node", "com", F.col("b.to").alias("to"), (-F.col("b.loss") - F.col("stay")).alias("gain")).filter("gain > 1e-11")
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """The moves that are the best of all that touch either of their two communities: none of them changes another's gain."""
+    rank = F.struct(F.col("gain"), F.col("node"))
+    best = moves.select(F.explode(F.array("com", "to")).alias("c"), rank.alias("rank")).groupBy("c").agg(F.max("rank").alias("most"))
+    one, two = (best.select(F.col("c").alias(c), F.col("most").alias(f"most_{c}")) for c in ("com", "to"))
+    return moves.join(one, "com").join(two, "to").filter((F.col("most_com.node") == F.col("node")) & (F.col("most_to.node") == F.col("node"))).select(*moves.columns)
+
+
+def communities(edges: DataFrame, seed: int = 0) -> DataFrame:
+    """(node, community): multilevel modularity communities of the undirected graph, each named by its least node.
+
+    A level starts with every node by itself. In a round all nodes find the neighbouring community that suits them best; a
+    half of those who would move, dealt by hash, move at once. If that doesn't raise the modularity, only moves that
+    can't disturb each other are made, which always raises it. When nobody would move, each community becomes one node,
+    its inner edges a loop, and the next level starts; a level without a move is the last."""
+    both = edges.select(F.col("sender").alias("u"), F.col("receiver").alias("v"), F.col("weight").cast("double").alias("w")).union(edges.select("receiver", "sender", F.col("weight").cast("double")))
+    both = stored(both.groupBy("u", "v").agg(F.sum("w").alias("w")))
+    total = both.agg(F.sum("w")).first()[0] or 1.0
+    found = stored(both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")))
+    while True:
+        degree = stored(both.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
+        own = stored(degree.select("node", F.col("node").alias("com")))
+        quality, turn = _modularity(both, own), 0
+        while not (moves := stored(_moves(both, own, degree, total))).isEmpty():
+            half = moves.filter(F.substring(hash_key(seed, turn, "node"), 1, 1) < "8")
+            for chosen in (half, _apart(moves)):
+                tried = stored(own.join(chosen.select("node", "to"), "node", "left").select("node", F.coalesce("to", "com").alias("com")))
+                better = _modularity(both, tried)
+                if better > quality + 1e-12:
+                    break
+            else:  # what is left to gain is below what sums of weights can tell
+                break
+            own, quality, turn = tried, better, turn + 1
+        if not turn:
+            return found.select("node", F.min("node").over(Window.partitionBy("community")).alias("community"))
+        found = stored(found.join(own.select(F.col("node").alias("community"), "com"), "community").select("node", F.col("com").alias("community")))
+        a, b = (own.select(F.col("node").alias(c), F.col("com").alias(f"com_{c}")) for c in ("u", "v"))
+        both = stored(both.join(a, "u").join(b, "v").groupBy(F.col("com_u").alias("u"), F.col("com_v").alias("v")).agg(F.sum("w").alias("w")))

@@ -145,25 +145,32 @@ def network_degrees(spark, sf_dir):
     return graph.degrees(net(spark, sf_dir)).select("node", "in_degree", "out_degree", *(F.round(F.col(c) * 100, 5).alias(c) for c in ("in_strength", "out_strength", "total_strength")))
 
 
-def _rounds(n: int) -> str:
-    """Page rank, unrolled."""
-    out = ", nodes AS (SELECT sender AS node FROM net UNION SELECT receiver FROM net), nn AS (SELECT count(*) AS n FROM nodes), tot AS (SELECT sender, sum(weight) AS total FROM net GROUP BY 1), sh AS (SELECT sender, receiver, weight / total AS share FROM net JOIN tot USING (sender)), pr0 AS (SELECT node, 1.0 / n AS rank FROM nodes, nn)"
-    for i in range(n):
-        out += f", lo{i} AS (SELECT coalesce(sum(rank), 0) AS loose FROM pr{i} WHERE node NOT IN (SELECT sender FROM tot)), pr{i + 1} AS (SELECT o.node, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS rank FROM nodes o CROSS JOIN nn CROSS JOIN lo{i} LEFT JOIN (SELECT receiver AS node, sum(share * rank) AS got FROM sh JOIN pr{i} ON pr{i}.node = sender GROUP BY 1) m ON m.node = o.node)"
-    return out
+#: Page rank in rounds until the summed change falls below the number of nodes times 1e-6; done is the first such round.
+RANKS = """, nodes AS (SELECT sender AS node FROM net UNION SELECT receiver FROM net), tot AS (SELECT sender, sum(weight) AS total FROM net GROUP BY 1),
+    sh AS (SELECT sender, receiver, weight / total AS share FROM net JOIN tot USING (sender)), nn AS (SELECT count(*) AS n FROM nodes),
+    rounds AS (SELECT 0 AS i, node, CAST(1 AS DOUBLE) / n AS rank, CAST(1 AS DOUBLE) AS change FROM nodes, nn
+        UNION ALL SELECT i + 1, node, new, sum(abs(new - rank)) OVER () FROM (
+            SELECT r.i, r.node, r.rank, 0.15 / n + 0.85 * (coalesce((SELECT sum(share * f.rank) FROM sh JOIN rounds f ON f.node = sh.sender WHERE sh.receiver = r.node), 0)
+                   + coalesce((SELECT sum(f.rank) FROM rounds f WHERE f.node NOT IN (SELECT sender FROM tot)), 0) / n) AS new
+            FROM rounds r, nn WHERE r.change >= CASE WHEN r.i = 0 THEN 0 ELSE n * 1e-6 END AND r.i < 100)),
+    ranks AS (SELECT node, rank FROM rounds WHERE i = (SELECT max(i) FROM rounds))"""
 
 
-@query("pagerank", NET + _rounds(5) + " SELECT node, round(CAST(rank AS DOUBLE), 6) AS rank FROM pr5")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("pagerank", recursive(NET + RANKS) + " SELECT node, round(rank, 6) AS rank FROM ranks")
 def pagerank(spark, sf_dir):
-    return graph.page_rank(net(spark, sf_dir), 5).withColumn("rank", r6("rank"))
+    return graph.page_rank(net(spark, sf_dir)).withColumn("rank", r6("rank"))
 
 
 def node_metrics(spark, sf_dir):
-    own = net(spark, sf_dir)
-    return graph.degrees(own).join(graph.page_rank(own, 5), "node")
+    own = cut(net(spark, sf_dir))
+    return graph.degrees(own).join(graph.page_rank(own), "node")
 
 
-@query("hubs", DEGREES + _rounds(5) + " SELECT d.node, total_strength >= (SELECT quantile_cont(total_strength, 0.8) FROM deg) AS strength_hub, rank >= (SELECT quantile_cont(rank, 0.8) FROM pr5) AS rank_hub FROM deg d JOIN pr5 p ON p.node = d.node WHERE total_strength >= (SELECT quantile_cont(total_strength, 0.8) FROM deg) OR rank >= (SELECT quantile_cont(rank, 0.8) FROM pr5)")
+@query("hubs", recursive(DEGREES + RANKS) + " SELECT d.node, total_strength >= (SELECT quantile_cont(total_strength, 0.8) FROM deg) AS strength_hub, rank >= (SELECT quantile_cont(rank, 0.8) FROM ranks) AS rank_hub FROM deg d JOIN ranks p ON p.node = d.node WHERE total_strength >= (SELECT quantile_cont(total_strength, 0.8) FROM deg) OR rank >= (SELECT quantile_cont(rank, 0.8) FROM ranks)")
 def hubs(spark, sf_dir):
     return graph.hubs(node_metrics(spark, sf_dir)).select("node", "strength_hub", "rank_hub")
 
@@ -210,7 +217,20 @@ def network_clustering(spark, sf_dir):
     return graph.clustering(net(spark, sf_dir)).withColumn("clustering", r6("clustering"))
 
 
-@query("network_betweenness")
+#: Lengths by doubling (ways of 64 edges at most, among 52 nodes), ways by edges, and each node's share in those of every pair.
+BETWEENNESS = NET + ", nodes AS (SELECT sender AS node FROM net UNION SELECT receiver FROM net), d0 AS (SELECT sender AS a, receiver AS b, weight AS d FROM net WHERE sender <> receiver UNION ALL SELECT node, node, 0 FROM nodes)"
+for _i in range(6):
+    BETWEENNESS += f", d{_i + 1} AS MATERIALIZED (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{_i} x JOIN d{_i} y ON x.b = y.a GROUP BY 1, 2)"
+BETWEENNESS += """, dag AS (SELECT s.a AS s, e.sender AS u, e.receiver AS v FROM d6 s JOIN net e ON e.sender = s.b JOIN d6 t ON t.a = s.a AND t.b = e.receiver WHERE s.d + e.weight <= t.d * (1 + 1e-12)),
+    hops AS (SELECT node AS s, node AS v, 0 AS h, CAST(1 AS DOUBLE) AS k FROM nodes UNION ALL SELECT g.s, g.v, h + 1, sum(k) FROM hops p JOIN dag g ON g.s = p.s AND g.u = p.v GROUP BY 1, 2, 3),
+    ways AS (SELECT s, v, sum(k) AS k FROM hops GROUP BY 1, 2),
+    routes AS (SELECT d.a, d.b, d.d, k FROM d6 d JOIN ways ON s = a AND v = b WHERE a <> b),
+    via AS (SELECT x.b AS node, sum(x.k * y.k / z.k) AS owed FROM routes x JOIN routes y ON y.a = x.b JOIN routes z ON z.a = x.a AND z.b = y.b WHERE x.d + y.d <= z.d * (1 + 1e-12) GROUP BY 1),
+    c AS (SELECT count(*) AS n FROM nodes)
+    SELECT o.node, round(coalesce(owed, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes o CROSS JOIN c LEFT JOIN via ON via.node = o.node"""
+
+
+@query("network_betweenness", recursive(BETWEENNESS))
 def network_betweenness(spark, sf_dir):
     return graph.betweenness(net(spark, sf_dir)).withColumn("betweenness", r6("betweenness"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back. For plans of many rounds: a checkpoint keeps the constraints of the plan
+    that it cuts, and those of joins on joins double from round to round; a table read has none. It is computed once, too,
+    where a checkpoint computes twice."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -258,7 +258,7 @@ def test_surrogates_keep_values_and_repeat(spark):
 def test_graph_measures(spark):
     edges = frame(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0), ("c", "d", 1.0)], "sender string, receiver string, weight double")
     assert {r.node: r.betweenness for r in graph.betweenness(edges).collect()} == {"a": 0, "b": 2 / 6, "c": 2 / 6, "d": 0}
-    ranks = {r.node: r.rank for r in graph.page_rank(edges, 30).collect()}
+    ranks = {r.node: r.rank for r in graph.page_rank(edges, 1e-9).collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks["d"] > ranks["a"]
     two = frame(spark, [(x, y, 1.0) for g in ("abc", "xyz") for x in g for y in g if x < y] + [("a", "x", 0.01)], "sender string, receiver string, weight double")
     own = {r.node: r.community for r in graph.communities(two).collect()}
