@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions.resample import axis, hash_ranked
 from ..functions.special import hypergeometric_upper
+from ..sources.work import cut
 
 #: A broad pathway and the parts of a rule's name that put it there, tried in this order.
 PATHWAYS = (
@@ -151,34 +152,56 @@ def over_representation(hits: DataFrame, universe: DataFrame, sets: DataFrame, l
     return S.bh_adjusted(found.mapInPandas(work, "set_name string, k long, size long, p double"), "p", [], "q", ["set_name"])
 
 
-def running_enrichment(ranking: DataFrame, sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, set_name, size, es): greatest deviation of the running sum over genes from the highest score down; members add
-    their share of absolute score, others take away an equal share. ranking: (by, gene, score); sets: (set_name, gene)."""
-    names = F.broadcast(sets.select("set_name").distinct())
-    member = F.broadcast(sets.distinct().withColumn("in", F.lit(1)))
-    rows = ranking.join(names).join(member, ["set_name", "gene"], "left").withColumn("in", F.coalesce("in", F.lit(0)))
-    group = Window.partitionBy(*by, "set_name")
-    rows = rows.withColumns({"hits": F.sum(F.when(F.col("in") == 1, F.abs("score")).otherwise(0.0)).over(group), "n_in": F.sum("in").over(group), "n_all": F.count("*").over(group)})
-    step = F.when(F.col("in") == 1, F.when(F.col("hits") > 0, F.abs("score") / F.col("hits")).otherwise(1.0 / F.col("n_in"))).otherwise(F.when(F.col("n_all") > F.col("n_in"), -1.0 / (F.col("n_all") - F.col("n_in"))).otherwise(0.0))
-    rows = rows.filter("n_in > 0").withColumn("step", step)
-    rows = rows.withColumn("sum", F.sum("step").over(group.orderBy(F.desc("score"), "gene").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy(*by, "set_name").agg(F.first("n_in").alias("size"), F.max("sum").alias("hi"), F.min("sum").alias("lo"))
-    return ends.select(*by, "set_name", F.col("size").cast("long").alias("size"), F.when(F.col("hi") >= -F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("es"))
+def _set_scores(members: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, set_name, size, es) from (by, set_name, place, weight, n_all): a set's members with their places from 1.
+
+    Between members the running sum only falls, so it is highest after a member and lowest before one (or 0, where it ends):
+    a set's sorted places are all that its score needs, not a row for each gene outside it."""
+    own = members.groupBy(*by, "set_name").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("m"), F.sum("weight").alias("total"), F.first("n_all").alias("n_all"))
+    size = F.size("m")
+    miss = F.when(F.col("n_all") > size, 1.0 / (F.col("n_all") - size)).otherwise(0.0)
+    zero = F.lit(0.0)
+
+    def step(run, x):
+        fall = (x["place"] - run["i"] - 1) * miss
+        up = run["h"] + F.when(F.col("total") > 0, x["weight"] / F.col("total")).otherwise(1.0 / size)
+        return F.struct((run["i"] + 1).alias("i"), up.alias("h"), F.greatest(run["hi"], up - fall).alias("hi"), F.least(run["lo"], run["h"] - fall).alias("lo"))
+
+    ends = F.aggregate("m", F.struct(F.lit(0).alias("i"), zero.alias("h"), zero.alias("hi"), zero.alias("lo")), step)
+    out = own.select(*by, "set_name", size.cast("long").alias("size"), ends.alias("e"))
+    return out.select(*by, "set_name", "size", F.when(F.col("e.hi") >= -F.col("e.lo"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("es"))
+
+
+def _placed(ranking: DataFrame) -> DataFrame:
+    """(gene, weight, place, n_all): the genes from the highest score down; a ranking is one row a gene."""
+    return ranking.select("gene", F.abs("score").alias("weight"), F.row_number().over(Window.orderBy(F.desc("score"), "gene")).alias("place"), F.count("*").over(Window.partitionBy()).alias("n_all"))
+
+
+def running_enrichment(ranking: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_name, size, es): greatest deviation of the running sum over genes from the highest score down; members add
+    their share of absolute score, others take away an equal share. ranking: (gene, score); sets: (set_name, gene)."""
+    return _set_scores(_placed(ranking).join(sets.distinct(), "gene"), [])
 
 
 def ranked_enrichment(ranking: DataFrame, sets: DataFrame, n: int, seed: int, least: int = 10, most: int = 500) -> DataFrame:
-    """running_enrichment with p, the normalised score and its adjusted value from n permutations of the genes' scores;
-    sets with fewer than least or more than most genes of the ranking are left out."""
+    """running_enrichment with p, the normalised score and its adjusted value from n permutations, each of which gives every
+    gene another's place and score; sets with fewer than least or more than most genes of the ranking are left out.
+
+    Rows are genes times permutations for the shuffles, then members times permutations; a set's members in a permutation are
+    one sorted array of at most `most`."""
     sized = sets.distinct().join(ranking.select("gene"), "gene", "left_semi")
     fine = sized.groupBy("set_name").count().filter(F.col("count").between(least, most)).select("set_name")
-    own = sized.join(F.broadcast(fine), "set_name", "left_semi")
-    seen = running_enrichment(ranking.select("gene", "score"), own)
-    plain = hash_ranked(ranking.select("gene", "score").withColumn("_k", S.hash_key(seed, -1, "gene")), [], "_k", ["gene"], "_r").select("_r", "score")
-    drawn = hash_ranked(axis(ranking.select("gene"), n, "perm").withColumn("_k", S.hash_key(seed, "perm", "gene")), ["perm"], "_k", ["gene"], "_r").select("perm", "gene", "_r").join(plain, "_r")
-    null = running_enrichment(drawn.select("perm", "gene", "score"), own, ["perm"]).select("set_name", F.col("es").alias("null_es"))
-    both = null.join(F.broadcast(seen), "set_name").withColumn("same", F.signum("null_es") == F.signum("es"))
+    own = cut(sized.join(fine, "set_name", "left_semi"))
+    placed = cut(_placed(ranking))
+    seen = _set_scores(placed.join(own, "gene"), [])
+    used = own.select("gene").distinct()
+    plain = hash_ranked(placed.withColumn("_k", S.hash_key(seed, -1, "gene")), [], "_k", ["gene"], "_r").select("_r", "weight", "place", "n_all")
+    drawn = hash_ranked(axis(placed.select("gene"), n, "perm").withColumn("_k", S.hash_key(seed, "perm", "gene")), ["perm"], "_k", ["gene"], "_r")
+    members = drawn.join(used, "gene", "left_semi").join(plain, "_r").join(own, "gene").select("perm", "set_name", "place", "weight", "n_all")
+    null = _set_scores(members, ["perm"]).select("set_name", F.col("es").alias("null_es"))
+    both = null.join(seen, "set_name").withColumn("same", F.signum("null_es") == F.signum("es"))
     out = both.groupBy("set_name", "size", "es").agg(
-        ((F.sum((F.col("same") & (F.abs("null_es") >= F.abs("es"))).cast("long")) + 1) / (F.sum(F.col("same").cast("long")) + 1)).alias("p"),
+        ((F.sum((F.col("same") & (F.abs("null_es") >= F.abs("es") - 1e-12)).cast("long")) + 1) / (F.sum(F.col("same").cast("long")) + 1)).alias("p"),
         F.try_divide(F.first("es"), F.avg(F.when(F.col("same"), F.abs("null_es")))).alias("nes"),
     )
     return S.bh_adjusted(out, "p", [], "q", ["set_name"])

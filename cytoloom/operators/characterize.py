@@ -30,24 +30,34 @@ def keyword_class(cell_type: str, words: Sequence[tuple[str, Sequence[str]]] = C
     return F.coalesce(out, F.lit("Other"))
 
 
+def _node_sums(net: DataFrame, side: str) -> DataFrame:
+    """(node, s, c): sum and number of the positive weights that leave (side sender) or enter (receiver) each node."""
+    positive = F.col("weight") > 0
+    return net.groupBy(F.col(side).alias("node")).agg(F.sum(F.when(positive, F.col("weight")).otherwise(0.0)).alias("s"), F.sum(positive.cast("long")).alias("c"))
+
+
+def _mean_of_sums() -> Column:
+    return F.when(F.sum("c") > 0, F.sum("s") / F.sum("c")).otherwise(0.0)
+
+
 def directed_means(net: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(label, out_mean, in_mean): mean of positive weights leaving and entering the nodes with each label."""
-    own = F.broadcast(labels.select("node", label))
-    out = net.join(own, F.col("sender") == F.col("node")).groupBy(label).agg(S.mean_positive("weight").alias("out_mean"))
-    into = net.join(own, F.col("receiver") == F.col("node")).groupBy(label).agg(S.mean_positive("weight").alias("in_mean"))
+    own = labels.select("node", label)
+    out, into = (_node_sums(net, side).join(own, "node").groupBy(label).agg(_mean_of_sums().alias(f"{name}_mean")) for side, name in (("sender", "out"), ("receiver", "in")))
     return out.join(into, label, "full_outer").select(label, F.coalesce("out_mean", F.lit(0.0)).alias("out_mean"), F.coalesce("in_mean", F.lit(0.0)).alias("in_mean"))
 
 
 def label_permutation_test(net: DataFrame, labels: DataFrame, label: str, n: int, seed: int) -> DataFrame:
     """directed_means with p_out, p_in (share of label shuffles at least as high, one added above and below), adjusted
-    q_out, q_in and their stars. Senders and receivers are shuffled apart."""
+    q_out, q_in and their stars. Senders and receivers are shuffled apart. The network is summed by node first, so shuffles
+    are a row for each node and never meet pairs of nodes."""
     net, labels = cut(net), cut(labels)
     seen = cut(directed_means(net, labels, label))
 
     def null(side: str, s: int, name: str) -> DataFrame:
         drawn = shuffled_labels(labels, "node", label, n, s)
-        means = net.join(F.broadcast(drawn), F.col(side) == F.col("node")).groupBy("perm", label).agg(S.mean_positive("weight").alias("m"))
-        at = means.join(F.broadcast(seen), label).groupBy(label)
+        means = drawn.join(_node_sums(net, side), "node").groupBy("perm", label).agg(_mean_of_sums().alias("m"))
+        at = means.join(seen, label).groupBy(label)
         return at.agg(((F.sum((F.col("m") >= F.col(f"{name}_mean") - 1e-12).cast("long")) + 1) / (F.lit(n) + 1.0)).alias(f"p_{name}"))
 
     out = seen.join(null("sender", seed, "out"), label).join(null("receiver", seed + 1, "in"), label)

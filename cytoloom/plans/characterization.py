@@ -99,12 +99,6 @@ def bootstrap_ci(spark, sf_dir):
     return out.select("region", *(r6(c).alias(c) for c in ("mean", "lo", "hi")))
 
 
-@query("keyword_class", "SELECT * FROM (VALUES ('Upper-layer intratelencephalic', 'Excitatory'), ('MGE interneuron', 'Inhibitory'), ('Oligodendrocyte precursor', 'Glia'), ('Vascular', 'Other'), ('L5 excitatory', 'Excitatory')) t(cell_type, class)")
-def keyword_class(spark, sf_dir):
-    names = ["Upper-layer intratelencephalic", "MGE interneuron", "Oligodendrocyte precursor", "Vascular", "L5 excitatory"]
-    return spark.createDataFrame([(n,) for n in names], "cell_type string").select("cell_type", char.keyword_class("cell_type").alias("class"))
-
-
 #: Nations as regions: strength of two nations' segments against the gap between their keys.
 DECAY = f"""WITH {CELLS}, g(cell_type, grp) AS (VALUES {', '.join(str(x) for x in GROUPS)}),
     w AS (SELECT n_nationkey AS k, n_name AS region, c_mktsegment AS ct, avg(c_acctbal) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r6
 from ..operators import biology as bio
+from ..operators import characterize as char
 from ..operators import graph, heterogeneity, infer, spatial
 from ..operators import importance as imp
 from ..operators import preprocess as pre
@@ -17,30 +18,62 @@ from .preparation import EDGES, MEANS, ROWS, edge_rows, region_edges, region_tab
 from .registry import CELLS, EXPR, query
 
 N, SURROGATES, SEED = 1000, 100, 3
-NAMES = [("NRXN1_NLGN1", "Neurexin", "Neurexin-Neuroligin"), ("GABA-A_x", "GABA-A", "Other"), ("NRG1_ERBB4", "Neuregulin-ErbB", "Neuregulin-ERBB"), ("NRG3_x", "Other", "Neuregulin-ERBB"), ("Glu-GRIA1", "Glutamate", "Glutamate_Signaling"), ("SEMA3A_NRP1", "Semaphorin-Plexin", "Semaphorin-Plexin"), ("SLIT2_ROBO1", "Slit-Robo", "Slit-Robo"), ("COL1A1_CD44", "Collagen", "Laminin-Integrin"), ("ITGA1_ITGB1", "Integrin", "Laminin-Integrin"), ("WNT5A_x", "Wnt", "Other"), ("FGF2_x", "FGF", "Other"), ("BMP4_x", "BMP/GDF", "Other"), ("abc", "Other", "Other")]
-TYPES = [("Astrocyte", "Glia"), ("MGE interneuron", "Inhibitory"), ("Amygdala excitatory", "Excitatory"), ("Vascular", "Other"), ("nobody", "Other")]
 CLASSES = {"Neuron": ("T1", "T2"), "Glia": ("T3",)}
 CASE = "CASE WHEN {0} IN ('T1', 'T2') THEN 'Neuron' WHEN {0} = 'T3' THEN 'Glia' ELSE 'Other' END"
 
 
-@query("classify_lr", f"SELECT * FROM (VALUES {', '.join(str((a, b)) for a, b, _ in NAMES)}) t(lr_name, class)")
+#: Every part names a rule, its key picking the ligand and its size the receptor, and every customer a type.
+LIGANDS = ("NRXN1", "GABA-A", "NRG1", "Glu", "SEMA3A", "SLIT2", "COL1A1", "ITGA1", "WNT5A", "FGF2", "BMP4", "EFNA1", "GABBR1", "HTR2A", "SPP1", "LRRTM2", "FLRT3", "abc")
+RECEPTORS = ("NLGN1", "ERBB4", "GRIA1", "NRP1", "ROBO1", "CD44", "ITGB1", "EPHA4", "TENM2", "CBLN1", "x")
+TYPES = ("Astrocyte", "MGE interneuron", "Amygdala excitatory", "Vascular", "Microglia", "Upper-layer intratelencephalic", "L5 ET", "nobody")
+NAMED = f"SELECT ({list(LIGANDS)})[1 + p_partkey % {len(LIGANDS)}] || '_' || ({list(RECEPTORS)})[1 + p_size % {len(RECEPTORS)}] AS name FROM part"
+TYPED = f"SELECT ({list(TYPES)})[1 + c_custkey % {len(TYPES)}] AS name FROM customer"
+
+
+def _classed(names: str, column: str, out: str, cases: list[tuple[str, str]]) -> str:
+    """Names by class and how often they stand: cases are (class, condition on upper-cased u or name), first match first."""
+    when = " ".join(f"WHEN {test} THEN '{label}'" for label, test in cases)
+    return f"SELECT name AS {column}, CASE {when} ELSE 'Other' END AS {out}, count(*) AS n FROM (SELECT name, upper(name) AS u FROM ({names})) GROUP BY 1, 2"
+
+
+def _part_test(part: str) -> str:
+    return f"starts_with(u, '{part[1:]}')" if part[0] == "^" else f"contains(u, '{part}')"
+
+
+def rule_names(spark, sf_dir):
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    return domain.table(spark, sf_dir, "part").select(F.concat_ws("_", pick(LIGANDS, "p_partkey"), pick(RECEPTORS, "p_size")).alias("lr_name"))
+
+
+def type_names(spark, sf_dir):
+    return domain.table(spark, sf_dir, "customer").select(F.element_at(F.array(*map(F.lit, TYPES)), (F.col("c_custkey") % len(TYPES) + 1).cast("int")).alias("cell_type"))
+
+
+@query("classify_lr", _classed(NAMED, "lr_name", "class", [(label, " OR ".join("(" + " AND ".join(map(_part_test, parts)) + ")" for parts in tests)) for label, tests in bio.RULE_CLASSES]))
 def classify_lr(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, *_ in NAMES], "lr_name string").select("lr_name", bio.rule_class("lr_name").alias("class"))
+    return rule_names(spark, sf_dir).groupBy("lr_name", bio.rule_class("lr_name").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("classify_pathway", f"SELECT * FROM (VALUES {', '.join(str((a, c)) for a, _, c in NAMES)}) t(lr_name, pathway)")
+@query("classify_pathway", _classed(NAMED, "lr_name", "pathway", [(label, " OR ".join(map(_part_test, parts))) for label, parts in bio.PATHWAYS]))
 def classify_pathway(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, *_ in NAMES], "lr_name string").select("lr_name", bio.pathway("lr_name").alias("pathway"))
+    return rule_names(spark, sf_dir).groupBy("lr_name", bio.pathway("lr_name").alias("pathway")).agg(F.count("*").alias("n"))
 
 
-@query("classify_type", f"SELECT * FROM (VALUES {', '.join(map(str, TYPES))}) t(cell_type, class)")
+@query("classify_type", _classed(TYPED, "cell_type", "class", [(label, f"name IN {own}") for label, own in bio.TYPE_CLASSES.items()]))
 def classify_type(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in TYPES], "cell_type string").select("cell_type", bio.type_class("cell_type").alias("class"))
+    return type_names(spark, sf_dir).groupBy("cell_type", bio.type_class("cell_type").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("gene_strings", "SELECT * FROM (VALUES ('A + B+ ', 'A,B'), ('', ''), ('C', 'C')) t(s, genes)")
+@query("keyword_class", _classed(TYPED, "cell_type", "class", [(label, " OR ".join(f"contains(lower(name), '{w}')" for w in words)) for label, words in char.CLASS_WORDS]))
+def keyword_class(spark, sf_dir):
+    return type_names(spark, sf_dir).groupBy("cell_type", char.keyword_class("cell_type").alias("class")).agg(F.count("*").alias("n"))
+
+
+#: Lists held as text: a part's brand and the words of its name, with stray blanks and empty members.
+@query("gene_strings", "WITH g AS (SELECT p_partkey, p_brand || ' + ' || replace(p_name, ' ', '+ ') || '+ +' AS s FROM part) SELECT p_partkey, s, array_to_string(list_filter(list_transform(string_split(s, '+'), lambda x: trim(x)), lambda x: x <> ''), ',') AS genes FROM g")
 def gene_strings(spark, sf_dir):
-    return spark.createDataFrame([("A + B+ ",), ("",), ("C",)], "s string").select("s", F.array_join(bio.plus_list("s"), ",").alias("genes"))
+    text = F.concat("p_brand", F.lit(" + "), F.replace("p_name", F.lit(" "), F.lit("+ ")), F.lit("+ +"))
+    return domain.table(spark, sf_dir, "part").select("p_partkey", text.alias("s")).select("p_partkey", "s", F.array_join(bio.plus_list("s"), ",").alias("genes"))
 
 
 #: A network of 25 types: a brand sends to the brands its size classes name.
@@ -119,9 +152,29 @@ def gsea_running_sum(spark, sf_dir):
     return bio.running_enrichment(_ranking(spark, sf_dir), _sets(spark, sf_dir)).withColumn("es", r6("es"))
 
 
-@query("gsea_permuted")
+#: The sets of the permutation test: parts by type, by brand and by both, so that some are of 10 to 500 parts at every size.
+GSEA = f"""WITH r AS (SELECT gene, abs(score) AS weight, row_number() OVER (ORDER BY score DESC, gene) AS place, count(*) OVER () AS n_all FROM (SELECT CAST(p_partkey AS VARCHAR) AS gene, round(p_retailprice, 2) - 1200 AS score FROM part)),
+    s0 AS (SELECT p_type AS set_name, CAST(p_partkey AS VARCHAR) AS gene FROM part UNION SELECT p_brand, CAST(p_partkey AS VARCHAR) FROM part UNION SELECT p_brand || ' ' || p_type, CAST(p_partkey AS VARCHAR) FROM part),
+    s AS (SELECT * FROM s0 WHERE set_name IN (SELECT set_name FROM s0 GROUP BY 1 HAVING count(*) BETWEEN 10 AND 500)),
+    plain AS (SELECT place, weight, n_all, row_number() OVER (ORDER BY md5('{SEED}_-1_' || gene), gene) AS nth FROM r),
+    drawn AS (SELECT perm, gene, row_number() OVER (PARTITION BY perm ORDER BY md5('{SEED}_' || perm || '_' || gene), gene) AS nth FROM r CROSS JOIN range({N}) p(perm)),
+    m AS (SELECT -1 AS perm, set_name, place, weight, n_all FROM r JOIN s USING (gene) UNION ALL SELECT perm, set_name, place, weight, n_all FROM drawn JOIN plain USING (nth) JOIN s USING (gene)),
+    w AS (SELECT *, count(*) OVER (PARTITION BY perm, set_name) AS size, weight / sum(weight) OVER (PARTITION BY perm, set_name) AS share, row_number() OVER o AS i FROM m WINDOW o AS (PARTITION BY perm, set_name ORDER BY place)),
+    run AS (SELECT *, sum(share) OVER (PARTITION BY perm, set_name ORDER BY place ROWS UNBOUNDED PRECEDING) AS h, (place - i) / CAST(n_all - size AS DOUBLE) AS fall FROM w),
+    e AS (SELECT perm, set_name, any_value(size) AS size, greatest(0, max(h - fall)) AS hi, least(0, min(h - share - fall)) AS lo FROM run GROUP BY 1, 2),
+    es AS (SELECT perm, set_name, size, CASE WHEN hi >= -lo THEN hi ELSE lo END AS es FROM e),
+    b AS (SELECT o.set_name, o.size, o.es, x.es AS null_es, sign(o.es) = sign(x.es) AS same FROM es o JOIN es x USING (set_name) WHERE o.perm = -1 AND x.perm >= 0),
+    t AS (SELECT set_name, size, es, (sum(CASE WHEN same AND abs(null_es) >= abs(es) - 1e-12 THEN 1 ELSE 0 END) + 1.0) / (sum(CASE WHEN same THEN 1 ELSE 0 END) + 1) AS p, es / avg(CASE WHEN same THEN abs(null_es) END) AS nes FROM b GROUP BY 1, 2, 3),
+    q0 AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, set_name) AS raw FROM t),
+    q AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p, set_name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q0)
+    SELECT set_name, size, round(es, 6) AS es, round(nes, 6) AS nes, round(CAST(p AS DOUBLE), 6) AS p, round(CAST(q AS DOUBLE), 6) AS q, CASE WHEN nes >= 0 THEN 'up' ELSE 'down' END AS direction, q < 0.25 AS significant FROM q WHERE nes IS NOT NULL"""
+
+
+@query("gsea_permuted", GSEA)
 def gsea_permuted(spark, sf_dir):
-    out = bio.ranked_enrichment(_ranking(spark, sf_dir), _sets(spark, sf_dir), N, SEED, least=2)
+    part = domain.table(spark, sf_dir, "part")
+    names = F.explode(F.array("p_type", "p_brand", F.concat_ws(" ", "p_brand", "p_type"))).alias("set_name")
+    out = bio.ranked_enrichment(_ranking(spark, sf_dir), part.select(names, F.col("p_partkey").cast("string").alias("gene")), N, SEED)
     return bio.signed_results([out]).select("set_name", "size", *(r6(c).alias(c) for c in ("es", "nes", "p", "q")), "direction", "significant")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.functions import resample, special
 from cytoloom.functions import stats as S
-from cytoloom.operators import association, biology, features, graph, heterogeneity, importance, infer, models, spatial, validation
+from cytoloom.operators import association, biology, characterize, features, graph, heterogeneity, importance, infer, models, spatial, validation
 from cytoloom.operators import preprocess as pre
 from cytoloom.sources import domain, readers
 
@@ -400,3 +400,15 @@ def test_a_cluster_must_name_its_shared_folder():
     session = Space(sparkContext=Space(_jsc=Space(sc=lambda: unset), master="spark://host:7077"), conf=Space(get=lambda key, default: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session)
+
+
+def test_names_get_their_classes(spark):
+    """Hand-checked: the first class in order whose test a name meets."""
+    rules = {"NRXN1_NLGN1": ("Neurexin", "Neurexin-Neuroligin"), "GABA-A_x": ("GABA-A", "Other"), "NRG1_ERBB4": ("Neuregulin-ErbB", "Neuregulin-ERBB"), "NRG3_x": ("Other", "Neuregulin-ERBB"), "Glu-GRIA1": ("Glutamate", "Glutamate_Signaling"), "SEMA3A_NRP1": ("Semaphorin-Plexin", "Semaphorin-Plexin"), "SLIT2_ROBO1": ("Slit-Robo", "Slit-Robo"), "COL1A1_CD44": ("Collagen", "Laminin-Integrin"), "ITGA1_ITGB1": ("Integrin", "Laminin-Integrin"), "WNT5A_x": ("Wnt", "Other"), "FGF2_x": ("FGF", "Other"), "BMP4_x": ("BMP/GDF", "Other"), "abc": ("Other", "Other")}
+    got = frame(spark, [(n,) for n in rules], "n string").select("n", biology.rule_class("n"), biology.pathway("n")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == rules
+    types = {"Astrocyte": ("Glia", "Glia"), "MGE interneuron": ("Inhibitory", "Inhibitory"), "Amygdala excitatory": ("Excitatory", "Excitatory"), "Vascular": ("Other", "Other"), "L5 excitatory": ("Other", "Excitatory"), "Oligodendrocyte precursor": ("Glia", "Glia")}
+    got = frame(spark, [(n,) for n in types], "n string").select("n", biology.type_class("n"), characterize.keyword_class("n")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == types
+    lists = frame(spark, [("A + B+ ",), ("",), ("C",), (None,)], "s string").select(biology.plus_list("s").alias("g")).collect()
+    assert [r.g for r in lists] == [["A", "B"], [], ["C"], []]
