@@ -68,6 +68,19 @@ def bh_kept(p: str, fdr: float, by: Sequence[str], order: Sequence[str]) -> Colu
     return F.col(p) < fdr * place / F.count("*").over(Window.partitionBy(*by))
 
 
+def t_two_sided_of_rho(rho: Column, df: Column) -> Column:
+    """Two-sided p of a correlation, by t with a whole number of degrees of freedom: the finite sums in powers of the cosine of
+    the angle whose tangent is t over the root of df, which is the correlation's own arcsine."""
+    theta, cos2 = F.asin(F.abs(rho)), 1 - rho * rho
+    odd, last = df % 2 == 1, F.floor((df - 2) / 2).cast("int")
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.aggregate(steps, start, lambda a, j: F.struct((a["term"] * ratio(j) * cos2).alias("term"), (a["sum"] + a["term"] * ratio(j) * cos2).alias("sum")))["sum"]
+    inside = F.when(df == 1, 2 / F.pi() * theta).when(odd, 2 / F.pi() * (theta + F.abs(rho) * F.sqrt(cos2) * total)).otherwise(F.abs(rho) * total)
+    return F.when(rho.isNotNull() & (df >= 1), F.greatest(F.lit(0.0), 1 - inside))
+
+
 def hash_key(*parts: Column | str | int) -> Column:
     """md5 of the parts joined by underscores: the engine's source of reproducible randomness."""
     return F.md5(F.concat_ws("_", *((F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts)))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.special import t_two_sided
-from ..sources.work import cut
+from ..sources.work import cut, stored
 from .features import region_of, type_of
 from .spatial import null_summary
 
@@ -55,36 +52,28 @@ def partial_spearman_one(rows: DataFrame, by: Sequence[str], x: str = "x", y: st
     return r.select(*by, "n", F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
 
 
-def _ranks(a: np.ndarray) -> np.ndarray:
-    order = np.argsort(a, kind="stable")
-    _, inverse, counts = np.unique(a[order], return_inverse=True, return_counts=True)
-    ends = np.cumsum(counts)
-    out = np.empty(len(a))
-    out[order] = ((ends - counts + 1 + ends) / 2)[inverse]
-    return out
-
-
 def partial_spearman(rows: DataFrame, by: Sequence[str], covariates: Sequence[str], x: str = "x", y: str = "y", least: int = LEAST_ROWS) -> DataFrame:
-    """(by, n, rho, p) with any covariates: ranks are regressed on ranked covariates and an intercept, residuals are
-    correlated. p is of t with n - 2 degrees of freedom, however many covariates. Null under `least` rows, where a
-    residual vanishes. One group of rows at a time is held by a task."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
-
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[[x, y, *covariates]].to_numpy(float)
-        m = m[~np.isnan(m).any(axis=1)]
-        n, rho = len(m), None
-        if n >= least:
-            ranks = np.column_stack([_ranks(m[:, i]) for i in range(m.shape[1])])
-            design = np.column_stack([np.ones(n), ranks[:, 2:]])
-            left = ranks[:, :2] - design @ np.linalg.lstsq(design, ranks[:, :2], rcond=None)[0]
-            norms = np.linalg.norm(left, axis=0)
-            if (norms > 1e-9 * n**1.5).all():
-                rho = float(np.clip(left[:, 0] @ left[:, 1] / norms.prod(), -1, 1))
-        p = None if rho is None else t_two_sided(rho * np.sqrt((n - 2) / max(1e-300, 1 - rho * rho)), n - 2)
-        return pd.DataFrame([[*key, n, rho, p]], columns=[*by, "n", "rho", "p"]).astype({"rho": float, "p": float})
-
-    return rows.select(*by, x, y, *covariates).groupBy(*by).applyInPandas(work, f"{fields}, n long, rho double, p double").select(*by, "n", F.nanvl("rho", F.lit(None)).alias("rho"), F.nanvl("p", F.lit(None)).alias("p"))
+    """(by, n, rho, p) with any covariates: the rank correlation of what covariates' ranks and an intercept leave of x and y.
+    p is of t with n - 2 degrees of freedom, however many covariates. Rows with a null or NaN among the columns don't
+    count. Null under `least` rows and where nothing is left of x or y; covariates that others explain change nothing.
+
+    A group is ranked by windows and becomes one row of covariances; covariates are then eliminated from that matrix one by
+    one, in expressions, so no task holds a group's rows."""
+    names = [x, y, *covariates]
+    fine = rows.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in names)).select(*by, *names)
+    ranked = fine.withColumns({f"_r{i}": S.average_rank(c, by) for i, c in enumerate(names)})
+    size = len(names)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), *(F.covar_pop(f"_r{i}", f"_r{j}").alias(f"_s{i}_{j}") for i, j in pairs))
+    at = lambda i, j: F.col(f"_s{min(i, j)}_{max(i, j)}")
+    out = out.withColumns({f"_v{i}": at(i, i) for i in range(size)})
+    for c in range(size - 1, 1, -1):
+        rest = [(i, j) for i, j in pairs if j < c]
+        some = at(c, c) > 1e-12 * F.col(f"_v{c}")
+        out = out.select(*by, "n", *(f"_v{i}" for i in range(c)), *(F.when(some, at(i, j) - at(i, c) * at(j, c) / at(c, c)).otherwise(at(i, j)).alias(f"_s{i}_{j}") for i, j in rest))
+    left = (F.col("n") >= least) & (at(0, 0) > 1e-12 * F.col("_v0")) & (at(1, 1) > 1e-12 * F.col("_v1"))
+    rho = F.when(left, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(0, 1) / F.sqrt(at(0, 0) * at(1, 1)))))
+    return out.select(*by, "n", rho.alias("rho")).select(*by, "n", "rho", S.t_two_sided_of_rho(F.col("rho"), F.col("n") - 2).alias("p"))
 
 
 def mean_abs_alignment(rows: DataFrame, by: Sequence[str], feature: str = "feature", covariates: Sequence[str] = (), least: int = 3) -> DataFrame:
@@ -116,19 +105,40 @@ def rule_covariate(means: DataFrame, rule_genes: DataFrame, by: Sequence[str]) -
     return means.join(F.broadcast(genes), "gene").groupBy(*by, "lr_name").agg(F.avg("value").alias("value"))
 
 
-def first_component(rows: DataFrame, unit: str = "region") -> DataFrame:
-    """(unit, score): first principal component of the units' standardised profiles; constant genes are left out. The
-    sign is that which makes the first unit's score positive. Units must be few: the profile matrix is one task's."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        wide = pd.concat(got).pivot_table(index=unit, columns="gene", values="value", fill_value=0.0).sort_index()
-        m = wide.to_numpy(float)
-        m = m[:, m.std(axis=0) > 1e-12]
-        z = (m - m.mean(axis=0)) / m.std(axis=0)
-        score = np.linalg.svd(z, full_matrices=False)[0][:, 0] * np.linalg.svd(z, compute_uv=False)[0]
-        yield pd.DataFrame({unit: wide.index, "score": score * (1 if score[0] >= 0 else -1)})
-
-    return rows.select(unit, "gene", "value").repartition(1).mapInPandas(work, f"{unit} string, score double")
+def first_component(rows: DataFrame, unit: str = "region", rounds: int = 40) -> DataFrame:
+    """(unit, score): first principal component of the units' standardised profiles (unit, gene, value), a missing gene
+    being a zero; constant genes are left out, and no profile that varies gives no rows. The sign is that which makes
+    the first unit's score positive (or zero).
+
+    The products of all pairs of units come from a join on the gene, of what is not zero, and two sums that put the means
+    right. That matrix, over its trace, is squared until it has one direction left, which takes some ten rounds: a
+    round's rest is the square of the last one's. What is shuffled is pairs of units; no task holds the profiles."""
+    known = stored(rows.groupBy(unit, "gene").agg(F.avg("value").alias("v")).filter("v <> 0"))
+    units = stored(rows.select(unit).distinct())
+    n = units.count()
+    genes = known.groupBy("gene").agg((F.sum("v") / n).alias("m"), F.sum(F.col("v") * F.col("v")).alias("q")).withColumn("var", F.col("q") / n - F.col("m") * F.col("m"))
+    genes = stored(genes.filter("var > 1e-24 AND var > 1e-14 * q").select("gene", "m", "var"))
+    own = stored(known.join(genes, "gene").select(unit, "gene", (F.col("v") / F.sqrt("var")).alias("z"), (F.col("m") / F.sqrt("var")).alias("mz")))
+    base = genes.agg(F.sum(F.col("m") * F.col("m") / F.col("var"))).first()[0]
+    if base is None:
+        return units.select(unit, F.lit(0.0).alias("score")).limit(0)
+    shift = units.join(own.groupBy(unit).agg(F.sum(F.col("z") * F.col("mz")).alias("b")), unit, "left").select(unit, F.coalesce("b", F.lit(0.0)).alias("b"))
+    products = own.select(F.col(unit).alias("i"), "gene", "z").join(own.select(F.col(unit).alias("j"), "gene", F.col("z").alias("y")), "gene").groupBy("i", "j").agg(F.sum(F.col("z") * F.col("y")).alias("a"))
+    grid = shift.select(F.col(unit).alias("i"), F.col("b").alias("bi")).crossJoin(shift.select(F.col(unit).alias("j"), F.col("b").alias("bj")))  # the matrix itself
+    gram = stored(grid.join(products, ["i", "j"], "left").select("i", "j", (F.coalesce("a", F.lit(0.0)) - F.col("bi") - F.col("bj") + F.lit(base)).alias("g")))
+    trace = lambda m: m.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("g")))).first()[0]
+    now = stored(gram.withColumn("g", F.col("g") / F.lit(trace(gram))))
+    for _ in range(rounds):
+        square = stored(now.select("i", F.col("j").alias("k"), "g").join(now.select(F.col("i").alias("k"), "j", F.col("g").alias("h")), "k").groupBy("i", "j").agg(F.sum(F.col("g") * F.col("h")).alias("g")))
+        whole = trace(square)
+        now = square.withColumn("g", F.col("g") / F.lit(whole))
+        if whole > 1 - 1e-14:
+            break
+    top = now.filter("i = j").agg(F.max_by("i", "g").alias("j"))
+    axis = now.join(top, "j").select(F.col("i").alias(unit), "g")
+    norm = axis.agg(F.sqrt(F.sum(F.col("g") * F.col("g")))).first()[0]
+    axis = stored(axis.select(unit, (F.col("g") / norm).alias("u")))
+    two = gram.join(axis.select(F.col(unit).alias("i"), F.col("u").alias("ui")), "i").join(axis.select(F.col(unit).alias("j"), F.col("u").alias("uj")), "j")
+    length = two.agg(F.sqrt(F.sum(F.col("g") * F.col("ui") * F.col("uj")))).first()[0]
+    first = axis.agg(F.min_by("u", unit)).first()[0]
+    return axis.select(unit, (F.col("u") * length * (1.0 if first >= 0 else -1.0)).alias("score"))

@@ -131,12 +131,22 @@ def runs(spark, sf_dir):
     return own.groupBy("region", F.col("c_mktsegment").alias("subset")).agg(F.round(F.avg("c_acctbal") + 1e-7, 2).alias("value"))
 
 
-@query("wilcoxon_w", f"WITH {RUNS}, d AS (SELECT a.subset AS run_a, b.subset AS run_b, round(a.value - b.value, 12) AS d FROM runs a JOIN runs b ON a.region = b.region AND a.subset < b.subset), k AS (SELECT *, rank() OVER (PARTITION BY run_a, run_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run_a, run_b, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0) SELECT run_a, run_b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_minus FROM k GROUP BY 1, 2")
+WILCOXON = f"WITH {RUNS}, d AS (SELECT a.subset AS run_a, b.subset AS run_b, round(a.value - b.value, 12) AS d FROM runs a JOIN runs b ON a.region = b.region AND a.subset < b.subset), k AS (SELECT *, rank() OVER (PARTITION BY run_a, run_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run_a, run_b, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)"
+
+
+@query("wilcoxon_w", WILCOXON + " SELECT run_a, run_b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_minus FROM k GROUP BY 1, 2")
 def wilcoxon_w(spark, sf_dir):
     return val.signed_ranks(val.paired_runs(runs(spark, sf_dir)), ["run_a", "run_b"])
 
 
-@query("wilcoxon_p")
+#: How many sets of the ranks 1 to k have each sum, by adding one rank at a time; differences here have no ties.
+@query(
+    "wilcoxon_p",
+    WILCOXON.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, ways AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(1 AS HUGEINT) AS c UNION ALL SELECT k + 1, s + b * (k + 1), CAST(sum(c) AS HUGEINT) FROM ways CROSS JOIN (VALUES (0), (1)) v(b) WHERE k < 50 GROUP BY 1, 2),
+    w AS (SELECT run_a, run_b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w_plus, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS w_minus FROM k GROUP BY 1, 2)
+    SELECT run_a, run_b, n, w_plus, w_minus, round(least(1.0, 2 * CAST((SELECT sum(c) FROM ways o WHERE o.k = w.n AND o.s <= least(w_plus, w_minus)) AS DOUBLE) / 2 ** n), 6) AS p FROM w""",
+)
 def wilcoxon_p(spark, sf_dir):
     return val.signed_rank_test(val.paired_runs(runs(spark, sf_dir)), ["run_a", "run_b"]).withColumn("p", r6("p"))
 

@@ -12,6 +12,7 @@ from ..operators import preprocess as pre
 from ..sources import domain
 from ..sources.work import cut
 from .inference import ELIGIBLE, NETWORK, PERMUTATIONS, RULES, SIGNAL, TRI, _scores, inputs
+from .preparation import MEANS
 from .registry import CELLS, EXPR, query
 
 SDENSE = "sdense AS (SELECT c.subject AS perm, c.cell_id, c.node, g.gene, coalesce(s.value, 0) AS value FROM cells c CROSS JOIN (SELECT DISTINCT gene FROM signal) g LEFT JOIN signal s ON s.cell_id = c.cell_id AND s.gene = g.gene), grouped AS (SELECT perm, node, gene, avg(value) AS value FROM sdense GROUP BY 1, 2, 3)"
@@ -105,24 +106,51 @@ def partial_spearman_k1(spark, sf_dir):
     return assoc.partial_spearman_one(observations(spark, sf_dir), ["lr_name", "ct_s", "ct_r"]).withColumn("rho", r6("rho"))
 
 
-@query("partial_spearman_k2")
-def partial_spearman_k2(spark, sf_dir):
-    out = assoc.partial_spearman(observations(spark, sf_dir), ["lr_name", "ct_s", "ct_r"], ["c", "c2"])
-    return out.withColumns({"rho": r6("rho"), "p": r6("p")})
-
-
 def _partial(a: str, b: str, c: str) -> str:
     return f"({a} - {b} * {c}) / nullif(sqrt((1 - {b} * {b}) * (1 - {c} * {c})), 0)"
 
 
-TWO_COVARIATES = RANKED.replace("y, c FROM feat", "y, c, c2 FROM feat") + f""", k2 AS (SELECT *, rank() OVER (PARTITION BY lr_name, ct_s, ct_r ORDER BY c2) + (count(*) OVER (PARTITION BY lr_name, ct_s, ct_r, c2) - 1) / 2.0 AS rd FROM k),
-    r AS (SELECT lr_name, ct_s, ct_r, count(*) AS n, {_corr('rx', 'ry')} AS xy, {_corr('rx', 'rc')} AS xc, {_corr('ry', 'rc')} AS yc, {_corr('rx', 'rd')} AS xd, {_corr('ry', 'rd')} AS yd, {_corr('rc', 'rd')} AS cd FROM k2 GROUP BY 1, 2, 3),
-    g AS (SELECT *, {_partial('xy', 'xc', 'yc')} AS xyc, {_partial('xd', 'xc', 'cd')} AS xdc, {_partial('yd', 'yc', 'cd')} AS ydc FROM r)"""
+def _t_share(rho: str, df: str) -> str:
+    """Two-sided p of t with df degrees of freedom by the finite sums for the angle, whose products are written with lgamma."""
+    c2 = f"(1 - {rho} * {rho})"
+    odd = f"list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * {c2} ** j))"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * {c2} ** j))"
+    return f"CASE WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * (asin(abs({rho})) + abs({rho}) * sqrt{c2} * coalesce({odd}, 0)) ELSE 1 - abs({rho}) * {even} END"
+
+
+PLACES = "rank() OVER (PARTITION BY lr_name, ct_s, ct_r ORDER BY {0}) + (count(*) OVER (PARTITION BY lr_name, ct_s, ct_r, {0}) - 1) / 2.0 AS r{0}"
+OUTCOMES_3 = OUTCOMES.replace("min(balance) AS c2", "min(balance) AS c2, max(balance) AS c3")
+COVARIATES = f"""{FEATURES}, {OUTCOMES_3}, d AS (SELECT lr_name, ct_s, ct_r, round(value, 9) AS x, y, c, c2, c3 FROM feat JOIN outcome USING (subject)),
+    k AS (SELECT lr_name, ct_s, ct_r, {', '.join(PLACES.format(v) for v in ('x', 'y', 'c', 'c2', 'c3'))} FROM d),
+    r AS (SELECT lr_name, ct_s, ct_r, count(*) AS n, {', '.join(f"{_corr('r' + a, 'r' + b)} AS {a}_{b}" for n, a in enumerate(('x', 'y', 'c', 'c2', 'c3')) for b in ('x', 'y', 'c', 'c2', 'c3')[n + 1:])} FROM k GROUP BY 1, 2, 3),
+    g AS (SELECT *, {_partial('x_y', 'x_c', 'y_c')} AS xy1, {_partial('x_c2', 'x_c', 'c_c2')} AS xd1, {_partial('y_c2', 'y_c', 'c_c2')} AS yd1, {_partial('x_c3', 'x_c', 'c_c3')} AS xe1, {_partial('y_c3', 'y_c', 'c_c3')} AS ye1, {_partial('c2_c3', 'c_c2', 'c_c3')} AS de1 FROM r),
+    h AS (SELECT *, {_partial('xy1', 'xd1', 'yd1')} AS two, {_partial('xe1', 'xd1', 'de1')} AS xe2, {_partial('ye1', 'yd1', 'de1')} AS ye2 FROM g), p AS (SELECT *, {_partial('two', 'xe2', 'ye2')} AS three FROM h)"""
+
+
+def _covariates(rho: str) -> str:
+    return f"{BASE}, {COVARIATES} SELECT lr_name, ct_s, ct_r, n, round({rho}, 6) AS rho, round({_t_share(rho, '(n - 2)')}, 6) AS p FROM p"
+
 
+def partial(spark, sf_dir, covariates):
+    rows = observations(spark, sf_dir)
+    if "c3" in covariates:
+        rows = rows.join(F.broadcast(domain.cells(spark, sf_dir).groupBy("subject").agg(F.max("balance").alias("c3"))), "subject")
+    return assoc.partial_spearman(rows, ["lr_name", "ct_s", "ct_r"], covariates).withColumns({"rho": r6("rho"), "p": r6("p")})
 
-@query("partial_spearman_k2_rho", BASE + f", {TWO_COVARIATES} SELECT lr_name, ct_s, ct_r, n, round({_partial('xyc', 'xdc', 'ydc')}, 6) AS rho FROM g")
+
+@query("partial_spearman_k2", _covariates("two"))
+def partial_spearman_k2(spark, sf_dir):
+    return partial(spark, sf_dir, ["c", "c2"])
+
+
+@query("partial_spearman_k3", _covariates("three"))
+def partial_spearman_k3(spark, sf_dir):
+    return partial(spark, sf_dir, ["c", "c2", "c3"])
+
+
+@query("partial_spearman_k2_rho", f"{BASE}, {COVARIATES} SELECT lr_name, ct_s, ct_r, n, round(two, 6) AS rho FROM p")
 def partial_spearman_k2_rho(spark, sf_dir):
-    return assoc.partial_spearman(observations(spark, sf_dir), ["lr_name", "ct_s", "ct_r"], ["c", "c2"]).select("lr_name", "ct_s", "ct_r", "n", r6("rho").alias("rho"))
+    return partial(spark, sf_dir, ["c", "c2"]).drop("p")
 
 
 SURROGATES, SEED = 100, 42
@@ -170,7 +198,20 @@ def pseudobulk(spark, sf_dir):
     return means.select("subject", F.concat_ws("::", "region", "gene").alias("feature"), r6("value").alias("value"))
 
 
-@query("pc1_covariate")
+#: The regions' matrix of products, squared over its trace until one direction is left.
+COMPONENT = f"""WITH {CELLS}, {EXPR}, {MEANS}, u AS (SELECT DISTINCT region FROM means), nu AS (SELECT count(*) AS k FROM u),
+    st AS (SELECT gene, sum(value) / any_value(k) AS m, sum(value * value) / any_value(k) - (sum(value) / any_value(k)) ** 2 AS var FROM means, nu GROUP BY 1),
+    z AS (SELECT u.region, st.gene, (coalesce(value, 0) - m) / sqrt(var) AS z FROM u CROSS JOIN st LEFT JOIN means ON means.region = u.region AND means.gene = st.gene WHERE var > 1e-14),
+    gram AS MATERIALIZED (SELECT a.region AS i, b.region AS j, sum(a.z * b.z) AS g FROM z a JOIN z b USING (gene) GROUP BY 1, 2),
+    p0 AS MATERIALIZED (SELECT i, j, g / (SELECT sum(g) FROM gram WHERE i = j) AS g FROM gram)"""
+for _k in range(12):
+    COMPONENT += f", s{_k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM p{_k} a JOIN p{_k} b ON a.j = b.i GROUP BY 1, 2), p{_k + 1} AS MATERIALIZED (SELECT i, j, g / (SELECT sum(g) FROM s{_k} WHERE i = j) AS g FROM s{_k})"
+COMPONENT += """, ax AS (SELECT i, g / sqrt(sum(g * g) OVER ()) AS u FROM p12 WHERE j = (SELECT arg_max(i, g) FROM p12 WHERE i = j)),
+    len AS (SELECT sqrt(sum(g * a.u * b.u)) AS len FROM gram JOIN ax a ON a.i = gram.i JOIN ax b ON b.i = gram.j)
+    SELECT i AS region, round(u * len * CASE WHEN (SELECT arg_min(u, i) FROM ax) >= 0 THEN 1 ELSE -1 END, 6) AS score FROM ax CROSS JOIN len"""
+
+
+@query("pc1_covariate", COMPONENT)
 def pc1_covariate(spark, sf_dir):
     means = pre.region_means(domain.expression(spark, sf_dir), domain.cells(spark, sf_dir).select("cell_id", "region"), ["region"])
     return assoc.first_component(means).withColumn("score", r6("score"))

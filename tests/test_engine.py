@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def test_partial_spearman_agrees_with_numpy(spark):
     m = rng.normal(size=(40, 4)).round(1)
     m[:, 1] += m[:, 2]
     rows = frame(spark, [("g", *map(float, r)) for r in m] + [("small", 1.0, 2.0, 3.0, 4.0), ("flat", *[1.0] * 4)] * 12, "g string, x double, y double, c double, d double")
-    ranks = np.column_stack([association._ranks(m[:, i]) for i in range(4)])
+    ranks = pd.DataFrame(m).rank().to_numpy()
 
     def direct(k):
         z = np.column_stack([np.ones(40), ranks[:, 2 : 2 + k]])
@@ -146,6 +147,33 @@ def test_partial_spearman_agrees_with_numpy(spark):
     assert abs(many["g"].rho - direct(2)) < 1e-9 and abs(one["g"].rho - direct(1)) < 1e-9
     assert many["flat"].rho is None and one["flat"].rho is None and many["flat"].p is None
     assert association.spearman(rows.filter("g = 'small'").limit(4), ["g"]).first().rho is None
+    df = 38  # n - 2
+    assert abs(many["g"].p - special.t_two_sided(many["g"].rho * math.sqrt(df / (1 - many["g"].rho ** 2)), df)) < 1e-9
+    more = rows.withColumns({"e": F.col("c") * 3 + 1, "f": F.lit(7.0), "h": F.col("d") + F.when(F.col("x") > 0, 1.5).otherwise(0.0)})
+    got = {tuple(c): association.partial_spearman(more.filter("g = 'g'"), ["g"], c).first() for c in (["c", "d", "e", "f"], ["c", "d", "h"], ["c", "x"], [])}
+    assert abs(got["c", "d", "e", "f"].rho - direct(2)) < 1e-9  # a covariate that others explain, and a constant one
+    assert got["c", "x"].rho is None and abs(got[()].rho - direct(0)) < 1e-9
+    h = pd.Series(m[:, 3] + np.where(m[:, 0] > 0, 1.5, 0.0)).rank().to_numpy()
+    z = np.column_stack([np.ones(40), ranks[:, 2:4], h])
+    e = ranks[:, :2] - z @ np.linalg.lstsq(z, ranks[:, :2], rcond=None)[0]
+    assert abs(got["c", "d", "h"].rho - np.corrcoef(e.T)[0, 1]) < 1e-9
+    holes = more.withColumn("c", F.when(F.col("x") > 1, F.lit(float("nan"))).when(F.col("x") < -1, None).otherwise(F.col("c"))).filter("g = 'g'")
+    assert association.partial_spearman(holes, ["g"], ["c"]).first().n == int((np.abs(m[:, 0]) <= 1).sum())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_component_agrees_with_svd(spark, seed):
+    rng = np.random.default_rng(seed)
+    m = np.where(rng.random((9, 30)) < 0.4, 0.0, rng.random((9, 30)) * 3) + np.outer(np.arange(9) % 3, rng.random(30))
+    m[:, 7] = 2.0  # constant, hence left out
+    rows = frame(spark, [(f"u{i}", f"g{j:02}", float(m[i, j])) for i in range(9) for j in range(30) if m[i, j]], "region string, gene string, value double")
+    got = {r.region: r.score for r in association.first_component(rows).collect()}
+    z = np.delete(m, 7, axis=1)
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    want = u[:, 0] * s[0] * (1 if u[0, 0] >= 0 else -1)
+    assert all(abs(got[f"u{i}"] - want[i]) < 1e-6 for i in range(9))
+    assert association.first_component(rows.filter("gene = 'g07'")).isEmpty()
 
 
 def test_special_functions():
