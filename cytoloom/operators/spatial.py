@@ -105,8 +105,8 @@ def log_marginals(rows: DataFrame, regions: DataFrame, eps: float = 1e-3) -> Dat
     """(feature, side, region, v): mean log of values (at least eps) by source and by target, self edges left out, and the
     feature's overall mean as side 'all'. A region without edges has the overall mean. One pass, by grouping sets."""
     x = rows.filter("src_region <> tgt_region").withColumn("x", F.log(F.greatest(F.col("value"), F.lit(eps))))
-    x.createOrReplaceTempView("cytoloom_log_rows")
-    means = x.sparkSession.sql("SELECT feature, src_region, tgt_region, avg(x) AS v, grouping_id() AS g FROM cytoloom_log_rows GROUP BY feature, src_region, tgt_region GROUPING SETS ((feature, src_region), (feature, tgt_region), (feature))")
+    sets = [["feature", "src_region"], ["feature", "tgt_region"], ["feature"]]
+    means = x.groupingSets(sets, "feature", "src_region", "tgt_region").agg(F.avg("x").alias("v"), F.grouping_id().alias("g"))
     base = means.filter("g = 3").select("feature", F.col("v").alias("base"))
     sides = means.filter("g <> 3").select("feature", F.when(F.col("g") == 1, "source").otherwise("target").alias("side"), F.coalesce("src_region", "tgt_region").alias("region"), "v")
     grid = base.join(F.broadcast(regions.select("region").distinct())).withColumn("side", F.explode(F.array(F.lit("source"), F.lit("target"))))
