@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions.resample import axis, hash_ranked
 from ..functions.special import hypergeometric_upper
-from ..sources.work import cut
+from ..sources.work import stored
 
 #: A broad pathway and the parts of a rule's name that put it there, tried in this order.
 PATHWAYS = (
@@ -188,16 +188,18 @@ def ranked_enrichment(ranking: DataFrame, sets: DataFrame, n: int, seed: int, le
     gene another's place and score; sets with fewer than least or more than most genes of the ranking are left out.
 
     Rows are genes times permutations for the shuffles, then members times permutations; a set's members in a permutation are
-    one sorted array of at most `most`."""
+    one sorted array of at most `most`. A permutation's genes are ordered by one task, and everything after stays there: the
+    tables of places and of members are stored, so Spark knows their sizes and broadcasts them if they are small."""
     sized = sets.distinct().join(ranking.select("gene"), "gene", "left_semi")
     fine = sized.groupBy("set_name").count().filter(F.col("count").between(least, most)).select("set_name")
-    own = cut(sized.join(fine, "set_name", "left_semi"))
-    placed = cut(_placed(ranking))
+    own = stored(sized.join(fine, "set_name", "left_semi"))
+    placed = stored(_placed(ranking))
     seen = _set_scores(placed.join(own, "gene"), [])
-    used = own.select("gene").distinct()
-    plain = hash_ranked(placed.withColumn("_k", S.hash_key(seed, -1, "gene")), [], "_k", ["gene"], "_r").select("_r", "weight", "place", "n_all")
-    drawn = hash_ranked(axis(placed.select("gene"), n, "perm").withColumn("_k", S.hash_key(seed, "perm", "gene")), ["perm"], "_k", ["gene"], "_r")
-    members = drawn.join(used, "gene", "left_semi").join(plain, "_r").join(own, "gene").select("perm", "set_name", "place", "weight", "n_all")
+    plain = stored(hash_ranked(placed.withColumn("_k", S.hash_key(seed, -1, "gene")), [], "_k", ["gene"], "_r").select("_r", "weight", "place", "n_all"))
+    key = F.unhex(S.hash_key(seed, "perm", "gene"))  # half the bytes to shuffle and sort, in the same order
+    order = Window.partitionBy("perm").orderBy("_k", "gene")
+    drawn = axis(placed.select("gene"), n, "perm").withColumn("_k", key).withColumn("_r", F.row_number().over(order).cast("long")).select("perm", "gene", "_r")
+    members = drawn.join(plain, "_r").join(own, "gene").select("perm", "set_name", "place", "weight", "n_all")
     null = _set_scores(members, ["perm"]).select("set_name", F.col("es").alias("null_es"))
     both = null.join(seen, "set_name").withColumn("same", F.signum("null_es") == F.signum("es"))
     out = both.groupBy("set_name", "size", "es").agg(
