@@ -92,7 +92,7 @@ def null_alignment(real: DataFrame, surrogates: DataFrame, y: DataFrame, unit: s
     against that of surrogate sets. real: (feature, unit, x); surrogates: the same with s, the set; y: (unit, y, covariates).
     All sets go through one plan."""
     rows = real.select(F.lit(-1).alias("s"), "feature", unit, "x").unionByName(surrogates.select(F.col("s").cast("int").alias("s"), "feature", unit, "x"))
-    found = cut(mean_abs_alignment(rows.join(F.broadcast(y), unit), ["s"], covariates=covariates, least=least))
+    found = stored(mean_abs_alignment(rows.join(y, unit), ["s"], covariates=covariates, least=least))
     own = found.filter("s = -1").select(F.lit(1).alias("one"), F.col("v").alias("real"), "features")
     null = found.filter("s >= 0").select(F.lit(1).alias("one"), "v")
     out = null_summary(null, own.select("one", "real"), ["one"]).join(null.groupBy("one").agg(F.count("v").alias("surrogates")), "one")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,55 +132,3 @@ def pseudo_cells(abundance: DataFrame, expression: DataFrame, real: DataFrame) -
     and type that real cells have."""
     rows = abundance.join(F.broadcast(real.select("region", "cell_type").distinct()), ["region", "cell_type"], "left_semi").join(expression, "region")
     return rows.select("region", "cell_type", "gene", (F.greatest("value", F.lit(0.0)) * F.greatest("abundance", F.lit(0.0))).alias("value"))
-
-
-def _variogram(v: np.ndarray, d: np.ndarray, cuts: np.ndarray, width: float) -> np.ndarray:
-    i, j = np.triu_indices(len(v), 1)
-    half, far = 0.5 * (v[i] - v[j]) ** 2, d[i, j]
-    weight = np.exp(-((2.68 * np.abs(far[None, :] - cuts[:, None])) ** 2) / (2 * width * width))
-    return (weight * half).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-300)
-
-
-def surrogate_maps(maps: DataFrame, d: DataFrame, n: int, seed: int = 0, *, lags: int = 25, reach: float = 0.25, portions: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), resample: bool = False) -> DataFrame:
-    """(map, s, region, v): n surrogates of each map (map, region, v) with its spatial autocorrelation.
-
-    Values are permuted, smoothed over the nearest portion of regions with exponential weights, and the portion whose
-    variogram, after a linear fit, is nearest to the map's is taken. d: (src, tgt, d), a table of regions, which is
-    brought to the driver once its size is known to be that of a square of at most 5,000 regions."""
-    if maps.select("region").distinct().count() > 5000:
-        raise ValueError("too many regions for a dense distance table")
-    table = d.toPandas().pivot(index="src", columns="tgt", values="d").sort_index().sort_index(axis=1)
-    names, dist = list(table.index), table.to_numpy(float)
-    near = np.argsort(dist, axis=1, kind="stable")
-
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.set_index("region")["v"].reindex(names).to_numpy(float)
-        top = np.quantile(dist[np.triu_indices(len(v), 1)], reach)
-        cuts = np.linspace(dist[dist > 0].min(), max(top, dist[dist > 0].min() * 1.001), lags)
-        width = 3 * (cuts[1] - cuts[0])
-        goal, out = _variogram(v, dist, cuts, width), []
-        tag = int.from_bytes(str(key[0]).encode()[-6:], "big")
-        for s in range(n):
-            rng = np.random.default_rng([seed, tag, s])
-            shuffled, best = rng.permutation(v), None
-            for share in portions:
-                k = max(2, int(share * len(v)))
-                own = near[:, :k]
-                own_d = np.take_along_axis(dist, own, axis=1)
-                w = np.exp(-own_d / np.maximum(own_d[:, -1:], 1e-12))
-                smooth = (w * shuffled[own]).sum(axis=1) / w.sum(axis=1)
-                got = _variogram(smooth, dist, cuts, width)
-                beta, alpha = np.polyfit(got, goal, 1)
-                miss = ((goal - alpha - beta * got) ** 2).sum()
-                if best is None or miss < best[0]:
-                    best = (miss, alpha, beta, smooth)
-            _, alpha, beta, smooth = best
-            made = np.sqrt(abs(beta)) * smooth + np.sqrt(max(alpha, 0.0)) * rng.standard_normal(len(v))
-            if resample:
-                made = np.sort(v)[np.argsort(np.argsort(made, kind="stable"), kind="stable")]
-            else:
-                made = made - made.mean() + v.mean()
-            out.append(pd.DataFrame({"map": key[0], "s": s, "region": names, "v": made}))
-        return pd.concat(out)
-
-    return maps.groupBy("map").applyInPandas(work, "map string, s int, region string, v double")

@@ -1,6 +1,6 @@
 """The engine's queries, by name."""
 
-from . import characterization, inference, models, networks, prediction, preparation, subjects
+from . import characterization, inference, models, networks, nulls, prediction, preparation, subjects
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "characterization", "inference", "models", "networks", "prediction", "preparation", "subjects"]
+__all__ = ["ORACLE", "QUERIES", "characterization", "inference", "models", "networks", "nulls", "prediction", "preparation", "subjects"]

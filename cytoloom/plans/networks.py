@@ -17,7 +17,7 @@ from .prediction import AGG, TWO, importances, meta, two_tables
 from .preparation import EDGES, MEANS, ROWS, edge_rows, region_edges, region_table
 from .registry import CELLS, EXPR, query
 
-N, SURROGATES, SEED = 1000, 100, 3
+N, SEED = 1000, 3
 CLASSES = {"Neuron": ("T1", "T2"), "Glia": ("T3",)}
 CASE = "CASE WHEN {0} IN ('T1', 'T2') THEN 'Neuron' WHEN {0} = 'T3' THEN 'Glia' ELSE 'Other' END"
 
@@ -424,12 +424,6 @@ def pseudo_cells(spark, sf_dir):
     return spatial.pseudo_cells(abundance, region_table(spark, sf_dir), cells.filter("cell_type <> 'BUILDING'")).withColumn("value", F.round("value", 5))
 
 
-@query("variogram_surrogates")
-def variogram_surrogates(spark, sf_dir):
-    maps = domain.table(spark, sf_dir, "customer").join(F.broadcast(domain.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_mktsegment").alias("map"), F.col("n_name").alias("region")).agg(F.avg("c_acctbal").alias("v"))
-    return spatial.surrogate_maps(maps, spatial.distances(centres(spark, sf_dir), "area"), SURROGATES, SEED, resample=True).withColumn("v", r6("v"))
-
-
 HET = "tm AS (SELECT c.region, c.cell_type, e.gene, sum(value) / any_value(n.size) AS value FROM expr e JOIN cells c USING (cell_id) JOIN (SELECT region, cell_type, count(*) AS size FROM cells GROUP BY 1, 2) n ON n.region = c.region AND n.cell_type = c.cell_type GROUP BY 1, 2, 3), en AS (SELECT region, gene, sum(CASE WHEN p > 0 THEN -p * ln(p) / ln(2) END) AS entropy FROM (SELECT region, gene, value / sum(value) OVER (PARTITION BY region, gene) AS p FROM tm) GROUP BY 1, 2)"
 GINI = "gn AS (SELECT region, gene, sum((2 * i - n - 1) * value) / (any_value(n) * sum(value)) AS gini FROM (SELECT region, gene, value, row_number() OVER (PARTITION BY region, gene ORDER BY value) AS i, count(*) OVER (PARTITION BY region, gene) AS n FROM (SELECT c.region, g.gene, coalesce(e.value, 0) AS value FROM cells c CROSS JOIN (SELECT DISTINCT gene FROM expr) g LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene)) GROUP BY 1, 2)"
 

@@ -273,16 +273,6 @@ def test_distance_faults(spark):
     assert tuple(spatial.distance_faults(d, 2).first()) == (0, 0, 1, 2, 0)
 
 
-def test_surrogates_keep_values_and_repeat(spark):
-    pts = frame(spark, [(f"r{i:02}", float(i % 6), float(i // 6), 0.0) for i in range(36)], "region string, x double, y double, z double")
-    maps = frame(spark, [("m", f"r{i:02}", float(i % 6) + 0.1 * i) for i in range(36)], "map string, region string, v double")
-    d = spatial.distances(pts)
-    got = spatial.surrogate_maps(maps, d, 3, 5, resample=True).orderBy("s", "region").collect()
-    assert len(got) == 108 and got == spatial.surrogate_maps(maps, d, 3, 5, resample=True).orderBy("s", "region").collect()
-    real = sorted(r.v for r in maps.collect())
-    assert all(np.allclose(sorted(r.v for r in got if r.s == s), real) for s in range(3))
-
-
 def test_graph_measures(spark):
     edges = frame(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0), ("c", "d", 1.0)], "sender string, receiver string, weight double")
     assert {r.node: r.betweenness for r in graph.betweenness(edges).collect()} == {"a": 0, "b": 2 / 6, "c": 2 / 6, "d": 0}

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from cytoloom import plans
-from cytoloom.operators import biology, characterize, graph, importance, infer, models, spatial, validation
+from cytoloom.operators import biology, characterize, graph, importance, infer, models, surrogates, validation
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -29,7 +29,8 @@ class Called(Exception):
         ("diff_pct_ci", importance, "difference_interval", 2, 5000),
         ("variance_partition", models, "variance_partition", "n_perm", 1000),
         ("orthogonal_score", models, "orthogonal_score", "n_boot", 1000),
-        ("variogram_surrogates", spatial, "surrogate_maps", 2, 100),
+        ("variogram_surrogates", surrogates, "surrogate_maps", 2, 100),
+        ("feature_null_alignment", surrogates, "surrogate_sets", 2, 100),
     ],
 )
 def test_draws_are_the_references(spark, monkeypatch, name, module, operator, at, draws):
