@@ -28,6 +28,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.withColumn("total_strength", F.col("in_strength") + F.col("out_strength"))
 
 
+def compared_nodes(first: DataFrame, second: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """(node, strength_sc, strength_fc, rank_sc, rank_fc, log2_strength, log2_rank) of two networks' nodes (node,
+    total_strength, rank); a node that one of them lacks has zeros there."""
+    side = lambda own, name: own.select("node", F.col("total_strength").alias(f"strength_{name}"), F.col("rank").alias(f"rank_{name}"))
+    both = side(first, "sc").join(side(second, "fc"), "node", "full_outer").fillna(0.0, ["strength_sc", "strength_fc", "rank_sc", "rank_fc"])
+    ratio = lambda c: F.log2((F.col(f"{c}_sc") + eps) / (F.col(f"{c}_fc") + eps))
+    return both.select("node", "strength_sc", "strength_fc", "rank_sc", "rank_fc", ratio("strength").alias("log2_strength"), ratio("rank").alias("log2_rank"))
+
+
 def page_rank(edges: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, rounds: int = 100) -> DataFrame:
     """(node, rank): weighted page rank, in rounds until the ranks' summed change falls below the number of nodes times
     tolerance; more than `rounds` raise. What dead ends hold is shared by all. A round is one join and one aggregation."""

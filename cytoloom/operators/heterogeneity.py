@@ -1,4 +1,4 @@
-"""How unevenly genes are expressed: entropy over types, Gini over cells."""
+"""How unevenly genes are expressed: entropy over types, Gini over cells, and whether important rules are the uneven ones."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.resample import shuffled_labels
+from ..functions.stats import average_rank, correlation
+from ..sources.work import stored
+
 
 def type_entropy(means: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, entropy) in bits of the shares of types in a gene's summed type means; zeros add nothing, no total gives null.
@@ -32,3 +36,22 @@ def by_rule(genes: DataFrame, rule_genes: DataFrame, columns: Sequence[str]) ->
     """(lr_name, columns): means over regions for each gene, then over the rule's genes, counted once."""
     means = genes.groupBy("gene").agg(*(F.avg(c).alias(c) for c in columns))
     return rule_genes.select("lr_name", "gene").distinct().join(F.broadcast(means), "gene").groupBy("lr_name").agg(*(F.avg(c).alias(c) for c in columns))
+
+
+def importance_test(rows: DataFrame, n: int = 1000, seed: int = 42, least: int = 10) -> DataFrame:
+    """One row (rules, rho_entropy, rho_gini, p_entropy, p_gini) of rows (lr_name, importance, entropy, gini), one a rule: rank
+    correlations of importance with entropy below zero and with gini, and the share of n shuffles of importance that
+    reach them, one added above and below. Rules with a null or NaN don't count; under `least` rules, or without spread,
+    correlation and p are null. Ranks don't change in a shuffle, so the sum of their products tells the correlation: it
+    is exact, and what is added up is one row a rule and shuffle. The ranking of rules, a dimension, is one task's."""
+    numbers = ["importance", "entropy", "gini"]
+    fine = rows.dropna(subset=numbers).select("lr_name", "importance", (-F.col("entropy")).alias("entropy"), "gini")
+    ranked = stored(fine.select("lr_name", *(average_rank(c, []).alias(c) for c in numbers)))
+    products = [F.sum(F.col("importance") * F.col(c)).alias(f"sum_{c}") for c in numbers[1:]]
+    own = ranked.agg(F.count("*").alias("rules"), *products, *(correlation("importance", c).alias(f"rho_{c}") for c in numbers[1:]))
+    drawn = shuffled_labels(ranked.select("lr_name", "importance"), "lr_name", "importance", n, seed)
+    sums = drawn.join(ranked.drop("importance"), "lr_name").groupBy("perm").agg(*products).withColumnsRenamed({f"sum_{c}": f"null_{c}" for c in numbers[1:]})
+    reached = [F.count(F.when(F.col(f"null_{c}") >= F.col(f"sum_{c}"), 1)).alias(f"n_{c}") for c in numbers[1:]]
+    found = own.join(sums, F.lit(True), "left").groupBy(*own.columns).agg(*reached)  # own is one row
+    told = lambda c, v: F.when((F.col("rules") >= least) & F.col(f"rho_{c}").isNotNull(), v)
+    return found.select("rules", *(told(c, F.col(f"rho_{c}")).alias(f"rho_{c}") for c in numbers[1:]), *(told(c, (F.col(f"n_{c}") + 1) / F.lit(n + 1.0)).alias(f"p_{c}") for c in numbers[1:]))

@@ -13,7 +13,7 @@ from ..operators import preprocess as pre
 from ..sources import domain
 from ..sources.work import cut
 from .inference import RULES
-from .prediction import AGG, TWO, importances, meta, two_tables
+from .prediction import AGG, TWO, complete_gains, importances, meta, two_tables, weights
 from .preparation import EDGES, MEANS, ROWS, edge_rows, region_edges, region_table
 from .registry import CELLS, EXPR, query
 
@@ -80,8 +80,8 @@ def gene_strings(spark, sf_dir):
 TYPE_EDGES = AGG + ", x AS (SELECT lr_name AS ct_l, 'Brand#' || (1 + (CAST(substr(feature, -1) AS INTEGER) + CAST(substr(lr_name, 7, 1) AS INTEGER)) % 5) || substr(lr_name, 8, 1) AS ct_r, importance_rel AS importance FROM a)"
 
 
-def type_features(spark, sf_dir):
-    own = importances(spark, sf_dir).join(F.broadcast(meta(spark, sf_dir).select("feature", "lr_name")), "feature")
+def type_features(spark, sf_dir, found=None):
+    own = (found or importances(spark, sf_dir)).join(F.broadcast(meta(spark, sf_dir).select("feature", "lr_name")), "feature")
     to = F.concat(F.lit("Brand#"), 1 + (F.substring("feature", -1, 1).cast("int") + F.substring("lr_name", 7, 1).cast("int")) % 5, F.substring("lr_name", 8, 1))
     return own.select(F.col("lr_name").alias("ct_l"), to.alias("ct_r"), F.col("importance_rel").alias("importance"))
 
@@ -218,11 +218,26 @@ def pagerank(spark, sf_dir):
     return graph.page_rank(net(spark, sf_dir)).withColumn("rank", r6("rank"))
 
 
-def node_metrics(spark, sf_dir):
-    own = cut(net(spark, sf_dir))
+def node_metrics(spark, sf_dir, found=None):
+    own = cut(graph.type_network(type_features(spark, sf_dir, found)))
     return graph.degrees(own).join(graph.page_rank(own), "node")
 
 
+#: The network of the even nations' folds beside that of the odd ones'.
+HALF = DEGREES + RANKS + " SELECT d.node, total_strength, rank FROM deg d JOIN ranks p ON p.node = d.node"
+EVEN, ODD = (recursive(HALF.replace("AS edges FROM nation)", f"AS edges FROM nation WHERE n_nationkey % 2 = {odd})")) for odd in (0, 1))
+LOG_RATIO = "round(log2((coalesce(a.{0}, 0) + 1e-10) / (coalesce(b.{0}, 0) + 1e-10)), 4)"
+
+
+@query("compare_networks", f"SELECT coalesce(a.node, b.node) AS node, round(coalesce(a.total_strength, 0) * 100, 5) AS strength_sc, round(coalesce(b.total_strength, 0) * 100, 5) AS strength_fc, round(coalesce(a.rank, 0), 6) AS rank_sc, round(coalesce(b.rank, 0), 6) AS rank_fc, {LOG_RATIO.format('total_strength')} AS log2_strength, {LOG_RATIO.format('rank')} AS log2_rank FROM ({EVEN}) a FULL JOIN ({ODD}) b ON a.node = b.node")
+def compare_networks(spark, sf_dir):
+    gains, folds = complete_gains(spark, sf_dir).select("fold", "feature", "gain"), weights(spark, sf_dir)
+    parity = domain.table(spark, sf_dir, "nation").select(F.col("n_name").alias("fold"), (F.col("n_nationkey") % 2).alias("odd"))
+    half = lambda odd: node_metrics(spark, sf_dir, imp.aggregated(*(t.join(parity.filter(F.col("odd") == odd), "fold", "left_semi") for t in (gains, folds))))
+    out = graph.compared_nodes(half(0), half(1))
+    return out.select("node", *(F.round(F.col(c) * 100, 5).alias(c) for c in ("strength_sc", "strength_fc")), r6("rank_sc").alias("rank_sc"), r6("rank_fc").alias("rank_fc"), *(F.round(c, 4).alias(c) for c in ("log2_strength", "log2_rank")))
+
+
 @query("hubs", recursive(DEGREES + RANKS) + " SELECT d.node, total_strength >= (SELECT quantile_cont(total_strength, 0.8) FROM deg) AS strength_hub, rank >= (SELECT quantile_cont(rank, 0.8) FROM ranks) AS rank_hub FROM deg d JOIN ranks p ON p.node = d.node WHERE total_strength >= (SELECT quantile_cont(total_strength, 0.8) FROM deg) OR rank >= (SELECT quantile_cont(rank, 0.8) FROM ranks)")
 def hubs(spark, sf_dir):
     return graph.hubs(node_metrics(spark, sf_dir)).select("node", "strength_hub", "rank_hub")
@@ -453,3 +468,21 @@ def heterogeneity_by_rule(spark, sf_dir):
     both = entropies(spark, sf_dir).join(ginis(spark, sf_dir), ["region", "gene"])
     out = heterogeneity.by_rule(both, infer.rule_genes(domain.rule_table(spark)), ["entropy", "gini"])
     return out.select("lr_name", r6("entropy").alias("entropy"), r6("gini").alias("gini"))
+
+
+HET_SEED = 42
+_TEST = f"""{AGG}, {CELLS}, {EXPR}, {HET}, {GINI}, im AS (SELECT lr_name, round(sum(importance_rel), 9) AS x FROM a GROUP BY 1), hm AS (SELECT gene, round(avg(entropy), 9) AS entropy, round(avg(gini), 9) AS gini FROM en JOIN gn USING (region, gene) GROUP BY 1),
+    ok AS (SELECT lr_name, x, -entropy AS e, gini AS i FROM im JOIN hm ON gene = lr_name WHERE x IS NOT NULL AND entropy IS NOT NULL AND gini IS NOT NULL),
+    rk AS (SELECT lr_name, {', '.join(f'rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{c}' for c in 'xei')} FROM ok),
+    plain AS (SELECT rx, row_number() OVER (ORDER BY md5('{HET_SEED}_-1_' || lr_name), lr_name) AS k FROM rk),
+    drawn AS (SELECT perm, lr_name, row_number() OVER (PARTITION BY perm ORDER BY md5('{HET_SEED}_' || perm || '_' || lr_name), lr_name) AS k FROM rk CROSS JOIN range({N}) p(perm)),
+    nu AS (SELECT perm, sum(plain.rx * re) AS e, sum(plain.rx * ri) AS i FROM drawn JOIN plain USING (k) JOIN rk USING (lr_name) GROUP BY 1), ow AS (SELECT count(*) AS rules, sum(rx * re) AS e, sum(rx * ri) AS i, corr(rx, re) AS ce, corr(rx, ri) AS ci FROM rk)
+    SELECT rules, round(ce, 6) AS rho_entropy, round(ci, 6) AS rho_gini, {', '.join(f'round(CAST((SELECT count(*) + 1 FROM nu WHERE nu.{c} >= ow.{c}) / {N + 1}.0 AS DOUBLE), 6) AS p_{name}' for c, name in (('e', 'entropy'), ('i', 'gini')))} FROM ow"""
+
+
+@query("importance_vs_heterogeneity", _TEST)
+def importance_vs_heterogeneity(spark, sf_dir):
+    found = importances(spark, sf_dir).join(meta(spark, sf_dir).select("feature", "lr_name"), "feature").groupBy("lr_name").agg(F.round(F.sum("importance_rel"), 9).alias("importance"))
+    genes = entropies(spark, sf_dir).join(ginis(spark, sf_dir), ["region", "gene"]).groupBy(F.col("gene").alias("lr_name")).agg(F.round(F.avg("entropy"), 9).alias("entropy"), F.round(F.avg("gini"), 9).alias("gini"))
+    out = heterogeneity.importance_test(found.join(genes, "lr_name"), N, HET_SEED)
+    return out.select("rules", *(r6(c).alias(c) for c in out.columns[1:]))
