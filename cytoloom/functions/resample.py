@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import hash_key, hash_number
@@ -44,7 +44,8 @@ def bootstrap_means(df: DataFrame, group: Sequence[str], value: str, order: Sequ
     return picks.select(*group, "boot", "_i").join(at.select(*group, "_i", value), [*group, "_i"]).groupBy(*group, "boot").agg(F.avg(value).alias("mean"))
 
 
-def subset_draws(names: DataFrame, name: str, k: int, n: int, seed: int) -> DataFrame:
-    """(draw, name): n subsets of size k, without replacement, in hash order."""
-    drawn = axis(names.select(name), n, "draw").withColumn("_k", hash_key(seed, "draw", name))
+def subset_draws(names: DataFrame, name: str, k: int, n: int, seed: int, numbers: Column | None = None) -> DataFrame:
+    """(draw, name): n subsets of size k, without replacement, in hash order; numbers, an array, tells which draws instead."""
+    which = F.sequence(F.lit(0), F.lit(n - 1)) if numbers is None else numbers
+    drawn = names.select(name).withColumn("draw", F.explode(which)).withColumn("_k", hash_key(seed, "draw", name))
     return drawn.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_k", name))).filter(F.col("_r") <= k).select("draw", name)

@@ -62,15 +62,28 @@ def categorised(first: DataFrame, second: DataFrame, threshold: float = 1.2, lea
     return out
 
 
-def matched_draws(rules: DataFrame, k: int, n: int, seed: int, target: float, tolerance: float, proposals: int) -> DataFrame:
-    """(draw, lr_name): the first n of `proposals` subsets of size k whose summed importance is within tolerance of target;
-    fewer than n raise. rules: (lr_name, importance)."""
-    drawn = subset_draws(rules, "lr_name", k, proposals, seed)
-    sums = drawn.join(F.broadcast(rules), "lr_name").groupBy("draw").agg(F.sum("importance").alias("total"))
-    fine = sums.filter(F.abs(F.col("total") - target) / target <= tolerance).orderBy("draw").limit(n)
-    if fine.count() < n:
-        raise ValueError(f"fewer than {n} of {proposals} draws come within {tolerance}")
-    return drawn.join(F.broadcast(fine.select("draw")), "draw", "left_semi")
+def matched_draws(rules: DataFrame, k: int, n: int, seed: int, target: float, tolerance: float, proposals: int, most: int | None = None) -> DataFrame:
+    """(draw, lr_name): the first n random subsets of size k whose summed importance is within tolerance of target. rules:
+    (lr_name, importance), a null importance being 0.
+
+    Proposals are judged in rounds, `proposals` in the first and four times as many in each next one, until n are accepted;
+    a draw is told by its number, so rounds don't change what is drawn. A target that isn't positive, fewer rules than k and
+    more than `most` proposals (20,000 for each subset asked for) raise."""
+    if target <= 0 or rules.count() < k:
+        raise ValueError("a matched draw needs a positive target and as many rules as it takes")
+    most = most or 20_000 * n
+    accepted: list[int] = []
+    at, size = 0, proposals
+    while len(accepted) < n:
+        if at >= most:
+            raise ValueError(f"fewer than {n} of {most} draws come within {tolerance}")
+        size = min(size, most - at)
+        drawn = subset_draws(rules, "lr_name", k, size, seed, F.sequence(F.lit(at), F.lit(at + size - 1)))
+        sums = drawn.join(rules, "lr_name").groupBy("draw").agg(F.sum(F.coalesce("importance", F.lit(0.0))).alias("total"))
+        fine = sums.filter(F.abs(F.col("total") - target) / target <= tolerance).orderBy("draw").limit(n - len(accepted))
+        accepted += [r.draw for r in fine.select("draw").collect()]  # n numbers at most
+        at, size = at + size, size * 4
+    return subset_draws(rules, "lr_name", k, n, seed, F.array(*map(F.lit, accepted)).cast("array<int>"))
 
 
 def features_of(features: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 import pandas as pd
 import pytest
 
-from cytoloom.operators import graph, heterogeneity
+from cytoloom.operators import graph, heterogeneity, importance
 
 SCHEMA = "lr_name string, importance double, entropy double, gini double"
 
@@ -48,3 +48,23 @@ def test_compared_nodes(spark):
     got = {r.node: r for r in graph.compared_nodes(a, b).collect()}
     assert set(got) == {"x", "y", "z"} and got["x"].log2_strength == pytest.approx(2) and got["x"].log2_rank == pytest.approx(1)
     assert (got["y"].strength_fc, got["y"].rank_fc) == (0, 0) and got["z"].log2_rank == pytest.approx(math.log2(1e-10 / (0.75 + 1e-10)))
+
+
+def test_matched_draws_go_on_until_enough_are_accepted(spark):
+    own = {f"r{i:02}": float(i) for i in range(12)}
+    own["r00"] = None
+    rules = spark.createDataFrame(list(own.items()), "lr_name string, importance double")
+
+    def subset(draw):
+        return sorted(own, key=lambda r: (hashlib.md5(f"9_{draw}_{r}".encode()).hexdigest(), r))[:4]
+
+    fits = [i for i in range(2000) if abs(sum(own[r] or 0.0 for r in subset(i)) - 30.0) / 30.0 <= 0.05][:6]
+    assert len(fits) == 6 and fits[-1] >= 7  # more than the first round proposes
+    got = {}
+    for r in importance.matched_draws(rules, 4, 6, 9, 30.0, 0.05, 3).collect():
+        got.setdefault(r.draw, []).append(r.lr_name)
+    assert {d: sorted(names) for d, names in got.items()} == {d: sorted(subset(d)) for d in fits}
+    with pytest.raises(ValueError, match="of 5 draws"):
+        importance.matched_draws(rules, 4, 6, 9, 30.0, 0.05, 3, most=5)
+    with pytest.raises(ValueError, match="positive"):
+        importance.matched_draws(rules, 13, 1, 9, 30.0, 0.05, 3)
