@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.resample import axis, shuffled_labels
-from ..sources.work import cut
+from ..sources.work import stored
+from .shuffles import shuffled_expression
 
 METHODS = ("default", "hill", "minmean")
 
@@ -155,23 +156,34 @@ def permuted_labels(labels: DataFrame, m: int, seed: int, senders: Sequence[str]
     return own(labels.filter(received), seed + 1).unionByName(own(labels.filter(sent), seed).join(keep, "cell_id", "left_semi").select(*names)).unionByName(rest)
 
 
+def _trades(seed: int, senders: Sequence[str] | None, receivers: Sequence[str] | None) -> list[tuple[Column, int]]:
+    """The sets of cells that trade labels, as permuted_labels has them; the later one counts."""
+    if senders is None and receivers is None:
+        return [(F.lit(True), seed)]
+    of = lambda nodes: F.lit(True) if nodes is None else F.col("node").isin(list(nodes))
+    return [(of(senders), seed), (of(receivers), seed + 1)]
+
+
 def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, observed: DataFrame, m: int, seed: int, how: str = "triquartile", method: str = "default", k: float = 0.5, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, by: Sequence[str] = (), panel: DataFrame | None = None) -> DataFrame:
     """observed with pvalue: the share of m label shuffles (see permuted_labels) whose score is above, strictly. One shuffle
     serves all rules. Rules that are zero everywhere (within `by`), and all rules when m is 0, get none.
 
-    The null scores of a rule's side at a node are one array of m numbers, so pairs of nodes are shuffled once and not m
-    times: each observed pair meets its two arrays and counts. panel (gene) says which genes there are, those of expr where
+    Shuffles are counted by blocks of cells (see shuffles). The null scores of a rule's side at a node are one array of m
+    numbers, so pairs of nodes are shuffled once and not m times: each observed pair meets its two arrays and counts. panel (gene) says which genes there are, those of expr where
     it isn't given."""
     if m == 0:
         return observed.withColumn("pvalue", F.lit(None).cast("double"))
-    observed = cut(observed)
+    observed = stored(observed)
     living = observed.filter("prob > 0").select(*by, "lr_name").distinct()
     alive = rules.join(living.select("lr_name").distinct(), "lr_name", "left_semi")
-    expr = cut(expr.join(F.broadcast(rule_genes(alive).select("gene").distinct()), "gene", "left_semi"))
-    shuffles = permuted_labels(labels.select(*by, "cell_id", "node"), m, seed, senders, receivers, by)
-    sparse, keys = method == "default", [*by, "perm"]
-    grouped = group_expression(expr, shuffles, how, by=keys, dense=not sparse, panel=panel)
-    more = {"panel": expr if panel is None else panel, "nodes": shuffles.select(*keys, "node").distinct()} if sparse else {}
+    expr = expr.join(F.broadcast(rule_genes(alive).select("gene").distinct()), "gene", "left_semi")
+    keys = [*by, "perm"]
+    found = stored(shuffled_expression(expr, labels.select(*by, "cell_id", "node"), m, _trades(seed, senders, receivers), how, by))
+    grouped, nodes = found.filter("gene IS NOT NULL"), found.filter("gene IS NULL").select(*keys, "node")
+    panel = grouped.select("gene").distinct() if panel is None else panel.select("gene")
+    if method != "default":
+        grouped = nodes.crossJoin(F.broadcast(panel)).join(grouped, [*keys, "node", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    more = {"panel": panel, "nodes": nodes} if method == "default" else {}
     scores = side_scores(grouped, alive, method, k, by=keys, **more)
     if by:
         scores = scores.join(living, [*by, "lr_name"], "left_semi")
@@ -187,7 +199,7 @@ def permutation_pvalues(expr: DataFrame, labels: DataFrame, rules: DataFrame, ob
 def run_inference(expr: DataFrame, labels: DataFrame, rules: DataFrame, *, senders: Sequence[str] | None = None, receivers: Sequence[str] | None = None, m: int = 100, fdr: float = 0.05, k: float = 0.5, method: str = "default", how: str = "triquartile", strict: int = 1, seed: int = 42) -> DataFrame:
     """(lr_name, sender, receiver, prob, pvalue, net) from raw expression (cell_id, gene, value) and labels (cell_id, node):
     scaled signal, eligible rules, group expression, side scores, network, m shuffles and the place-by-place filter."""
-    signal = cut(signalling(expr, rules))
+    signal = stored(signalling(expr, rules))
     fine = eligible_rules(rules, signal.select("gene"), strict).filter("eligible")
     own = rules.join(fine, "lr_name", "left_semi")
     scores = side_scores(group_expression(signal, labels, how), own, method, k)
@@ -204,11 +216,11 @@ def run_by_subject(expr: DataFrame, cells: DataFrame, rules: DataFrame, panel: D
     A gene of the panel that a subject lacks counts as zero there. Which subjects run is the caller's choice
     (subjects_to_run)."""
     by = ["subject"]
-    labels = cut(cells.filter("subject IS NOT NULL AND node IS NOT NULL").select("subject", "cell_id", "node"))
+    labels = stored(cells.filter("subject IS NOT NULL AND node IS NOT NULL").select("subject", "cell_id", "node"))
     own = rules.join(eligible_rules(rules, panel, strict).filter("eligible"), "lr_name", "left_semi")
     measured = F.broadcast(panel.select("gene").distinct())
     raw = expr.join(labels.select("subject", "cell_id"), "cell_id").join(measured, "gene", "left_semi")
-    signal = cut(signalling(raw, rules, by).select("cell_id", "gene", "value"))
+    signal = stored(signalling(raw, rules, by).select("cell_id", "gene", "value"))
     used = panel.select("gene").distinct().join(F.broadcast(rule_genes(own).select("gene").distinct()), "gene", "left_semi")
     grouped = group_expression(signal, labels, how, by, panel=used)
     observed = observed_network(side_scores(grouped, own, method, k, by), method, k, by, senders, receivers)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import r6
 from ..operators import infer
 from ..sources import domain
-from ..sources.work import cut
+from ..sources.work import stored
 from .registry import CELLS, EXPR, query
 
 PERMUTATIONS, SEED = 100, 42
@@ -55,7 +55,7 @@ def inputs(spark, sf_dir):
     """Signalling expression, labels, and the rules whose genes the panel has. The expression comes from a join of the
     three largest tables and is used several times over, so it is worked out once."""
     table = domain.rule_table(spark)
-    signal = cut(infer.signalling(domain.expression(spark, sf_dir), table))
+    signal = stored(infer.signalling(domain.expression(spark, sf_dir), table))
     fine = infer.eligible_rules(table, signal.select("gene")).filter("eligible")
     return signal, domain.cells(spark, sf_dir).select("cell_id", "node"), table.join(fine, "lr_name", "left_semi")
 
@@ -63,7 +63,7 @@ def inputs(spark, sf_dir):
 def parts(spark, sf_dir, how="triquartile"):
     """inputs and group expression."""
     signal, labels, own = inputs(spark, sf_dir)
-    return signal, labels, own, cut(infer.group_expression(signal, labels, how))
+    return signal, labels, own, stored(infer.group_expression(signal, labels, how))
 
 
 def tested(spark, sf_dir):
