@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import stored
+
 
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
@@ -54,12 +56,27 @@ def significance(q: Column) -> Column:
 
 
 def bh_adjusted(df: DataFrame, p: str, by: Sequence[str], out: str = "q", ties: Sequence[str] = ()) -> DataFrame:
-    """Step-up adjusted values: the least p * n / rank from the row's rank on, at most 1; rows without p get none."""
-    up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), *ties)
-    n = F.count(p).over(Window.partitionBy(*by))
-    raw = df.withColumn("_bh", F.when(F.col(p).isNotNull(), F.col(p) * n / F.row_number().over(up)))
-    least = F.min("_bh").over(up.rowsBetween(0, Window.unboundedFollowing))
-    return raw.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_bh")
+    """Step-up adjusted values: the least p * n / rank from the row's rank on, at most 1; rows without p get none.
+
+    Rows are ordered in ranges, one a task: counts of the ranges before give ranks, minima of those after the rest of the
+    least. A range is run through once from its end, since a frame that ends at the last row is taken anew for each row."""
+    own, order = [*by, "_part"], [F.col(p).asc_nulls_last(), *ties]
+    rows = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+
+    def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+        named = ranges.withColumnsRenamed({c: f"_of_{c}" for c in own})
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in own]
+        return rows.join(named, same, "left").drop(*(f"_of_{c}" for c in own))
+
+    of = Window.partitionBy(*by)
+    others = lambda part: of.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*own).agg(F.count(p).alias("_n"))
+    counts = counts.select(*own, F.coalesce(F.sum("_n").over(others("_part")), F.lit(0)).alias("_before"), F.sum("_n").over(of).alias("_all"))
+    ranked = with_ranges(rows, counts).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    raw = ranked.withColumn("_bh", F.when(F.col(p).isNotNull(), F.col(p) * F.col("_all") / F.col("_rank")))
+    later = raw.groupBy(*own).agg(F.min("_bh").alias("_m")).select(*own, F.min("_m").over(others(F.desc("_part"))).alias("_later"))
+    least = F.least(F.lit(1.0), F.min("_bh").over(Window.partitionBy(*own).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)), "_later")
+    return with_ranges(raw, later).select(*df.columns, F.when(F.col(p).isNotNull(), least).alias(out))
 
 
 def bh_kept(p: str, fdr: float, by: Sequence[str], order: Sequence[str]) -> Column:
