@@ -12,12 +12,26 @@ from ..functions.stats import average_rank, correlation
 from ..sources.work import stored
 
 
+def _shares(means: DataFrame, by: Sequence[str]) -> DataFrame:
+    """means with p, each type's share of its gene's summed means."""
+    total = F.sum("value").over(Window.partitionBy(*by))
+    return means.withColumn("p", F.when(total > 0, F.col("value") / F.when(total > 0, total)))
+
+
+def _bits():
+    return F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p")))
+
+
 def type_entropy(means: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, entropy) in bits of the shares of types in a gene's summed type means; zeros add nothing, no total gives null.
     means: (by, cell_type, value)."""
-    total = F.sum("value").over(Window.partitionBy(*by))
-    p = means.withColumn("p", F.when(total > 0, F.col("value") / F.when(total > 0, total)))
-    return p.groupBy(*by).agg(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p"))).alias("entropy"))
+    return _shares(means, by).groupBy(*by).agg(_bits().alias("entropy"))
+
+
+def with_type_entropy(means: DataFrame, by: Sequence[str]) -> DataFrame:
+    """means with the entropy of each row's gene beside it, in one pass over rows dealt by gene, where a join would make and
+    shuffle them a second time."""
+    return _shares(means, by).withColumn("entropy", _bits().over(Window.partitionBy(*by))).drop("p")
 
 
 def gini(values: DataFrame, sizes: DataFrame, by: Sequence[str], group: Sequence[str]) -> DataFrame:

@@ -3,8 +3,11 @@
 import json
 import logging
 import os
+import re
+import shutil
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -172,6 +175,55 @@ def test_profiles_of_an_empty_table(spark, tmp_path):
     assert text_profiles.result(spark, str(tmp_path / "out")).isEmpty()
 
 
+def test_a_run_without_new_files_keeps_the_profiles(spark, tmp_path, monkeypatch):
+    docs, out = str(tmp_path / "documents.parquet"), str(tmp_path / "out")
+    config = {"documents": docs, "output": out, "checkpoint": str(tmp_path / "mark")}
+    put(spark, docs, FIRST)
+    text_profiles.run(spark, config)
+    held = files(f"{out}/profiles")
+    assert text_profiles.run(spark, config) == 0 and files(f"{out}/profiles") == held
+    put(spark, docs, MORE)
+    add_up = text_profiles.profiles
+
+    def broken(sums):
+        raise OSError("lost before the profiles")
+
+    monkeypatch.setattr(text_profiles, "profiles", broken)
+    with pytest.raises(OSError, match="lost before"):
+        text_profiles.run(spark, config)
+    monkeypatch.setattr(text_profiles, "profiles", add_up)
+    assert text_profiles.run(spark, config) == 0  # the stream has read all, but profiles are behind
+    once = {**config, "output": str(tmp_path / "once"), "checkpoint": str(tmp_path / "once-mark")}
+    assert text_profiles.run(spark, once) == len(FIRST + MORE)
+    assert rounded(spark, out) == rounded(spark, once["output"])
+    shutil.rmtree(f"{out}/profiles")
+    assert text_profiles.run(spark, config) == 0 and rounded(spark, out) == rounded(spark, once["output"])
+
+
+def test_words_are_counted_where_documents_are_read(spark, monkeypatch):
+    monkeypatch.setattr(text_profiles, "BLOCK", 40)
+    odd = [chr(c) for c in [*range(0x100), 0x130, 0x1680, 0x2003, 0x2028, 0x212A, 0x3000, 0xFEFF, 0x1F600]]
+    texts = [f"Word{c}woRD {c}" for c in odd] + [None, "", " \t\n", "x y X", " ".join(f"w{i % 90}" for i in range(300))]
+    docs = spark.createDataFrame([(t, f"s{i % 3}", None if i % 5 else "en") for i, t in enumerate(texts)], "text string, source string, lang string")
+    lower = str.maketrans(text_profiles.UPPER, text_profiles.LOWER)
+    want = []
+    for i, t in enumerate(texts):
+        words = [w for w in re.split(r"[ \t-\r]+", (t or "").translate(lower)) if w]
+        want += [(f"s{i % 3}", None if i % 5 else "en", w, float(n), len(words)) for w, n in Counter(words).items()]
+    made = text_profiles.counts(docs)
+    assert rows(made) == sorted(want, key=str)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_shuffle_the_sums_once(spark):
+    sums = spark.createDataFrame([("s", "en", "a", 1, 2.0, 0), ("s", "en", "a", 1, 1.0, 1), ("s", "de", "a", 2, 3.0, 1), ("s", "en", None, 2, 0.0, 0), ("s", "en", None, 2, 0.0, 1), ("s", "de", None, 4, 0.0, 1)], text_profiles.SUMS)
+    made = text_profiles.profiles(sums)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert rows(made) == [("de", "a", 4, 2, 0.75, 1.0, "s"), ("en", "a", 4, 2, 0.75, 1.0, "s")]
+    dealt = re.findall(r"Exchange (\w+)\((\w+?)#\w+(?: ASC NULLS FIRST)?, (\w+?)#", plan)
+    assert sorted(dealt) == [("hashpartitioning", "region", "cell_type"), ("rangepartitioning", "region", "gene")]  # the former are the groups' sizes
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_job_query_matches_oracle(spark, name):
     con = duckdb.connect()
